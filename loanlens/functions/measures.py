@@ -39,8 +39,16 @@ def merged_parts(measures: Iterable[Measure]) -> dict[str, tuple[str, Column]]:
     return parts
 
 
-UPB = {"upb": ("sum", c("orig_upb"))}
-ROWS = {"rows": ("count", F.lit(1))}
+def upb_part() -> dict[str, tuple[str, Column]]:
+    return {"upb": ("sum", c("orig_upb"))}
+
+
+def row_part() -> dict[str, tuple[str, Column]]:
+    return {"rows": ("count", F.lit(1))}
+
+
+def rate_part() -> dict[str, tuple[str, Column]]:
+    return {"rate_upb": ("sum", c("orig_rate") * c("orig_upb"))}
 
 
 def plain(name: str, kind: str, column: Column, cast: str | None = None) -> Measure:
@@ -61,7 +69,7 @@ def share(name: str, condition: Column, empty_is_zero: bool = False) -> Measure:
     value = ratio(c(part), c("upb"))
     if empty_is_zero:
         value = F.coalesce(value, F.lit(0.0))
-    return Measure(name, {**UPB, part: ("sum", F.when(condition, c("orig_upb")))}, value)
+    return Measure(name, {**upb_part(), part: ("sum", F.when(condition, c("orig_upb")))}, value)
 
 
 def weighted_average(name: str, x: Column) -> Measure:
@@ -79,21 +87,18 @@ def weighted_average(name: str, x: Column) -> Measure:
 
 # --- always shown ----------------------------------------------------------------------------
 
-RATE_PARTS = {"rate_upb": ("sum", c("orig_rate") * c("orig_upb"))}
-
-
 def size() -> list[Measure]:
     return [
-        Measure("loans", ROWS, c("rows")),
-        Measure("orig_upb", UPB, c("upb").cast("double")),
-        Measure("als", {**UPB, **ROWS}, ratio(c("upb"), c("rows"))),
+        Measure("loans", row_part(), c("rows")),
+        Measure("orig_upb", upb_part(), c("upb").cast("double")),
+        Measure("als", {**upb_part(), **row_part()}, ratio(c("upb"), c("rows"))),
     ]
 
 
 def note_rate() -> list[Measure]:
     ends = {"rate_min": ("min", c("orig_rate")), "rate_max": ("max", c("orig_rate"))}
     weighted = ratio(c("rate_upb"), c("upb"))
-    parts = {**RATE_PARTS, **UPB}
+    parts = {**rate_part(), **upb_part()}
     return [
         Measure("wa_rate", parts, weighted),
         Measure("wa_rate_8ths", parts, eighths(weighted)),
@@ -106,13 +111,13 @@ def eighths(rate: Column) -> Column:
 
 
 def average_rate() -> Measure:
-    parts = {"rate_sum": ("sum", c("orig_rate")), **ROWS}
+    parts = {"rate_sum": ("sum", c("orig_rate")), **row_part()}
     return Measure("avg_note_rate", parts, F.round(ratio(c("rate_sum"), c("rows")), 3))
 
 
 def payment() -> Measure:
     """Balance-weighted monthly payment; needs the column `monthly_pi`."""
-    parts = {"pi_upb": ("sum", c("monthly_pi") * c("orig_upb")), **UPB}
+    parts = {"pi_upb": ("sum", c("monthly_pi") * c("orig_upb")), **upb_part()}
     return Measure("wa_pi", parts, ratio(c("pi_upb"), c("upb")))
 
 
@@ -163,14 +168,14 @@ SHOWN_STATES = ("CA", "AZ", "UT", "CO", "NV", "ID", "FL", "WY", "TX", "MI", "NY"
 
 
 def state_shares(states: tuple[str, ...] = SHOWN_STATES) -> list[Measure]:
-    return [share(f"{s.lower()}_pct", c("state") == s) for s in states]
+    return [share(f"state_{s.lower()}_pct", c("state") == s) for s in states]
 
 
 def characteristic_shares() -> list[Measure]:
     conditions = {
         "hbal_pct": c("high_balance_loan_indicator") == "Y",
         "second_home_pct": c("occ_stat") == "S",
-        "mi_pct": c("mi_type") == 1,
+        "insured_pct": c("mi_type") == 1,
         "cashout_pct": c("purpose") == "C",
         "first_buyer_pct": c("first_flag") == "Y",
         "condo_pct": c("prop") == "CO",
@@ -324,7 +329,7 @@ def income_averages() -> list[Measure]:
     text = F.concat(
         grouped_digits(c("income_min"), 0), F.lit(" - "), grouped_digits(c("income_max"), 0)
     )
-    parts = {"income_upb": ("sum", income * c("orig_upb")), **UPB}
+    parts = {"income_upb": ("sum", income * c("orig_upb")), **upb_part()}
     return [
         Measure("wa_income", parts, ratio(c("income_upb"), c("upb"))),
         Measure("income_range", ends, text),

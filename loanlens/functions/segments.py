@@ -38,6 +38,14 @@ def by_steps(steps: Sequence[str]) -> Column:
     return _super_or(segment)
 
 
+def by_percentile(pctile: Column) -> Column:
+    """Named segment from a loan's own percentile."""
+    segment = F.lit("HIGH")
+    for name, edge in reversed(list(zip(NAMED_ORDER, PERCENTILE_EDGES))):
+        segment = F.when(pctile < edge, F.lit(name)).otherwise(segment)
+    return _super_or(segment)
+
+
 def by_percentile_cutoffs(cutoffs: Sequence[Column]) -> Column:
     """Named segment from the smallest balances that reach each percentile edge.
 

@@ -32,6 +32,9 @@ def aggregate(
     Rows are first aggregated to the finest groups, so the rollup's row expansion multiplies that
     small result and not the input. Output: keys, grouping bits, measures.
     """
+    names = [*keys, *bits(keys), *(measure.name for measure in measures)]
+    if len(set(names)) < len(names):
+        raise ValueError(f"column names repeat: {names}")
     parts = m.merged_parts(measures)
     grouped = rows.groupBy(*keys).agg(
         *[m.COMPUTE[kind](column).alias(name) for name, (kind, column) in parts.items()]
@@ -52,11 +55,11 @@ def cohort_summary(universe: DataFrame, spec: CohortSpec) -> DataFrame:
     """Loan count, balance and coupons of every group of the universe and every subtotal."""
     weighted = m.ratio(c("rate_upb"), c("upb"))
     measures = [
-        m.Measure("wa_note_rate", {**m.RATE_PARTS, **m.UPB}, m.eighths(weighted)),
+        m.Measure("wa_note_rate", {**m.rate_part(), **m.upb_part()}, m.eighths(weighted)),
         m.average_rate(),
         m.plain("max_bal", "max", c("orig_upb"), "double"),
-        m.Measure("loan_cnt", m.ROWS, c("rows")),
-        m.Measure("orig_upb", m.UPB, c("upb").cast("double")),
+        m.Measure("loan_cnt", m.row_part(), c("rows")),
+        m.Measure("orig_upb", m.upb_part(), c("upb").cast("double")),
     ]
     return aggregate(universe, spec.loan_keys, measures, rollup=True)
 
@@ -72,8 +75,8 @@ def with_cohort_totals(grouped: DataFrame, universe: DataFrame, spec: CohortSpec
         universe,
         spec.loan_keys,
         [
-            m.Measure("cohort_loans", m.ROWS, c("rows")),
-            m.Measure("cohort_upb", m.UPB, c("upb").cast("double")),
+            m.Measure("cohort_loans", m.row_part(), c("rows")),
+            m.Measure("cohort_upb", m.upb_part(), c("upb").cast("double")),
         ],
         rollup=spec.rollup,
     )

@@ -66,7 +66,22 @@ def with_attributes(
     )
 
 
-def _with_segment(loans: DataFrame, spec: CohortSpec) -> DataFrame:
+def _with_balance_percentile(loans: DataFrame) -> DataFrame:
+    """`group_pctile` for every loan; `orig_upb_pctile` only for those below the size limit."""
+    ranked = with_percent_rank(loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE, "group_pctile")
+    conforming = F.coalesce(c("high_balance_loan_indicator"), F.lit("N")) == "N"
+    return ranked.withColumn("orig_upb_pctile", F.when(conforming, c("group_pctile")))
+
+
+def _with_percentile_cutoffs(loans: DataFrame, spec: CohortSpec) -> DataFrame:
+    """Segment cutoffs of each group beside its loans, without ranking every loan."""
+    ranks = value_ranks(loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE)
+    cuts = cutoffs(ranks, BALANCE_GROUP, "orig_upb", segments.PERCENTILE_EDGES)
+    small = broadcast_if_bounded(cuts, INDICATOR_VALUES * spec.vintage_count)
+    return join_on_keys(loans, small, BALANCE_GROUP)
+
+
+def _with_segment(loans: DataFrame, spec: CohortSpec, ranked: bool) -> DataFrame:
     wanted = spec.segments
     if wanted is None:
         return loans
@@ -76,45 +91,41 @@ def _with_segment(loans: DataFrame, spec: CohortSpec) -> DataFrame:
         return loans.withColumn(
             "bal_seg", segments.by_cutoffs(wanted.low_k, wanted.medium_k, wanted.very_low_k)
         )
-    ranks = value_ranks(loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE)
-    cuts = cutoffs(ranks, BALANCE_GROUP, "orig_upb", segments.PERCENTILE_EDGES)
-    names = [f"_cut{i}" for i in range(len(segments.PERCENTILE_EDGES))]
-    small = broadcast_if_bounded(cuts, INDICATOR_VALUES * spec.vintage_count)
+    if ranked:
+        return loans.withColumn("bal_seg", segments.by_percentile(c("group_pctile")))
+    cut_names = [f"_cut{i}" for i in range(len(segments.PERCENTILE_EDGES))]
     return (
-        join_on_keys(loans, small, BALANCE_GROUP)
-        .withColumn("bal_seg", segments.by_percentile_cutoffs([c(n) for n in names]))
-        .drop(*names)
-    )
-
-
-def with_percentiles(loans: DataFrame) -> DataFrame:
-    """Percent rank of the balance (not for super-conforming loans) and of the note rate."""
-    ranked = with_percent_rank(
-        loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE, "orig_upb_pctile"
-    ).withColumn(
-        "orig_upb_pctile",
-        F.when(
-            F.coalesce(c("high_balance_loan_indicator"), F.lit("N")) == "N", c("orig_upb_pctile")
-        ),
+        _with_percentile_cutoffs(loans, spec)
+        .withColumn("bal_seg", segments.by_percentile_cutoffs([c(n) for n in cut_names]))
+        .drop(*cut_names)
     )
-    return with_percent_rank(ranked, RATE_GROUP, "orig_rate", RATE_RANGE, "orig_rate_pctile")
 
 
 def windowed_universe(
-    tables: LoanTables, spec: CohortSpec, percentiles: bool = False
+    tables: LoanTables, spec: CohortSpec, percentiles: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Loans after the early filters, with segment and percentiles, before the late filters."""
+    """Loans after the early filters, with segment and percentiles, before the late filters.
+
+    `percentiles` names the percent ranks to attach: "balance" (not for super-conforming loans)
+    and "rate".
+    """
     loans = _with_terminal(_filtered(tables.orig, scan_filters(spec)), tables.term, spec)
     if spec.limit is not None:
         loans = loans.orderBy("loan_id").limit(spec.limit)
     loans = with_attributes(
         _filtered(loans, loan_filters(spec)), spec.legacy_terms, spec.legacy_eligibility
     )
-    loans = _with_segment(loans, spec)
-    return with_percentiles(loans) if percentiles else loans
+    if "balance" in percentiles:
+        loans = _with_balance_percentile(loans)
+    loans = _with_segment(loans, spec, "balance" in percentiles)
+    if "rate" in percentiles:
+        loans = with_percent_rank(loans, RATE_GROUP, "orig_rate", RATE_RANGE, "orig_rate_pctile")
+    return loans
 
 
-def build_universe(tables: LoanTables, spec: CohortSpec, percentiles: bool = False) -> DataFrame:
+def build_universe(
+    tables: LoanTables, spec: CohortSpec, percentiles: tuple[str, ...] = ()
+) -> DataFrame:
     """The loans of the cohort."""
     loans = windowed_universe(tables, spec, percentiles)
     if "seller" in spec.by or spec.seller_rank is not None:

@@ -98,11 +98,16 @@ def cohort_report(
 ) -> DataFrame:
     """One row per group: keys, grouping bits, cohort totals and the chosen measures, unsorted.
 
-    Pass a persisted `universe` to share it between reports; otherwise it is derived where needed.
+    Pass a persisted `universe` to share it between reports; otherwise it is derived where needed,
+    with only the columns each use needs.
     """
     if universe is None:
-        universe = build_universe(tables, spec, percentiles=spec.shows_segment_range)
-    rows = report_rows(tables, universe, spec)
+        universe = build_universe(tables, spec)
+        ranked = spec.shows_segment_range
+        measured = build_universe(tables, spec, ("balance",)) if ranked else universe
+    else:
+        measured = universe
+    rows = report_rows(tables, measured, spec)
     report = aggregate(rows, spec.group_keys, report_measures(spec), spec.rollup)
     if spec.min_count is not None:
         report = report.filter(c("loans") >= spec.min_count)

@@ -53,7 +53,7 @@ def _originator() -> m.Measure:
 
 def _to_date() -> list[m.Measure]:
     defaulted = performance.defaulted_balance()
-    parts = {"p_default_upb": ("sum", defaulted), **m.UPB}
+    parts = {"p_default_upb": ("sum", defaulted), **m.upb_part()}
     return [
         m.amount("default_upb", defaulted),
         m.Measure("default_pct", parts, ratio(c("p_default_upb"), c("upb"))),
@@ -89,10 +89,11 @@ def vintage_report(
     if prepayment or credit:
         universe = with_horizon(universe, tables.month, max_period(tables), spec, filled=False)
     measures = [*m.size(), m.average_rate(), *m.credit_averages(), *m.characteristic_shares()]
-    measures += [
-        m.share("appr_not_full_pct", m.appraisal() != m.FULL_APPRAISAL),
-        m.ineligible_share(),
-    ]
+    measures.append(m.ineligible_share())
+    breakdown = {measure.name: measure for measure in m.eligibility_breakdown()}
+    if "elig" not in spec.display:
+        breakdown = {"appr_not_full_pct": breakdown["appr_not_full_pct"]}
+    measures += breakdown.values()
     if "seller" in spec.by:
         measures.append(_originator())
     if "vintage" in spec.display:
@@ -100,7 +101,7 @@ def vintage_report(
     if "geo" in spec.display:
         measures += m.state_shares(m.SHOWN_STATES[:10])
     if "elig" in spec.display:
-        measures += m.eligibility_breakdown() + m.sublimit_shares()
+        measures += m.sublimit_shares()
     if prepayment:
         measures += _horizon(spec)
     if credit:
@@ -132,7 +133,7 @@ def combined_report(tables: LoanTables, spec: CohortSpec) -> DataFrame:
     if "strat" in shown:
         measures += [*m.characteristic_shares(), *m.credit_averages(), m.ineligible_share()]
         measures += [*m.sublimit_shares(), *_to_date()]
-        parts = {"p_net_loss": ("sum", performance.net_loss()), **m.UPB}
+        parts = {"p_net_loss": ("sum", performance.net_loss()), **m.upb_part()}
         measures += [
             m.amount("net_loss", performance.net_loss()),
             m.Measure("net_loss_pct", parts, ratio(c("p_net_loss"), c("upb"))),

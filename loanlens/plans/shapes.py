@@ -147,13 +147,13 @@ def render(report: DataFrame, human: bool) -> DataFrame:
 def sample_check(report: DataFrame) -> DataFrame:
     """Short table to compare a cohort with an outside sample; needs strat, geo, channel, elig."""
     percentages = {
-        "ca_pct": c("ca_pct"),
-        "tx_pct": c("tx_pct"),
-        "ny_pct": c("ny_pct"),
+        "state_ca_pct": c("state_ca_pct"),
+        "state_tx_pct": c("state_tx_pct"),
+        "state_ny_pct": c("state_ny_pct"),
         "tpo_pct": 1 - c("retail_pct"),
         "second_home_pct": c("second_home_pct"),
         "first_buyer_pct": c("first_buyer_pct"),
-        "mi_pct": c("mi_pct"),
+        "insured_pct": c("insured_pct"),
         "condo_pct": c("condo_pct"),
         "multi_borrower_pct": c("multi_borrower_pct"),
         "multi_unit_pct": c("multi_unit_pct"),

@@ -70,8 +70,8 @@ def exclusive_age_curves(
         universe,
         loan_keys,
         [
-            m.Measure("cohort_loans", m.ROWS, c("rows")),
-            m.Measure("cohort_upb", m.UPB, c("upb").cast("double")),
+            m.Measure("cohort_loans", m.row_part(), c("rows")),
+            m.Measure("cohort_upb", m.upb_part(), c("upb").cast("double")),
         ],
         rollup=False,
     ).drop(*bits(loan_keys))

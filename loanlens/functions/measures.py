@@ -280,20 +280,23 @@ def monthly_credit() -> list[Measure]:
 
 
 def to_date_credit() -> list[Measure]:
-    """Defaults and losses up to the last period; severity is loss over defaulted balance."""
+    """Defaults and losses up to the last period; severity is loss over defaulted balance.
+
+    Needs the columns made by `operators.history.with_terminal_amounts`.
+    """
     parts = {
-        "p_default_upb": ("sum", performance.defaulted_balance()),
-        "p_net_loss": ("sum", performance.net_loss()),
+        "p_default_upb": ("sum", c("default_bal")),
+        "p_net_loss": ("sum", c("net_loss")),
     }
     severity = F.when(
         c("p_default_upb") > 0,
         ratio(F.coalesce(c("p_net_loss"), F.lit(0).cast("decimal(18,2)")), c("p_default_upb")),
     ).otherwise(F.lit(0.0))
     return [
-        amount("default_upb", performance.defaulted_balance(), empty_is_zero=True),
-        plain("default_cnt", "count", performance.defaulted_balance()),
-        amount("net_loss", performance.net_loss()),
-        plain("loss_cnt", "count", F.when(performance.net_loss() > 0, 1)),
+        amount("default_upb", c("default_bal"), empty_is_zero=True),
+        plain("default_cnt", "count", c("default_bal")),
+        amount("net_loss", c("net_loss")),
+        plain("loss_cnt", "count", F.when(c("net_loss") > 0, 1)),
         Measure("severity", parts, severity),
     ]
 

@@ -95,14 +95,13 @@ def defaulted_balance() -> Column:
     return F.when(is_default(), c("last_upb"))
 
 
-def unscheduled_principal() -> Column:
-    return F.when(code_number() == PREPAID_CODE, c("last_upb")).otherwise(
-        F.lit(0).cast("decimal(18,2)")
-    )
+def is_prepaid() -> Column:
+    return F.coalesce(code_number() == PREPAID_CODE, F.lit(False))
 
 
-def unscheduled_count() -> Column:
-    return F.when(code_number() == PREPAID_CODE, F.lit(1)).otherwise(F.lit(0))
+def is_liquidated() -> Column:
+    """Ended for another reason than a prepayment, so that the month has a loss."""
+    return F.coalesce(code_number() > PREPAID_CODE, F.lit(False))
 
 
 def _total(names: tuple[str, ...]) -> Column:
@@ -125,10 +124,9 @@ def legacy_net_loss() -> Column:
     return guarded(F.least(F.lit(0).cast("decimal(18,2)"), surplus), surplus)
 
 
-def monthly_net_loss(missing: Column | None = None) -> Column:
-    """Loss of a terminal month that is not a prepayment; otherwise `missing` (NULL)."""
-    loss = F.when(code_number() > PREPAID_CODE, net_loss())
-    return loss if missing is None else loss.otherwise(missing)
+def monthly_net_loss() -> Column:
+    """Loss of a liquidated loan; NULL for the others."""
+    return F.when(is_liquidated(), net_loss())
 
 
 def cpr_from_smm(smm: Column) -> Column:

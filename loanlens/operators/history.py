@@ -11,23 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import amortization, performance
-from loanlens.functions.numeric import money
+from loanlens.functions.numeric import MONEY, money
 from loanlens.functions.periods import add_months
 from loanlens.spec import CohortSpec
 
 c = F.col
 
-TERMINAL_FIELDS = (
-    "zero_bal_code",
-    "zb_dte",
-    "last_upb",
-    "foreclosure_date",
-    "disposition_date",
-    *performance.COSTS,
-    *performance.PROCEEDS,
-)
-
-
 def usable_history(month: DataFrame) -> DataFrame:
     """Months with an age that is unknown or not negative."""
     return month.filter(c("loan_age").isNull() | (c("loan_age") >= 0))
@@ -44,35 +33,50 @@ def with_payment(loans: DataFrame) -> DataFrame:
     )
 
 
+def with_terminal_amounts(loans: DataFrame) -> DataFrame:
+    """Defaulted balance, net loss and kind of the terminal event, once per loan.
+
+    Months then carry these few columns instead of every cost and proceeds field.
+    """
+    return loans.withColumns(
+        {
+            "default_bal": performance.defaulted_balance(),
+            "net_loss": performance.net_loss(),
+            "prepaid": performance.is_prepaid(),
+            "liquidated": performance.is_liquidated(),
+        }
+    )
+
+
 def scheduled_at(age: Column) -> Column:
     at_age = amortization.growth(c("orig_rate"), age)
     return money(amortization.balance_from_growth(c("orig_upb"), c("at_term"), at_age))
 
 
-def terminal_fields_when(condition: Column) -> dict[str, Column]:
-    return {name: F.when(condition, c(name)) for name in TERMINAL_FIELDS}
-
-
 def month_columns(needs_age: bool = True, no_loss: Column | None = None) -> dict[str, Column]:
-    """Amounts of one loan-month from history, note and (already placed) terminal columns.
+    """Amounts of one loan-month from history, note and terminal columns.
 
-    `scheduled` must hold the scheduled balance wherever the reported one is not positive.
+    Terminal amounts count in the terminal month only. `scheduled` must hold the scheduled balance
+    wherever the reported one is not positive. `no_loss` is the loss of other months (NULL).
     """
     scheduled = c("scheduled")
+    here = c("act_period") == c("term_period")
+    paid_off = here & c("prepaid")
+    loss = F.when(here & c("liquidated"), c("net_loss"))
 
     def bucket(status: Column) -> Column:
         return performance.delinquent_balance(status, scheduled, needs_age)
 
     return {
         "current_bal": performance.filled_balance(scheduled),
-        "sched_bal": performance.smm_base(scheduled, c("last_upb")),
-        "unsched_prin": performance.unscheduled_principal(),
-        "unsched_cnt": performance.unscheduled_count(),
+        "sched_bal": performance.smm_base(scheduled, F.when(here, c("last_upb"))),
+        "unsched_prin": F.when(paid_off, c("last_upb")).otherwise(F.lit(0).cast(MONEY)),
+        "unsched_cnt": F.when(paid_off, 1).otherwise(0),
         "dlq_30": bucket(performance.is_30()),
         "dlq_60": bucket(performance.is_60()),
         "dlq_90": bucket(performance.is_90_plus()),
-        "defaulted_upb": performance.defaulted_balance(),
-        "mo_net_loss": performance.monthly_net_loss(no_loss),
+        "defaulted_upb": F.when(here, c("default_bal")),
+        "mo_net_loss": loss if no_loss is None else loss.otherwise(no_loss),
         "loan_age": performance.filled_age(),
     }
 
@@ -89,8 +93,8 @@ def loan_months(loans: DataFrame, month: DataFrame) -> DataFrame:
     An inner join: a loan without history has no age and would be dropped by every age report, and
     an inner join lets AQE split a loan_id partition that grew too large on the history side.
     """
-    terminal = terminal_fields_when(c("act_period") == c("term_period"))
-    joined = usable_history(month).join(with_growth(loans), "loan_id").withColumns(terminal)
+    prepared = with_growth(with_terminal_amounts(loans))
+    joined = usable_history(month).join(prepared, "loan_id")
     return with_scheduled(joined).withColumns(month_columns())
 
 

@@ -11,9 +11,9 @@ from loanlens.functions.segments import NAMED_ORDER
 from loanlens.operators.cumulative import with_cumulative_credit
 from loanlens.operators.history import (
     loan_months,
-    terminal_fields_when,
     with_horizon,
     with_payment,
+    with_terminal_amounts,
 )
 from loanlens.operators.summary import aggregate, with_cohort_totals
 from loanlens.operators.universe import build_universe
@@ -66,11 +66,14 @@ def report_rows(
     loans = with_payment(universe)
     if spec.by_age:
         return loan_months(loans, tables.month)
+    loans = with_terminal_amounts(loans)
     if "history" in spec.display:
         at_horizon = with_horizon(loans, tables.month, max_period(tables), spec)
         # Terminal amounts count on the history row they fall on, which here is the horizon row.
         placed = c("horizon_period") == c("term_period").cast("int")
-        return at_horizon.withColumns(terminal_fields_when(placed))
+        return at_horizon.withColumns(
+            {name: F.when(placed, c(name)) for name in ("default_bal", "net_loss")}
+        )
     return loans
 
 

@@ -17,11 +17,11 @@ from loanlens.functions import performance
 from loanlens.functions.numeric import ratio
 from loanlens.operators.history import (
     month_columns,
-    terminal_fields_when,
     usable_history,
     with_growth,
     with_horizon,
     with_scheduled,
+    with_terminal_amounts,
 )
 from loanlens.operators.summary import aggregate, bit
 from loanlens.operators.universe import build_universe
@@ -52,10 +52,9 @@ def _originator() -> m.Measure:
 
 
 def _to_date() -> list[m.Measure]:
-    defaulted = performance.defaulted_balance()
-    parts = {"p_default_upb": ("sum", defaulted), **m.upb_part()}
+    parts = {"p_default_upb": ("sum", c("default_bal")), **m.upb_part()}
     return [
-        m.amount("default_upb", defaulted),
+        m.amount("default_upb", c("default_bal")),
         m.Measure("default_pct", parts, ratio(c("p_default_upb"), c("upb"))),
     ]
 
@@ -85,7 +84,7 @@ def vintage_report(
 ) -> DataFrame:
     """Sizes, credit averages and shares, optionally horizon speed and ever-delinquent shares."""
     spec = legacy_spec(spec)
-    universe = build_universe(tables, spec)
+    universe = with_terminal_amounts(build_universe(tables, spec))
     if prepayment or credit:
         universe = with_horizon(universe, tables.month, max_period(tables), spec, filled=False)
     measures = [*m.size(), m.average_rate(), *m.credit_averages(), *m.characteristic_shares()]
@@ -121,7 +120,7 @@ def with_grand_total(report: DataFrame) -> DataFrame:
 def combined_report(tables: LoanTables, spec: CohortSpec) -> DataFrame:
     """All display blocks of the combined report; `history` adds the horizon block."""
     spec = legacy_spec(spec).but(legacy_eligibility=True)
-    rows = build_universe(tables, spec)
+    rows = with_terminal_amounts(build_universe(tables, spec))
     shown = set(spec.display)
     measures = list(m.size())
     if "vintage" in shown:
@@ -133,9 +132,9 @@ def combined_report(tables: LoanTables, spec: CohortSpec) -> DataFrame:
     if "strat" in shown:
         measures += [*m.characteristic_shares(), *m.credit_averages(), m.ineligible_share()]
         measures += [*m.sublimit_shares(), *_to_date()]
-        parts = {"p_net_loss": ("sum", performance.net_loss()), **m.upb_part()}
+        parts = {"p_net_loss": ("sum", c("net_loss")), **m.upb_part()}
         measures += [
-            m.amount("net_loss", performance.net_loss()),
+            m.amount("net_loss", c("net_loss")),
             m.Measure("net_loss_pct", parts, ratio(c("p_net_loss"), c("upb"))),
         ]
     if "elig" in shown:
@@ -153,9 +152,8 @@ def combined_age_curve(tables: LoanTables, spec: CohortSpec) -> DataFrame:
     A loan has at most one history row per month, so the left join cannot meet a heavy loan.
     """
     spec = legacy_spec(spec).but(legacy_eligibility=True)
-    loans = with_growth(build_universe(tables, spec))
-    terminal = terminal_fields_when(c("act_period") == c("term_period"))
-    joined = loans.join(usable_history(tables.month), "loan_id", "left").withColumns(terminal)
+    loans = with_growth(with_terminal_amounts(build_universe(tables, spec)))
+    joined = loans.join(usable_history(tables.month), "loan_id", "left")
     zero = F.lit(0).cast("decimal(18,2)")
     rows = with_scheduled(joined).withColumns(month_columns(needs_age=False, no_loss=zero))
     measures = [

@@ -30,13 +30,22 @@ def _mapped(key: Column, table: Mapping[int, object], default: object) -> Column
     return result
 
 
-def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{table}.parquet")
+class StarSchema:
+    """The parquet files of one folder; each is opened once."""
 
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._spark, self._root = spark, root.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
-def _orders(spark: SparkSession, root: str) -> DataFrame:
+    def table(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._spark.read.parquet(f"{self._root}/{name}.parquet")
+        return self._frames[name]
+
+
+def _orders(source: StarSchema) -> DataFrame:
     k = c("o_orderkey")
-    return _read(spark, root, "orders").select(
+    return source.table("orders").select(
         k.alias("loan_id"),
         "o_custkey",
         "o_orderstatus",
@@ -61,13 +70,13 @@ def _zero_balance_code(k: Column) -> Column:
     )
 
 
-def orig(spark: SparkSession, root: str) -> DataFrame:
-    customer = _read(spark, root, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = _read(spark, root, "nation").select("n_nationkey", "n_regionkey")
+def orig(source: StarSchema) -> DataFrame:
+    customer = source.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = source.table("nation").select("n_nationkey", "n_regionkey")
     k = c("loan_id")
     odd_one = F.lit(None).cast("int")
     joined = (
-        _orders(spark, root)
+        _orders(source)
         .join(customer, c("o_custkey") == c("c_custkey"))
         .join(nation, c("c_nationkey") == c("n_nationkey"))
         .withColumn("oltv", (c("o_custkey") % 58 + 40).cast("int"))
@@ -124,9 +133,9 @@ def orig(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _history_lines(spark: SparkSession, root: str, orders: DataFrame, *wanted: str) -> DataFrame:
+def _history_lines(source: StarSchema, orders: DataFrame, *wanted: str) -> DataFrame:
     """Order lines shipped on or after the order date, beside their order."""
-    lines = _read(spark, root, "lineitem").select("l_orderkey", "l_shipdate", *wanted)
+    lines = source.table("lineitem").select("l_orderkey", "l_shipdate", *wanted)
     return lines.join(orders, c("l_orderkey") == c("loan_id")).filter(
         c("l_shipdate").cast("date") >= c("order_day")
     )
@@ -137,8 +146,8 @@ def _balance(age: Column) -> Column:
     return F.floor(c("orig_upb").cast("double") * left / c("orig_term")).cast(MONEY)
 
 
-def month(spark: SparkSession, root: str) -> DataFrame:
-    orders = _orders(spark, root).select(
+def month(source: StarSchema) -> DataFrame:
+    orders = _orders(source).select(
         "loan_id", "order_day", "orig_upb", "orig_term", "first_pay_index"
     )
     status = (
@@ -148,7 +157,7 @@ def month(spark: SparkSession, root: str) -> DataFrame:
     )
     grain = ("loan_id", "orig_upb", "orig_term", "first_pay_index", "period_index")
     rows = (
-        _history_lines(spark, root, orders, "l_quantity", "l_linenumber")
+        _history_lines(source, orders, "l_quantity", "l_linenumber")
         .withColumn("period_index", date_month_index(c("l_shipdate")))
         .groupBy(*grain)
         .agg(F.max(status).alias("status"))
@@ -175,9 +184,9 @@ def month(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def term(spark: SparkSession, root: str) -> DataFrame:
+def term(source: StarSchema) -> DataFrame:
     orders = (
-        _orders(spark, root)
+        _orders(source)
         .withColumn("zero_bal_code", _zero_balance_code(c("loan_id")))
         .filter(c("zero_bal_code").isNotNull())
         .select(
@@ -185,7 +194,7 @@ def term(spark: SparkSession, root: str) -> DataFrame:
         )
     )
     last_months = (
-        _history_lines(spark, root, orders)
+        _history_lines(source, orders)
         .groupBy("loan_id", "orig_upb", "orig_term", "first_pay_index", "zero_bal_code")
         .agg(F.max(date_month_index(c("l_shipdate"))).alias("period_index"))
     )

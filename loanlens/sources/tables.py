@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +12,33 @@ from loanlens.sources import star
 from loanlens.sources.schemas import SCHEMAS
 
 
-@dataclass(frozen=True)
+Source = DataFrame | Callable[[], DataFrame]
+
+
+def _frame(source: Source) -> DataFrame:
+    return source() if callable(source) else source
+
+
 class LoanTables:
-    """`orig` has one row per loan, `month` one per (loan, period), `term` at most one per loan."""
+    """`orig` has one row per loan, `month` one per (loan, period), `term` at most one per loan.
+
+    A table may be given as a function; its plan is then only built when a report needs it.
+    """
+
+    def __init__(self, orig: Source, month: Source, term: Source) -> None:
+        self._sources = {"orig": orig, "month": month, "term": term}
+
+    @cached_property
+    def orig(self) -> DataFrame:
+        return _frame(self._sources["orig"])
+
+    @cached_property
+    def month(self) -> DataFrame:
+        return _frame(self._sources["month"])
 
-    orig: DataFrame
-    month: DataFrame
-    term: DataFrame
+    @cached_property
+    def term(self) -> DataFrame:
+        return _frame(self._sources["term"])
 
     @staticmethod
     def from_parquet(spark: SparkSession, root: str) -> LoanTables:
@@ -37,8 +58,11 @@ class LoanTables:
     @staticmethod
     def from_star(spark: SparkSession, root: str) -> LoanTables:
         """Loans derived from a retail star schema (orders as loans, order lines as months)."""
+        source = star.StarSchema(spark, root)
         return LoanTables(
-            orig=star.orig(spark, root), month=star.month(spark, root), term=star.term(spark, root)
+            orig=lambda: star.orig(source),
+            month=lambda: star.month(source),
+            term=lambda: star.term(source),
         )
 
     def write(self, root: str) -> None:

@@ -90,8 +90,8 @@ def with_scheduled(joined: DataFrame) -> DataFrame:
 def loan_months(loans: DataFrame, month: DataFrame) -> DataFrame:
     """One row per loan and month with the amounts of that month.
 
-    An inner join: a loan without history has no age and would be dropped by every age report, and
-    an inner join lets AQE split a loan_id partition that grew too large on the history side.
+    An inner join: a loan without history has no age and would be dropped by every age report. A
+    loan has one history row per month, so no join key is heavy however large the history is.
     """
     prepared = with_growth(with_terminal_amounts(loans))
     joined = usable_history(month).join(prepared, "loan_id")

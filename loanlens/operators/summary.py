@@ -88,8 +88,9 @@ def with_cohort_totals(grouped: DataFrame, universe: DataFrame, spec: CohortSpec
 # Dimensions whose average coupon is looked up by value; the others use their subtotal.
 COUPON_DIMENSIONS = ("balance", "channel", "vintage", "state", "hbal")
 
-# Number of values each key column can hold by its type, NULL included.
-DOMAIN_SIZES = {"loan_term": 4, "balance": 12, "channel": 4, "state": 26 * 26 + 1, "hbal": 3}
+# Number of values of the keys this code computes or whose codes are listed, NULL included.
+# A state is free text here, so a report by state has no bound.
+DOMAIN_SIZES = {"loan_term": 4, "balance": 12, "channel": 4, "hbal": 3}
 
 
 def at_average_coupon(loans: DataFrame, spec: CohortSpec) -> DataFrame:
@@ -101,8 +102,8 @@ def at_average_coupon(loans: DataFrame, spec: CohortSpec) -> DataFrame:
     keys = ["loan_term", *(DIMENSION_COLUMNS[d] for d in dimensions)]
     weighted = m.ratio(F.sum(c("orig_rate") * c("orig_upb")), F.sum("orig_upb"))
     coupons = loans.groupBy(*keys).agg(m.eighths(weighted).cast("decimal(5,3)").alias("_coupon"))
-    bound = prod(
-        {**DOMAIN_SIZES, "vintage": spec.vintage_count}[d] for d in ("loan_term", *dimensions)
-    )
+    sizes = {**DOMAIN_SIZES, "vintage": spec.vintage_count}
+    bounded = set(dimensions) <= set(sizes)
+    bound = prod(sizes[d] for d in ("loan_term", *dimensions)) if bounded else None
     matched = loans.join(broadcast_if_bounded(coupons, bound), keys, "left")
     return matched.filter(c("_coupon").isNull() | (c("orig_rate") == c("_coupon"))).drop("_coupon")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loanlens.functions import measures as m
+from loanlens.functions import performance
 from loanlens.functions.loan import term_bucket
 from loanlens.operators.cumulative import with_cumulative_credit
 from loanlens.operators.history import loan_months, with_payment
@@ -22,7 +23,7 @@ from loanlens.operators.summary import aggregate, bit, bits
 from loanlens.operators.universe import build_universe
 from loanlens.plans.cohort import cohort_report, report_measures
 from loanlens.sources.tables import LoanTables
-from loanlens.spec import CohortSpec
+from loanlens.spec import DIMENSION_COLUMNS, DIMENSIONS, CohortSpec
 
 c = F.col
 
@@ -46,39 +47,49 @@ def channel_runs(channels: Sequence[str] = CHANNELS) -> dict[str, Column]:
     return {f"channel-{code}": c("channel") == code for code in channels}
 
 
+def _curves(
+    tables: LoanTables,
+    tagged: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[m.Measure],
+    min_counts: Mapping[str, int],
+) -> DataFrame:
+    """Age curves of loans tagged with their run, grouped by run, term, age and `keys`."""
+    loan_keys = [RUN, "loan_term", *keys]
+    group_keys = [RUN, "loan_term", "loan_age", *keys]
+    rows = loan_months(with_payment(tagged), tables.month)
+    curve = aggregate(rows, group_keys, measures, rollup=False)
+    for run, least in min_counts.items():
+        curve = curve.filter((c(RUN) != run) | (c("loans") >= least))
+    totals = aggregate(
+        tagged,
+        loan_keys,
+        [
+            m.Measure("cohort_loans", m.row_part(), c("rows")),
+            m.Measure("cohort_upb", m.upb_part(), c("upb").cast("double")),
+        ],
+        rollup=False,
+    ).drop(*bits(loan_keys))
+    matched = join_on_keys(curve.filter(c("loan_age").isNotNull()), totals, loan_keys)
+    sized = matched.withColumn("cohort_als", m.ratio(c("cohort_upb"), c("cohort_loans")))
+    return with_cumulative_credit(sized, group_keys).drop(bit(RUN))
+
+
 def exclusive_age_curves(
     tables: LoanTables, spec: CohortSpec, runs: Mapping[str, Column]
 ) -> DataFrame:
     """Age curve of every run from one pass; runs must not overlap. Loans in no run are left out."""
     if spec.rollup:
-        raise ValueError("exclusive runs have no subtotals across them; use rollup per run")
+        raise ValueError("exclusive runs have no subtotals across them; use one report per run")
     label = reduce(
         lambda rest, run: F.when(run[1], F.lit(run[0])).otherwise(rest),
         reversed(runs.items()),
         F.lit(None).cast("string"),
     )
-    universe = build_universe(tables, spec).withColumn(RUN, label).filter(c(RUN).isNotNull())
-    keys = [RUN, "loan_term", "loan_age", *spec.loan_keys[1:]]
-    loan_keys = [RUN, *spec.loan_keys]
+    tagged = build_universe(tables, spec).withColumn(RUN, label).filter(c(RUN).isNotNull())
     aged = spec.but(by=(*spec.dimensions, "age"))
-    rows = loan_months(with_payment(universe), tables.month)
-    curve = aggregate(rows, keys, report_measures(aged), rollup=False)
-    if spec.min_count is not None:
-        curve = curve.filter(c("loans") >= spec.min_count)
-    curve = curve.filter(c("loan_age").isNotNull())
-    totals = aggregate(
-        universe,
-        loan_keys,
-        [
-            m.Measure("cohort_loans", m.row_part(), c("rows")),
-            m.Measure("cohort_upb", m.upb_part(), c("upb").cast("double")),
-        ],
-        rollup=False,
-    ).drop(*bits(loan_keys))
-    with_totals = join_on_keys(curve, totals, loan_keys).withColumn(
-        "cohort_als", m.ratio(c("cohort_upb"), c("cohort_loans"))
-    )
-    return with_cumulative_credit(with_totals, keys).drop(bit(RUN))
+    least = {} if spec.min_count is None else {run: spec.min_count for run in runs}
+    return _curves(tables, tagged, spec.loan_keys[1:], report_measures(aged), least)
 
 
 def channel_sweep(tables: LoanTables, spec: CohortSpec) -> tuple[DataFrame, DataFrame]:
@@ -104,14 +115,73 @@ def _both(first: Column | None, second: Column) -> Column:
     return second if first is None else first & second
 
 
+# Loan columns the plain age measures read.
+CURVE_INPUTS = (
+    "loan_id loan_term vintage eligible orig_rate orig_upb orig_term first_pay term_period "
+    "zero_bal_code last_upb disposition_date"
+).split()
+
+
+def _plain_curve(spec: CohortSpec) -> bool:
+    return spec.by_age and not spec.rollup and not spec.display
+
+
+def _tagged(tables: LoanTables, run: str, spec: CohortSpec, keys: Sequence[str]) -> DataFrame:
+    """A run's loans with its name and its group keys; keys of other runs are NULL."""
+    own = set(spec.loan_keys)
+
+    def key(name: str) -> Column:
+        return c(name).cast("string") if name in own else F.lit(None).cast("string")
+
+    return build_universe(tables, spec).select(
+        F.lit(run).alias(RUN),
+        *CURVE_INPUTS,
+        *performance.COSTS,
+        *performance.PROCEEDS,
+        *[key(name).alias(f"key_{name}") for name in keys],
+    )
+
+
+def plain_age_curves(tables: LoanTables, specs: Mapping[str, CohortSpec]) -> DataFrame:
+    """Age curves of several specs from one pass over the history; group keys come out as text.
+
+    Loans are small beside their history, so each run contributes its tagged loans and the history
+    is shuffled and joined once for all runs.
+    """
+    columns = [DIMENSION_COLUMNS[d] for d in DIMENSIONS if any(d in s.by for s in specs.values())]
+    loans = [_tagged(tables, run, spec, columns) for run, spec in specs.items()]
+    tagged = reduce(lambda a, b: a.unionByName(b), loans)
+    least = {run: s.min_count for run, s in specs.items() if s.min_count is not None}
+    measures = report_measures(next(iter(specs.values())).but(by=("age",), segments=None))
+    keys = [f"key_{name}" for name in columns]
+    curves = _curves(tables, tagged, keys, measures, least)
+    return curves.withColumnsRenamed(
+        {
+            **{f"key_{name}": name for name in columns},
+            **{bit(f"key_{name}"): bit(name) for name in columns},
+        }
+    )
+
+
 def spec_sweep(tables: LoanTables, specs: Mapping[str, CohortSpec]) -> DataFrame:
-    """Reports of several specs below each other, told apart by `run_id`."""
-    reports = [
-        cohort_report(tables, spec).withColumn(RUN, F.lit(run)) for run, spec in specs.items()
+    """Reports of several specs below each other, told apart by `run_id`.
+
+    Plain age curves share one pass; every other spec is a report of its own.
+    """
+    plain = {run: spec for run, spec in specs.items() if _plain_curve(spec)}
+    reports = [plain_age_curves(tables, plain)] if plain else []
+    reports += [
+        _text_keys(cohort_report(tables, spec), spec).withColumn(RUN, F.lit(run))
+        for run, spec in specs.items()
+        if run not in plain
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)
 
 
+def _text_keys(report: DataFrame, spec: CohortSpec) -> DataFrame:
+    return report.withColumns({key: c(key).cast("string") for key in spec.loan_keys[1:]})
+
+
 def batch_index(
     report: DataFrame, order: Sequence[Column], shown: Sequence[str], run: str = RUN
 ) -> DataFrame:

@@ -11,21 +11,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.functions import amortization, loan, performance, segments, text
+from loanlens.functions import amortization, performance, segments, text
 from loanlens.functions import measures as m
 from loanlens.operators import history
-from loanlens.operators.filters import vintages
 from loanlens.operators.ranking import party_ranks
-from loanlens.operators.summary import aggregate, at_average_coupon, bits, cohort_summary
+from loanlens.operators.summary import aggregate, bits, cohort_summary
 from loanlens.operators.universe import build_universe, with_attributes
 from loanlens.plans import legacy, shapes, sweep
-from loanlens.plans.cohort import (
-    age_curve,
-    cohort_report,
-    horizon_report,
-    max_period,
-    strat_report,
-)
+from loanlens.plans.cohort import age_curve, cohort_report, horizon_report, strat_report
 from loanlens.session import tune
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import BalanceSegments, CohortSpec
@@ -37,7 +30,7 @@ QUERIES: dict[str, Query] = {}
 
 ALL = CohortSpec(1995, 2001)
 CUTOFFS = BalanceSegments(low_k=150, medium_k=300, very_low_k=80)
-STEPS = BalanceSegments(steps=("085", "110", "125", "150", "175", "200", "225", "250", "275", "500"))
+STEPS = BalanceSegments(steps=tuple("085 110 125 150 175 200 225 250 275 500".split()))
 PERCENTILES = BalanceSegments(percentile=True)
 
 # Doubles that hold amounts of money.

@@ -22,10 +22,6 @@ def add_months(period: Column, months: int) -> Column:
     return period_of_index(month_index(period) + F.lit(months))
 
 
-def period_of_date(date: Column) -> Column:
-    """yyyyMM of a date or zone-less timestamp, independent of the session time zone."""
-    return (F.year(date) * 100 + F.month(date)).cast("string")
-
-
 def date_month_index(date: Column) -> Column:
+    """Month index of a date or zone-less timestamp, independent of the session time zone."""
     return F.year(date) * 12 + F.month(date) - 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loanlens.functions.numeric import MONEY, money
-from loanlens.functions.periods import date_month_index, period_of_date, period_of_index
+from loanlens.functions.periods import date_month_index, period_of_index
 
 c = F.col
 

@@ -16,7 +16,6 @@ from oracle.base import (
     quotient,
     r2,
     r6,
-    share,
     statement,
 )
 
@@ -68,8 +67,8 @@ S["wide_history"] = statement(
 S["max_period"] = statement("SELECT max(act_period) AS max_period FROM month")
 
 S["universe"] = statement(
-    f"""SELECT loan_id, {r6('orig_rate')} AS orig_rate, {r6('orig_rate_pctile')} AS orig_rate_pctile,
-  channel, {r2('orig_upb')} AS orig_upb, {r6('orig_upb_pctile')} AS orig_upb_pctile,
+    f"""SELECT loan_id, {r6('orig_rate')} AS orig_rate, channel,
+  {r6('orig_rate_pctile')} AS orig_rate_pctile, {r2('orig_upb')} AS orig_upb, {r6('orig_upb_pctile')} AS orig_upb_pctile,
   CAST(loan_term AS BIGINT) AS loan_term, orig_date, first_flag, second_home, mi_flag, state,
   high_balance_loan_indicator, eligible, vintage, pctile_seg AS bal_seg
 FROM p""",
@@ -145,8 +144,8 @@ S["annual_income"] = statement(
 FROM (SELECT *, {INCOME} AS income FROM u) GROUP BY loan_term, vintage"""
 )
 S["sched_balance"] = statement(
-    f"""SELECT loan_id, abs({r2(amortized('0'))}) AS sched_0, abs({r2(amortized('12'))}) AS sched_12,
-  abs({r2(amortized('24'))}) AS sched_24, abs({r2(amortized('orig_term'))}) AS sched_at_term
+    f"""SELECT loan_id, abs({r2(amortized('0'))}) AS sched_0,
+  abs({r2(amortized('12'))}) AS sched_12, abs({r2(amortized('24'))}) AS sched_24, abs({r2(amortized('orig_term'))}) AS sched_at_term
 FROM orig"""
 )
 
@@ -279,7 +278,9 @@ def _coupon(keys: str) -> str:
     )
 
 
-S["avg_coupon"] = _filter(by_term=_coupon("loan_term"), by_channel=_coupon("loan_term channel vintage"))
+S["avg_coupon"] = _filter(
+    by_term=_coupon("loan_term"), by_channel=_coupon("loan_term channel vintage")
+)
 S["limit_loans"] = _filter(
     "\nfirst_loans AS (SELECT * FROM u ORDER BY loan_id LIMIT 1000)",
     source="first_loans",
@@ -437,7 +438,9 @@ S["share_elig_legacy"] = _rolled(
     ["vintage"], chosen("inel_pct", "io_pct"), OLDER, source="older"
 )
 S["strats"] = _measured(
-    *"loans orig_upb als size_range wa_rate wa_rate_8ths rate_range wa_pi eligible vintages".split(),
+    *"loans orig_upb als size_range wa_rate wa_rate_8ths rate_range wa_pi".split(),
+    "eligible",
+    "vintages",
     *CHARACTERISTICS,
     *CREDIT,
     "inel_pct",
@@ -577,13 +580,16 @@ HORIZON_COLUMNS = (
 SEASONED = (
     "(SELECT strftime(strptime(max(act_period), '%Y%m') - INTERVAL 23 MONTH, '%Y%m') FROM month)"
 )
-_STARTED = _rolled(["vintage"], f"'started' AS variant, {HORIZON_COLUMNS}", _horizon("u"), source="hz")
+
+
+def _by_vintage_at_horizon(variant: str, rows: str) -> str:
+    return _rolled(["vintage"], f"'{variant}' AS variant, {HORIZON_COLUMNS}", rows, source="hz")
+
+
 S["horizon_cpr"] = (
-    _STARTED
+    _by_vintage_at_horizon("started", _horizon("u"))
     + "\nUNION ALL SELECT * FROM ("
-    + _rolled(
-        ["vintage"], f"'seasoned' AS variant, {HORIZON_COLUMNS}", _horizon("u", SEASONED), source="hz"
-    )
+    + _by_vintage_at_horizon("seasoned", _horizon("u", SEASONED))
     + ")"
 )
 S["ever_60"] = _rolled(
@@ -665,7 +671,8 @@ S["sweep_specs"] = statement(
 )
 
 S["batch_index"] = statement(
-    f"""SELECT {TERM_BIGINT}, min(eligible) AS eligible, count(*) AS cohort_loans, 'cohort' AS run_id
+    f"""SELECT {TERM_BIGINT}, min(eligible) AS eligible, count(*) AS cohort_loans,
+  'cohort' AS run_id
 FROM co GROUP BY loan_term
 UNION ALL
 SELECT {TERM_BIGINT}, eligible, cohort_loans, 'channel-' || channel FROM curve
@@ -707,12 +714,14 @@ def _flipped(condition: str, zero: bool = False) -> str:
 
 S["sample_check"] = statement(
     f"""SELECT min(vintage) AS vintage, {_label('loan_term', 'All Terms')} AS term,
-  count(*) AS cohort_loans, {r2('sum(orig_upb)')} AS cohort_upb, {MEASURES['rate_range']} AS rate_range,
+  count(*) AS cohort_loans, {r2('sum(orig_upb)')} AS cohort_upb,
+  {MEASURES['rate_range']} AS rate_range,
   {chosen('als', 'wa_oltv', 'wa_ocltv', 'wa_qfico', 'wa_dti')},
   {chosen('state_ca_pct', 'state_tx_pct', 'state_ny_pct')},
   {_flipped("channel = 'R'")} AS tpo_pct,
   {chosen('second_home_pct', 'first_buyer_pct', 'insured_pct', 'condo_pct', 'multi_borrower_pct')},
-  {chosen('multi_unit_pct', 'appr_not_full_pct')}, {_flipped("eligible = 'N'", True)} AS eligible_pct
+  {chosen('multi_unit_pct', 'appr_not_full_pct')},
+  {_flipped("eligible = 'N'", True)} AS eligible_pct
 FROM u GROUP BY ROLLUP (loan_term, u.vintage)"""
 )
 

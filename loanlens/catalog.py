@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loanlens.functions import amortization, performance, segments, text
 from loanlens.functions import measures as m
 from loanlens.operators import history
-from loanlens.operators.ranking import party_ranks
+from loanlens.operators.ranking import NAME_COLUMNS, party_ranks
 from loanlens.operators.summary import aggregate, bits, cohort_summary
 from loanlens.operators.universe import build_universe, with_attributes
 from loanlens.plans import legacy, shapes, sweep
@@ -511,7 +511,8 @@ GROUP_COLUMNS = [
 
 def _by(t: LoanTables, dimension: str, **options: object) -> DataFrame:
     spec = ALL.but(by=(dimension,), rollup=True, **options)
-    return finished(cohort_report(t, spec), [*_keyed(spec), *GROUP_COLUMNS])
+    named = [NAME_COLUMNS[dimension]] if dimension in NAME_COLUMNS else []
+    return finished(cohort_report(t, spec), [*_keyed(spec), *named, *GROUP_COLUMNS])
 
 
 @query

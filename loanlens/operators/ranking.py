@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loanlens.functions import loan
+from loanlens.functions.text import DEFAULT_TOTAL
 from loanlens.operators.filters import vintages
+from loanlens.operators.summary import bit
 from loanlens.spec import CohortSpec
 
 c = F.col
 
 UNNAMED = "Other"
 
+# Report column with the name behind each party's rank.
+NAME_COLUMNS = {"seller": "originator", "servicer": "servicer_name"}
+
 
 def party_ranks(orig: DataFrame, spec: CohortSpec, party: str) -> DataFrame:
     """Rank, volume and first/last vintage per party over all loans of the vintage range.
@@ -53,3 +58,25 @@ def with_rank(loans: DataFrame, orig: DataFrame, spec: CohortSpec, party: str) -
     )
     key = F.coalesce(c(party), F.lit(UNNAMED))
     return loans.join(ranks, key == c("_party")).drop("_party")
+
+
+def with_party_names(report: DataFrame, orig: DataFrame, spec: CohortSpec) -> DataFrame:
+    """Add the name behind each rank to an aggregated report; subtotals are named as such.
+
+    The names come from the rank list again rather than from a text minimum over loans.
+    """
+    for party, column in NAME_COLUMNS.items():
+        if party not in spec.by:
+            continue
+        rank = f"{party}_rank"
+        named = party_ranks(orig, spec, party).filter(c(rank).isNotNull())
+        names = named.select(c(rank).alias("_rank"), c(party).alias("_name"))
+        name = F.when(c(bit(rank)) == 1, DEFAULT_TOTAL).otherwise(
+            F.coalesce(c("_name"), F.lit(UNNAMED))
+        )
+        report = (
+            report.join(names, c(rank) == c("_rank"), "left")
+            .withColumn(column, name)
+            .drop("_rank", "_name")
+        )
+    return report

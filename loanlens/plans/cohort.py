@@ -15,6 +15,7 @@ from loanlens.operators.history import (
     with_payment,
     with_terminal_amounts,
 )
+from loanlens.operators.ranking import with_party_names
 from loanlens.operators.summary import aggregate, with_cohort_totals
 from loanlens.operators.universe import build_universe
 from loanlens.sources.tables import LoanTables
@@ -116,7 +117,7 @@ def cohort_report(
         report = report.filter(c("loans") >= spec.min_count)
     if spec.by_age:
         report = report.filter(c("loan_age").isNotNull())
-    report = with_cohort_totals(report, universe, spec)
+    report = with_party_names(with_cohort_totals(report, universe, spec), tables.orig, spec)
     if spec.by_age:
         report = with_cumulative_credit(report, spec.group_keys)
     return _with_cohort_shares(report, spec)

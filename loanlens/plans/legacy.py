@@ -23,6 +23,7 @@ from loanlens.operators.history import (
     with_scheduled,
     with_terminal_amounts,
 )
+from loanlens.operators.ranking import with_party_names
 from loanlens.operators.summary import aggregate, bit
 from loanlens.operators.universe import build_universe
 from loanlens.plans.cohort import max_period
@@ -46,11 +47,6 @@ def _keys(spec: CohortSpec, order: Sequence[str]) -> list[str]:
     return ["loan_term", *(DIMENSION_COLUMNS[d] for d in order if d in spec.by)]
 
 
-def _originator() -> m.Measure:
-    """First seller name of the group, for reports by seller."""
-    return m.plain("originator", "min", c("seller"))
-
-
 def _to_date() -> list[m.Measure]:
     parts = {"p_default_upb": ("sum", c("default_bal")), **m.upb_part()}
     return [
@@ -93,8 +89,6 @@ def vintage_report(
     if "elig" not in spec.display:
         breakdown = {"appr_not_full_pct": breakdown["appr_not_full_pct"]}
     measures += breakdown.values()
-    if "seller" in spec.by:
-        measures.append(_originator())
     if "vintage" in spec.display:
         measures.append(m.vintage_range())
     if "geo" in spec.display:
@@ -107,7 +101,8 @@ def vintage_report(
         measures += _to_date()
         measures += [_ever("ever_60_pct", "ever_60_horizon")]
         measures += [_ever("ever_120_pct", "ever_120_horizon")]
-    return aggregate(universe, _keys(spec, VINTAGE_REPORT_ORDER), measures, rollup=True)
+    report = aggregate(universe, _keys(spec, VINTAGE_REPORT_ORDER), measures, rollup=True)
+    return with_party_names(report, tables.orig, spec)
 
 
 def with_grand_total(report: DataFrame) -> DataFrame:
@@ -143,6 +138,7 @@ def combined_report(tables: LoanTables, spec: CohortSpec) -> DataFrame:
         rows = with_horizon(rows, tables.month, max_period(tables), spec)
         measures += [*_horizon(spec), _ever("ever_60_pct", "ever_60_horizon")]
     report = aggregate(rows, _keys(spec, COMBINED_REPORT_ORDER), measures, rollup=True)
+    report = with_party_names(report, tables.orig, spec)
     return with_grand_total(report) if "strat" in shown else report
 
 
@@ -164,4 +160,5 @@ def combined_age_curve(tables: LoanTables, spec: CohortSpec) -> DataFrame:
         *m.delinquency_rates()[:3],
     ]
     keys = [*_keys(spec, COMBINED_REPORT_ORDER), "loan_age"]
-    return aggregate(rows, keys, measures, rollup=True)
+    report = aggregate(rows, keys, measures, rollup=True)
+    return with_party_names(report, tables.orig, spec)

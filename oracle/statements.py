@@ -68,7 +68,8 @@ S["max_period"] = statement("SELECT max(act_period) AS max_period FROM month")
 
 S["universe"] = statement(
     f"""SELECT loan_id, {r6('orig_rate')} AS orig_rate, channel,
-  {r6('orig_rate_pctile')} AS orig_rate_pctile, {r2('orig_upb')} AS orig_upb, {r6('orig_upb_pctile')} AS orig_upb_pctile,
+  {r6('orig_rate_pctile')} AS orig_rate_pctile, {r2('orig_upb')} AS orig_upb,
+  {r6('orig_upb_pctile')} AS orig_upb_pctile,
   CAST(loan_term AS BIGINT) AS loan_term, orig_date, first_flag, second_home, mi_flag, state,
   high_balance_loan_indicator, eligible, vintage, pctile_seg AS bal_seg
 FROM p""",
@@ -145,7 +146,8 @@ FROM (SELECT *, {INCOME} AS income FROM u) GROUP BY loan_term, vintage"""
 )
 S["sched_balance"] = statement(
     f"""SELECT loan_id, abs({r2(amortized('0'))}) AS sched_0,
-  abs({r2(amortized('12'))}) AS sched_12, abs({r2(amortized('24'))}) AS sched_24, abs({r2(amortized('orig_term'))}) AS sched_at_term
+  abs({r2(amortized('12'))}) AS sched_12, abs({r2(amortized('24'))}) AS sched_24,
+  abs({r2(amortized('orig_term'))}) AS sched_at_term
 FROM orig"""
 )
 
@@ -315,8 +317,15 @@ GROUP_COLUMNS = (
 )
 
 
-def _by(key: str, *extra: str, source: str = "u") -> str:
-    return _rolled([key], GROUP_COLUMNS, *extra, source=source)
+def _by(key: str, *extra: str, source: str = "u", named: str = "") -> str:
+    return _rolled([key], named + GROUP_COLUMNS, *extra, source=source)
+
+
+def _name(rank: str, party: str, column: str) -> str:
+    return (
+        f"CASE WHEN grouping({rank}) = 1 THEN 'Total' ELSE min(coalesce({party}, 'Other')) END"
+        f" AS {column}, "
+    )
 
 
 S["by_vintage"] = _by("vintage")
@@ -329,8 +338,18 @@ S["by_mi"] = _by(
 )
 S["by_channel"] = _by("channel")
 S["by_balance"] = _by("bal_seg", PERCENTILES, source="(SELECT *, pctile_seg AS bal_seg FROM p)")
-S["by_seller"] = _by("seller_rank", SELLERS, source="ranked_sellers")
-S["by_servicer"] = _by("servicer_rank", SERVICERS, source="ranked_servicers")
+S["by_seller"] = _by(
+    "seller_rank",
+    SELLERS,
+    source="ranked_sellers",
+    named=_name("seller_rank", "seller", "originator"),
+)
+S["by_servicer"] = _by(
+    "servicer_rank",
+    SERVICERS,
+    source="ranked_servicers",
+    named=_name("servicer_rank", "servicer", "servicer_name"),
+)
 S["seller_rank"] = statement(
     f"""SELECT seller AS party, CAST(seller_rank AS BIGINT) AS rank, {r2('volume')} AS volume,
   CAST(min_orig AS BIGINT) AS min_orig, CAST(max_orig AS BIGINT) AS max_orig, 'seller' AS kind

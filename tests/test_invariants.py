@@ -201,6 +201,19 @@ def test_unnamed_servicer_uses_up_a_rank(micro):
         assert ranks == expected
 
 
+def test_names_stand_beside_ranks(micro):
+    rows = [
+        {"loan_id": 1, "servicer": "Big", "orig_upb": 300000},
+        {"loan_id": 2, "servicer": None, "orig_upb": 200000},
+    ]
+    spec = CohortSpec.vintage(2022, by=("servicer",), rollup=True)
+    report = cohort_report(micro(rows), spec).filter(c("g_loan_term") == 0).collect()
+    found = {(r["servicer_rank"], r["g_servicer_rank"], r["servicer_name"]) for r in report}
+    assert found == {(1, 0, "Big"), (None, 0, "Other"), (None, 1, "Total")}
+    legacy = vintage_report(micro(rows), spec).collect()
+    assert {r["servicer_name"] for r in legacy} == {"Big", "Other", "Total"}
+
+
 def test_legacy_reports_show_subtotals_and_grand_total(stored):
     report = combined_report(stored, ALL.but(by=("vintage",), display=("strat",))).collect()
     grand = next(r for r in report if r["g_loan_term"] == 1)

@@ -29,3 +29,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from loanlens.llm.similarity import similar_documents
+
+    return similar_documents(table(spark, folder, "documents"), shingle=4, percent=85)

@@ -36,3 +36,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from loanlens.llm.similarity import similar_documents
 
     return similar_documents(table(spark, folder, "documents"), shingle=4, percent=85)
+
+
+@query
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from loanlens.llm.contamination import contaminated, search
+
+    found = search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=13)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        contaminated(percent=5).alias("contaminated"),
+    )

@@ -51,3 +51,31 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         contaminated(percent=5).alias("contaminated"),
     )
+
+
+@query
+def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """`n_near`, for ids divisible by 50: other documents within 3 bits of the fingerprint."""
+    from loanlens.llm import fingerprints as f
+    from loanlens.llm.storage import cut
+
+    c = F.col
+    found = cut(f.with_next(table(spark, folder, "documents")))
+    asked = found.where("doc_id % 50 = 0")
+    holders = found.groupBy(c("fingerprint").alias("near")).agg(F.count(F.lit(1)).alias("k"))
+    near = (
+        f.within_radius(asked, found, radius=3)
+        .join(holders, "near")
+        .groupBy("fingerprint")
+        .agg((F.sum("k") - 1).alias("n_near"))
+    )
+    return found.join(near, "fingerprint", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        f.as_text(c("fingerprint")).alias("fingerprint"),
+        f.as_text(c("edited_fingerprint")).alias("edited_fingerprint"),
+        f.likeness(c("fingerprint"), c("edited_fingerprint")).alias("near_edited"),
+        f.likeness(c("fingerprint"), c("next_fingerprint")).alias("near_next"),
+        F.when(c("doc_id") % 50 == 0, c("n_near")).alias("n_near"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,25 @@ def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         f.likeness(c("fingerprint"), c("next_fingerprint")).alias("near_next"),
         F.when(c("doc_id") % 50 == 0, c("n_near")).alias("n_near"),
     )
+
+
+@query
+def op9_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Starts from an empty ledger, so every run scans every blob."""
+    from loanlens.llm import secrets as s
+
+    found = s.scan_versions(table(spark, folder, "documents"), s.own_ledger(spark))
+    findings = F.col("findings")
+
+    def number(rank: int) -> Column:
+        return F.size(s.of_rules(findings, range(rank, rank + 1))).cast("long")
+
+    base = s.as_text(s.of_rules(findings, range(len(s.BASE))))
+    return found.select(
+        "doc_id",
+        number(0).alias("n_assign"),
+        number(1).alias("n_access"),
+        number(2).alias("n_hex"),
+        F.sha2(base, 256).alias("base_sha256"),
+        s.as_text(findings).alias("spans"),
+    )

@@ -16,7 +16,6 @@ own. Long texts and long words only make longer arrays.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.llm import words as w
@@ -226,5 +225,6 @@ def encode_decode(
     ).mapInArrow(run, TOKENS)
 
 
-def digest(ids: np.ndarray) -> str:
-    return hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
+def ids_text(ids: Column) -> Column:
+    """Decimal ids joined by commas."""
+    return F.array_join(ids.cast("array<string>"), ",")

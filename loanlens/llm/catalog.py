@@ -101,3 +101,38 @@ def op9_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(base, 256).alias("base_sha256"),
         s.as_text(findings).alias("spans"),
     )
+
+
+#: The tokenizer of the registered queries; operators take any path.
+TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Starts from an empty cache, so every run encodes every distinct text."""
+    from loanlens.llm.tokencounts import own_cache, token_counts
+
+    found = token_counts(
+        table(spark, folder, "documents"), own_cache(spark), tokenizer_path(TOKENIZER)
+    )
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op6_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
+    from loanlens.llm.bpe import encode_decode, ids_text
+
+    found = encode_decode(table(spark, folder, "documents"), tokenizer_path(TOKENIZER))
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

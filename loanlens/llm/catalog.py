@@ -136,3 +136,22 @@ def op6_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def url_rules() -> list:
+    from loanlens.llm.urls import Rule
+
+    return [
+        Rule("org", "/", "allow"),
+        Rule("example.org", "/es/", "block"),
+        Rule("example.org", "/en/1", "block"),
+        Rule("com", "/fr/", "allow"),
+        Rule("com", "/de/", "block"),
+    ]
+
+
+@query
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    from loanlens.llm.urls import judge
+
+    return judge(table(spark, folder, "pages"), url_rules()).drop("url")

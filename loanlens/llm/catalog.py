@@ -155,3 +155,13 @@ def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     from loanlens.llm.urls import judge
 
     return judge(table(spark, folder, "pages"), url_rules()).drop("url")
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """A document's site is its source; its language takes the place of the path."""
+    from loanlens.llm.quality import judge
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    found = judge(docs, table(spark, folder, "labels"), F.col("source"), F.col("lang"))
+    return found.select("doc_id", "judgement.*")

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a token-group matrix: documents that share enough of their shingles.
 
-1. Blocks of documents send shingle hashes, packed, to hash buckets. A bucket answers with the
+1. Blocks of documents send shingle hashes, packed, to hash buckets (exact copies count once). A bucket answers with the
    shingles that several documents hold and a band of their count. Equal shingle sets become one
    class; its smallest id stands for it.
 2. All shingles have one global order: those of one document only, then by count band and hash.
@@ -45,7 +45,7 @@ ELL = 4
 TOKENS, CLASSES = 0, 1
 PACKED = "bucket long, block long, kind int, names binary, extra binary"
 ROWS = (
-    "doc_id long, n long, rep long, ell int, rare long, key1 long, key2 long, "
+    "doc_id long, n long, rep long, ell int, rare long, key long, "
     "prefix array<long>, tokens array<long>"
 )
 
@@ -89,16 +89,19 @@ def _packed(bucket, block, kind, names, extra) -> pa.Table:
     )
 
 
-def _send(block: pa.Table, size: int, n_buckets: int) -> pa.Table:
+def _send(block: pa.Table, copies: pa.Table, size: int, n_buckets: int) -> pa.Table:
     number = block["block"][0].as_py()
+    again = np.unique(copies["copy_id"].to_numpy())
     names, classes = [], []
     for part in w.slices(block, "text"):
         sets = Sets(part.column("text"), size)
-        names.append(sets.names)
         ids = part.column("doc_id")
-        some = (sets.counts > 0) & ids.is_valid().to_numpy(False)
+        valid = ids.is_valid().to_numpy(False)
+        some = (sets.counts > 0) & valid
         one, two = sets.digests()
         ids = ids.fill_null(0).to_numpy(False)
+        counted = ~(valid & np.isin(ids, again))
+        names.append(sets.names[counted[sets.owner]])
         classes.append(
             np.stack([one[some], two[some], ids[some].astype(np.int64).view(np.uint64)], axis=1)
         )
@@ -218,7 +221,7 @@ def _prefixes(
 _LISTS = pa.list_(pa.int64())
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("ell", pa.int32())]
-    + [(k, pa.int64()) for k in ("rare", "key1", "key2")]
+    + [(k, pa.int64()) for k in ("rare", "key")]
     + [("prefix", _LISTS), ("tokens", _LISTS)]
 )
 
@@ -269,8 +272,7 @@ def _rows(part, keys, bands, classes, size, percent, n_buckets) -> pa.Table:
     taken = taken[live[owner[taken]]]
     shared = np.flatnonzero((band > 0) & live[owner])
     rare = counts - np.bincount(owner[shared], minlength=n)
-    key1 = _least(w.mix(names[shared] ^ np.uint64(0xA5A5A5A5)), owner[shared], n)
-    key2 = _least(w.mix(names[shared] ^ np.uint64(0x5A5A5A5A5A)), owner[shared], n)
+    key = _least(w.mix(names[shared] ^ np.uint64(0xA5A5A5A5)), owner[shared], n)
     every = np.flatnonzero(live[owner])
     dead = ~live
 
@@ -284,8 +286,7 @@ def _rows(part, keys, bands, classes, size, percent, n_buckets) -> pa.Table:
             pa.array(rep, pa.int64()),
             pa.array(ell, pa.int32()),
             some(rare.astype(np.int64)),
-            some(key1),
-            some(key2),
+            some(key),
             _lists(owner[taken], names[taken], n),
             _lists(owner[every], names[every], n),
         ],
@@ -350,8 +351,22 @@ def similar_documents(
         F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
     ).withColumn("block", blocks.of(c("doc_id")))
     n_buckets = blocks.count
-    sent = dealt.groupBy("block").applyInArrow(
-        on_table(_send, size=shingle, n_buckets=n_buckets), PACKED
+    # Shingles of exact copies count once, for the copy with the smallest id.
+    exact = dealt.where("doc_id is not null").select(
+        "block", "doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(7), "text").alias("y")
+    )
+    least = exact.groupBy("x", "y").agg(
+        F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("k")
+    )
+    copies = (
+        exact.join(least.where("k > 1").drop("k"), ["x", "y"])
+        .where(c("doc_id") != c("kept"))
+        .select(c("block").alias("at"), c("doc_id").alias("copy_id"))
+    )
+    sent = (
+        dealt.groupBy("block")
+        .cogroup(copies.groupBy("at"))
+        .applyInArrow(on_tables(_send, size=shingle, n_buckets=n_buckets), PACKED)
     )
     answers = sent.groupBy("bucket").applyInArrow(on_table(_answer), PACKED)
     rows = cut(
@@ -361,7 +376,7 @@ def similar_documents(
             on_tables(_prefixes, size=shingle, percent=percent, n_buckets=n_buckets), ROWS
         )
     )
-    links = _links(rows.where("key1 is not null"), percent)
+    links = _links(rows.where("key is not null"), percent)
     found = components(links)
     return (
         rows.select("doc_id", c("n").alias("n_shingles"), "rep")
@@ -373,30 +388,31 @@ def similar_documents(
 def _links(some: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect every component; not each pair of a component."""
     # Stars around the most central document of each min-hash.
-    keyed = some.select(
-        "doc_id", "n", "tokens", "rare", F.explode(F.array("key1", "key2")).alias("key")
-    )
-    centre = keyed.groupBy("key").agg(
-        F.min(F.struct("rare", "doc_id", "n", "tokens")).alias("z"), F.count(F.lit(1)).alias("k")
+    thin = some.select("doc_id", "n", "ell", "rare", "key")
+    tokens = some.select(c("doc_id").alias("id"), "tokens")
+    centre = thin.groupBy("key").agg(
+        F.min(F.struct("rare", "doc_id", "n")).alias("z"), F.count(F.lit(1)).alias("k")
     )
-    centre = centre.where("k > 1").select(
-        "key", *[c(f"z.{x}").alias(f"z_{x}") for x in ("doc_id", "n", "tokens")]
+    centre = (
+        centre.where("k > 1")
+        .select("key", c("z.doc_id").alias("z_id"), c("z.n").alias("z_n"))
+        .join(tokens.withColumnsRenamed({"id": "z_id", "tokens": "z_tokens"}), "z_id")
     )
-    overlap = F.size(F.array_intersect("tokens", "z_tokens"))
     stars = (
-        keyed.join(centre, "key")
-        .where(c("doc_id") != c("z_doc_id"))
-        .withColumn("both", overlap)
+        some.select("doc_id", "n", "key", "tokens")
+        .join(centre, "key")
+        .where(c("doc_id") != c("z_id"))
+        .withColumn("both", F.size(F.array_intersect("tokens", "z_tokens")))
         .where(100 * c("both") >= percent * (c("n") + c("z_n") - c("both")))
-        .select(c("doc_id").alias("a"), c("z_doc_id").alias("b"))
+        .select(c("doc_id").alias("a"), c("z_id").alias("b"))
     )
     stars = cut(components(stars).select(c("node").alias("a"), c("component").alias("b")))
 
     # Groups: each label, and the rest by min-hash, in pieces of GROUP documents at most.
     labelled = (
-        some.join(stars.withColumnRenamed("a", "doc_id"), "doc_id", "left")
+        thin.join(stars.withColumnRenamed("a", "doc_id"), "doc_id", "left")
         .withColumn("linked", c("b").isNotNull())
-        .withColumn("family", F.when(c("linked"), F.xxhash64("b")).otherwise(c("key1")))
+        .withColumn("family", F.when(c("linked"), F.xxhash64("b")).otherwise(c("key")))
         .withColumn("label", F.coalesce("b", "doc_id"))
     )
     sizes = labelled.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
@@ -404,12 +420,16 @@ def _links(some: DataFrame, percent: int) -> DataFrame:
     members = cut(
         labelled.join(sizes, "family")
         .withColumn("group", F.xxhash64("linked", "family", piece))
-        .select("doc_id", "n", "ell", "label", "linked", "group", "prefix", "tokens")
+        .select("doc_id", "n", "ell", "label", "linked", "group")
     )
 
     # The matrix, and what opens.
-    probe = members.select(
-        "doc_id", "n", "ell", "label", "linked", "group", F.explode("prefix").alias("token")
+    probe = (
+        some.select(c("doc_id").alias("id"), "prefix")
+        .join(members, c("id") == c("doc_id"))
+        .select(
+            "doc_id", "n", "ell", "label", "linked", "group", F.explode("prefix").alias("token")
+        )
     )
     matrix = probe.groupBy("token", c("group").alias("g")).agg(
         F.min("n").alias("low"),
@@ -440,11 +460,12 @@ def _links(some: DataFrame, percent: int) -> DataFrame:
     asking = (
         opened.join(asked, "group")
         .withColumn("deal", F.pmod(F.xxhash64("doc_id"), c("deals")))
-        .join(members.select("doc_id", "n", "tokens"), "doc_id")
+        .join(some.select("doc_id", "n", "tokens"), "doc_id")
         .select("group", "deal", "doc_id", "n", "tokens")
     )
     there = (
         members.join(asked, "group")
+        .join(tokens, c("id") == c("doc_id"))
         .withColumn("deal", F.explode(F.sequence(F.lit(0), c("deals") - 1)))
         .select(*[c(x).alias(f"m_{x}") for x in ("group", "deal", "doc_id", "n", "label", "tokens")])
     )

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from loanlens.llm import words as w
 from loanlens.llm.pieces import Cache
+from loanlens.llm.rows import add_column
 
 c = F.col
 
@@ -38,7 +39,7 @@ WORD = regex.compile(
     rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 
-TOKENS = "doc_id long, n_tokens long, ids array<int>, decoded string"
+TOKENS = "struct<n_tokens:bigint,ids:array<int>,decoded:string>"
 
 
 def byte_letters() -> dict[str, int]:
@@ -184,45 +185,42 @@ class Encoder:
         return out
 
 
-def _run(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(vocabulary)
-    for batch in batches:
-        for part in w.slices(batch, "text", limit=1 << 20):
-            texts = [x or "" for x in part.column("text").to_pylist()]
-            found = encoder.encode(texts)
-            counts = np.array([len(x) for x in found], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(counts)])
-            ids = np.concatenate(found)
-            ends = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])[offsets]
-            data = vocabulary.decode(ids).tobytes()
-            decoded = [
-                data[s:e].decode("utf-8", "replace") for s, e in zip(ends, ends[1:], strict=False)
-            ]
-            yield pa.record_batch(
-                [
-                    part.column("doc_id").cast(pa.int64()),
-                    pa.array(counts),
-                    pa.ListArray.from_arrays(
-                        pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32())
-                    ),
-                    pa.array(decoded, pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
+def _encode(texts: pa.Array, encoder: Encoder) -> pa.Array:
+    vocabulary = encoder.vocabulary
+    found = encoder.encode([x or "" for x in texts.to_pylist()])
+    counts = np.array([len(x) for x in found], dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    ids = np.concatenate(found)
+    ends = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])[offsets]
+    data = vocabulary.decode(ids).tobytes()
+    decoded = [data[s:e].decode("utf-8", "replace") for s, e in zip(ends, ends[1:], strict=False)]
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(counts),
+            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32())),
+            pa.array(decoded, pa.string()),
+        ],
+        names=["n_tokens", "ids", "decoded"],
+    )
+
+
+def encode_rows(docs: DataFrame, path: str, name: str, text: str = "text") -> DataFrame:
+    """The rows with a struct column `name`: n_tokens, ids and the text decoded from the ids."""
+    vocabulary = Vocabulary(path)
+
+    def start() -> Callable[[pa.RecordBatch], pa.Array]:
+        encoder = Encoder(vocabulary)
+        return lambda part: _encode(part.column(text), encoder)
+
+    return add_column(docs, name, TOKENS, text, start, limit=1 << 20)
 
 
 def encode_decode(
     docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids and the text decoded from the ids."""
-    vocabulary = Vocabulary(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _run(batches, vocabulary)
-
-    return docs.select(
-        c(key).cast("long").alias("doc_id"), c(text).cast("string").alias("text")
-    ).mapInArrow(run, TOKENS)
+    """One row per input row: the key, n_tokens, ids and the text decoded from the ids."""
+    own = docs.select(c(key).alias("doc_id"), c(text).cast("string").alias("text"))
+    return encode_rows(own, path, "found").select("doc_id", "found.*")
 
 
 def ids_text(ids: Column) -> Column:

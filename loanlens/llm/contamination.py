@@ -18,7 +18,7 @@ items gives every document no hits. Rows with equal or null document ids stay ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.llm import words as w
+from loanlens.llm.rows import add_column, own_name
 
 c = F.col
 
@@ -34,18 +35,18 @@ RAREST = 4
 SEED = 31
 
 _HIT = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_TYPES = [
-    ("doc_id", pa.int64()),
-    ("text", pa.large_string()),
-    ("n_words", pa.int64()),
-    ("n_hit", pa.int64()),
-    ("hits", _HIT),
-    ("items", pa.list_(pa.string())),
-    ("near_items", pa.list_(pa.string())),
-]
-MATCHES = (
-    "doc_id long, text string, n_words long, n_hit long, "
-    "hits array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
+STATE = (
+    "struct<n_words:bigint,n_hit:bigint,hits:array<struct<start:bigint,end:bigint>>,"
+    "items:array<string>,near_items:array<string>>"
+)
+_STATE = pa.struct(
+    [
+        ("n_words", pa.int64()),
+        ("n_hit", pa.int64()),
+        ("hits", _HIT),
+        ("items", pa.list_(pa.string())),
+        ("near_items", pa.list_(pa.string())),
+    ]
 )
 
 
@@ -199,88 +200,101 @@ def _covered(words: w.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _search(
-    batches: Iterator[pa.RecordBatch], phrases: Phrases, slop: int | None
-) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in w.slices(batch, "text"):
-            n = part.num_rows
-            words = w.Words(part.column("text"), w.LETTERS, lower=True)
-            shard = Shard(words, phrases)
-            phrase, start = shard.exact()
-            end = start + phrases.sizes[phrase]
-            # What earlier parts of the benchmark hit.
-            before = part.column("hits")
-            base = np.repeat(words.first[:-1], before.value_lengths().to_numpy(False))
-            before = before.flatten()
-            covered = _covered(
-                words,
-                np.concatenate([start, base + before.field("start").to_numpy(False)]),
-                np.concatenate([end, base + before.field("end").to_numpy(False)]),
-            )
-            total = np.concatenate([[0], np.cumsum(covered)])
-            near = part.column("near_items")
-            if slop is not None:
-                close, position = shard.near(slop)
-                near = _items(close, shard.text[position], phrases, near)
-            items = _items(phrase, shard.text[start], phrases, part.column("items"))
-            columns = [
-                part.column("doc_id"),
-                part.column("text"),
-                pa.array(words.counts()),
-                pa.array(total[words.first[1:]] - total[words.first[:-1]]),
-                _spans(covered, words, n),
-                pa.array(items, pa.list_(pa.string())),
-                pa.array(near, pa.list_(pa.string())),
-            ]
-            yield pa.record_batch(
-                [x.cast(kind) for x, (_, kind) in zip(columns, _TYPES, strict=True)],
-                names=[name for name, _ in _TYPES],
-            )
+def _look_up(
+    texts: pa.Array, before: pa.StructArray | None, phrases: Phrases, slop: int | None
+) -> pa.Array:
+    """The state of some texts after one more part of the benchmark."""
+    n = len(texts)
+    words = w.Words(texts, w.LETTERS, lower=True)
+    shard = Shard(words, phrases)
+    phrase, start = shard.exact()
+    end = start + phrases.sizes[phrase]
+    items, near = pa.nulls(n), pa.nulls(n)
+    if before is not None:
+        _, _, hits, items, near = before.flatten()
+        base = np.repeat(words.first[:-1], hits.value_lengths().to_numpy(False))
+        hits = hits.flatten()
+        starts, ends = (base + hits.field(k).to_numpy(False) for k in ("start", "end"))
+    else:
+        starts = ends = np.empty(0, np.int64)
+    covered = _covered(words, np.concatenate([start, starts]), np.concatenate([end, ends]))
+    total = np.concatenate([[0], np.cumsum(covered)])
+    items = _items(phrase, shard.text[start], phrases, items)
+    if slop is not None:
+        close, position = shard.near(slop)
+        near = _items(close, shard.text[position], phrases, near)
+    else:
+        near = [[] for _ in range(n)]
+    columns = [
+        pa.array(words.counts()),
+        pa.array(total[words.first[1:]] - total[words.first[:-1]]),
+        _spans(covered, words, n),
+        pa.array(items, pa.list_(pa.string())),
+        pa.array(near, pa.list_(pa.string())),
+    ]
+    return pa.StructArray.from_arrays(
+        [x.cast(f.type) for x, f in zip(columns, _STATE, strict=True)], fields=list(_STATE)
+    )
 
 
-def search(
+def search_rows(
     docs: DataFrame,
     items: DataFrame,
+    name: str,
     window: int = 13,
     slop: int | None = None,
-    key: str = "doc_id",
     item_key: str = "item_id",
     text: str = "text",
+    item_text: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, text, n_words, n_hit (words inside an occurrence), hits (their
-    intervals), items (ids of items with an occurrence, sorted as text) and near_items (the same
-    for proximity matches; empty without `slop`)."""
+    """The rows with a struct column `name`: n_words, n_hit (words inside an occurrence), hits
+    (their intervals), items (ids of items with an occurrence, sorted as text) and near_items (the
+    same for proximity matches; empty without `slop`)."""
     items = items.select(
-        c(item_key).cast("string").alias("item"), c(text).cast("string").alias("text")
+        c(item_key).cast("string").alias("item"), c(item_text).cast("string").alias("text")
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = 1 + size // PART
     number = F.pmod(F.xxhash64("item"), F.lit(n_parts))
-    found = docs.select(
-        c(key).cast("long").alias("doc_id"),
-        c(text).cast("string").alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_hit"),
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("hits"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-        F.expr("cast(array() as array<string>)").alias("near_items"),
-    )
+    found, before = docs, None
     for part in range(n_parts):
-        found = _pass(found, items.where(number == part), window, slop)
+        rows = items.where(number == part).collect()  # about PART bytes of text
+        phrases = Phrases([r["item"] for r in rows], [r["text"] for r in rows], window)
+        own = name if part == n_parts - 1 else own_name([*found.columns, name], "part")
+        found = add_column(found, own, STATE, text, _starter(phrases, text, before, slop))
+        if before:
+            found = found.drop(before)
+        before = own
     return found
 
 
-def _pass(found: DataFrame, items: DataFrame, window: int, slop: int | None) -> DataFrame:
-    rows = items.collect()  # about PART bytes of text
-    phrases = Phrases([r["item"] for r in rows], [r["text"] for r in rows], window)
+def _starter(
+    phrases: Phrases, text: str, before: str | None, slop: int | None
+) -> Callable[[], Callable[[pa.RecordBatch], pa.Array]]:
+    def start() -> Callable[[pa.RecordBatch], pa.Array]:
+        return lambda part: _look_up(
+            part.column(text), part.column(before) if before else None, phrases, slop
+        )
+
+    return start
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _search(batches, phrases, slop)
 
-    return found.mapInArrow(run, MATCHES)
+def search(
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = 13,
+    slop: int | None = None,
+    key: str = "doc_id",
+    item_key: str = "item_id",
+    text: str = "text",
+) -> DataFrame:
+    """One row per document: its key, text and the fields of `search_rows`."""
+    own = docs.select(c(key).alias("doc_id"), c(text).cast("string").alias("text"))
+    found = search_rows(own, items, "found", window, slop, item_key, item_text=text)
+    return found.select("doc_id", "text", "found.*")
 
 
-def contaminated(percent: int = 5) -> Column:
+def contaminated(percent: int = 5, prefix: str = "") -> Column:
     """Whether at least `percent` of a document's words, and one word, are hit."""
-    return (c("n_hit") > 0) & (100 * c("n_hit") >= percent * c("n_words"))
+    hit, words = c(f"{prefix}n_hit"), c(f"{prefix}n_words")
+    return (hit > 0) & (100 * hit >= percent * words)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.llm import words as w
+from loanlens.llm.rows import add_column, own_name
 from loanlens.llm.storage import cut
 from loanlens.llm.urls import logistic
 
@@ -176,29 +177,15 @@ def train(
     return Classifier(x, rows["good"].to_numpy())
 
 
-def with_log_odds(docs: DataFrame, text: str, model: Classifier) -> DataFrame:
-    """The rows with their own evidence in a column of a name no input has."""
-    name = own_name(docs.columns)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def with_log_odds(docs: DataFrame, name: str, text: str, model: Classifier) -> DataFrame:
+    """The rows with their own evidence, 0 for an empty text, in a column `name`."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in w.slices(batch, text, limit=1 << 19):
-                found = model.log_odds(features(part.column(text)))
-                empty = np.diff(w.text_bytes(part.column(text))[1]) == 0
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(np.where(empty, 0.0, found))],
-                    names=[*part.schema.names, name],
-                )
-
-    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
+    def evidence(part: pa.RecordBatch) -> pa.Array:
+        texts = part.column(text)
+        empty = np.diff(w.text_bytes(texts)[1]) == 0
+        return pa.array(np.where(empty, 0.0, model.log_odds(features(texts))))
 
-
-def own_name(taken: list[str], name: str = "evidence") -> str:
-    low = {x.lower() for x in taken}
-    while name in low:
-        name += "_"
-    return name
+    return add_column(docs, name, "double", text, lambda: evidence, limit=1 << 19)
 
 
 def site_rates(thin: DataFrame, base: float) -> DataFrame:
@@ -257,18 +244,17 @@ def judge(
     `judgement` (a clash with an input column is avoided by underscores)."""
     name = own_name(docs.columns, "judgement")
     model = train(docs, labels, key, text, label)
-    site = F.struct(
+    place = F.struct(
         F.coalesce(host.cast("string"), F.lit("")).alias("host"),
         F.coalesce(path.cast("string"), F.lit("")).alias("path"),
     )
-    own = "_".join(["judged", own_name(docs.columns, "row")])
-    row = F.struct(*[c(f"`{x}`") for x in docs.columns])
     if model is None:
+        nothing = F.lit(None).cast("double")
         verdict = F.struct(
-            site["host"].alias("host"),
-            site["path"].alias("path"),
-            F.lit(None).cast("double").alias("own_probability"),
-            F.lit(None).cast("double").alias("probability"),
+            place["host"].alias("host"),
+            place["path"].alias("path"),
+            nothing.alias("own_probability"),
+            nothing.alias("probability"),
             F.lit(True).alias("keep"),
         )
         return docs.withColumn(name, verdict)
@@ -276,22 +262,25 @@ def judge(
     def probability(odds: Column) -> Column:
         return 1 / (1 + F.exp(-odds))
 
-    short = docs.select(site.alias("site"), c(f"`{text}`").alias("body"))
-    thin = with_log_odds(short, "body", model).select(
+    short = docs.select(place.alias("site"), c(f"`{text}`").cast("string").alias("body"))
+    thin = with_log_odds(short, "evidence", "body", model).select(
         "site.host", "site.path", probability(c("evidence")).alias("p")
     )
     rates = cut(site_rates(thin, model.base))
-    sites = rates.select(F.struct("host", "path").alias("site"), "shift")
+    site, shift = own_name(docs.columns, "site"), own_name(docs.columns, "shift")
+    odds = own_name(docs.columns, "evidence")
+    sites = rates.select(F.struct("host", "path").alias(site), c("shift").alias(shift))
     if rates.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
-    wide = docs.select(row.alias(own), site.alias("site"), c(f"`{text}`").alias("body"))
-    scored = with_log_odds(wide, "body", model).join(sites, "site", "left")
-    final = probability(c("evidence") + F.coalesce("shift", F.lit(0.0)))
+    scored = with_log_odds(docs, odds, text, model).withColumn(site, place)
+    final = probability(c(odds) + F.coalesce(c(shift), F.lit(0.0)))
     verdict = F.struct(
-        c("site.host").alias("host"),
-        c("site.path").alias("path"),
-        probability(c("evidence")).alias("own_probability"),
+        c(site)["host"].alias("host"),
+        c(site)["path"].alias("path"),
+        probability(c(odds)).alias("own_probability"),
         final.alias("probability"),
         (final >= least).alias("keep"),
     )
-    return scored.select(f"{own}.*", verdict.alias(name))
+    return (
+        scored.join(sites, site, "left").withColumn(name, verdict).select(*docs.columns, name)
+    )

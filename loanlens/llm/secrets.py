@@ -22,7 +22,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.storage import new_path
+from loanlens.llm.rows import own_name
+from loanlens.llm.storage import cut, new_path
 
 c = F.col
 
@@ -207,3 +208,28 @@ def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
         ),
     )
     return F.when(F.size(findings) > 0, whole).otherwise(text)
+
+
+#: Findings up to this number of rows, and of spans, are sent to all tasks; more are joined by a
+#: shuffle.
+BROADCAST_ROWS, BROADCAST_SPANS = 50_000, 500_000
+
+
+def redact_rows(
+    docs: DataFrame, ledger: Ledger, text: str = "text", rules: tuple[Rule, ...] = RULES
+) -> DataFrame:
+    """The rows with their secrets replaced by a mark; the columns stay the same. Only blobs with
+    findings are joined back."""
+    content = F.coalesce(c(text).cast("string"), F.lit(""))
+    blob, findings = own_name(docs.columns, "blob"), own_name(docs.columns, "findings")
+    found = ledger.update(
+        docs.select(F.sha2(content, 256).alias("blob"), content.alias("content")), rules
+    )
+    found = found.where(F.size("findings") > 0).dropDuplicates(["blob"])
+    found = cut(found.select(c("blob").alias(blob), c("findings").alias(findings)))
+    size = found.agg(F.count(F.lit(1)), F.sum(F.size(findings))).first()
+    if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_SPANS:
+        found = F.broadcast(found)
+    joined = docs.withColumn(blob, F.sha2(content, 256)).join(found, blob, "left")
+    clean = F.when(c(findings).isNull(), c(text)).otherwise(redacted(c(text), c(findings)))
+    return joined.withColumn(text, clean).select(*docs.columns)

@@ -9,12 +9,12 @@
    linked with nothing and goes no further.
 3. Similar documents are partitioned into groups: documents that share a min-hash are compared
    with the most central one of them; what links forms a star, stars that meet form a label. A
-   label, and the rest by min-hash, is dealt into groups of `GROUP` documents at most.
+   label, and the rest by min-hash, is dealt into groups of about `GROUP` shingles.
 4. The token-group matrix holds the union of each group's prefix shingles. A document's overlap
    with a group's union bounds its overlap with every member, so groups with less than `ell`, or
    out of the range of sizes, stay closed. Groups of the document's own label stay closed too.
-5. Opened groups are compared exactly, all members at once, by at most `QUERIES` documents in a
-   task.
+5. Opened groups are compared exactly, all members at once, with documents of about `QUERIES`
+   shingles in a task.
 
 Every pair that reaches the threshold is either inside one label or opened, so none is lost.
 A large set of copies costs one comparison each with its centre.
@@ -38,8 +38,9 @@ from loanlens.llm.storage import cut
 
 c = F.col
 
-GROUP = 128
-QUERIES = 512
+#: Shingles of the members of a group, and of the documents compared with it in one task.
+GROUP = 200_000
+QUERIES = 200_000
 ELL = 4
 
 TOKENS, CLASSES = 0, 1
@@ -408,15 +409,15 @@ def _links(some: DataFrame, percent: int) -> DataFrame:
     )
     stars = cut(components(stars).select(c("node").alias("a"), c("component").alias("b")))
 
-    # Groups: each label, and the rest by min-hash, in pieces of GROUP documents at most.
+    # Groups: each label, and the rest by min-hash, in pieces of about GROUP shingles.
     labelled = (
         thin.join(stars.withColumnRenamed("a", "doc_id"), "doc_id", "left")
         .withColumn("linked", c("b").isNotNull())
         .withColumn("family", F.when(c("linked"), F.xxhash64("b")).otherwise(c("key")))
         .withColumn("label", F.coalesce("b", "doc_id"))
     )
-    sizes = labelled.groupBy("family").agg(F.count(F.lit(1)).alias("k"))
-    piece = F.pmod(F.xxhash64("doc_id"), F.ceil(2 * c("k") / F.lit(GROUP)))
+    sizes = labelled.groupBy("family").agg(F.sum("n").alias("k"))
+    piece = F.pmod(F.xxhash64("doc_id"), F.ceil(c("k") / F.lit(GROUP)))
     members = cut(
         labelled.join(sizes, "family")
         .withColumn("group", F.xxhash64("linked", "family", piece))
@@ -452,11 +453,15 @@ def _links(some: DataFrame, percent: int) -> DataFrame:
         .where(side)
         .where((100 * c("high") >= percent * c("n")) & (100 * c("n") >= percent * c("low")))
         .groupBy("doc_id", c("g").alias("group"))
-        .agg(F.count(F.lit(1)).alias("hits"), F.min(F.least("ell", "g_ell")).alias("need"))
+        .agg(
+            F.count(F.lit(1)).alias("hits"),
+            F.min(F.least("ell", "g_ell")).alias("need"),
+            F.min("n").alias("size"),
+        )
         .where("hits >= need")
-        .select("doc_id", "group")
+        .select("doc_id", "group", "size")
     )
-    asked = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).alias("deals"))
+    asked = opened.groupBy("group").agg(F.ceil(F.sum("size") / F.lit(QUERIES)).alias("deals"))
     asking = (
         opened.join(asked, "group")
         .withColumn("deal", F.pmod(F.xxhash64("doc_id"), c("deals")))

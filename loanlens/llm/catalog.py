@@ -165,3 +165,23 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
     found = judge(docs, table(spark, folder, "labels"), F.col("source"), F.col("lang"))
     return found.select("doc_id", "judgement.*")
+
+
+@query
+def op5_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """families: the families found, sorted; spans: paragraph:family of each finding."""
+    from loanlens.llm.licenses import scan_rows
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = scan_rows(docs, "scan")
+    rows = F.col("scan.found")
+    spans = F.transform(
+        rows, lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])
+    )
+    return found.select(
+        "doc_id",
+        "scan.n_paragraphs",
+        F.size(rows).cast("long").alias("n_found"),
+        F.array_join(F.array_sort(F.array_distinct(rows["family"])), ",").alias("families"),
+        F.array_join(spans, ",").alias("spans"),
+    )

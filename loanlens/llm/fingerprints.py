@@ -44,7 +44,8 @@ def weight(term: Column) -> Column:
 
 def votes(term: Column) -> list[Column]:
     """The sums to take over the terms: total weight, and the set votes of bits k and k + 32."""
-    value, own = F.xxhash64(term), weight(term)
+    value = F.xxhash64(term)
+    own = F.when(term.isNotNull(), weight(term)).otherwise(F.lit(0).cast("long"))
     lanes = [
         F.sum(F.shiftrightunsigned(value, k).bitwiseAND(F.lit(LANES)) * own).alias(f"v{k}")
         for k in range(32)
@@ -103,9 +104,11 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     rows = rows.select("doc_id", "text", blocks.of(c("doc_id")).alias("block"))
     first = Window.partitionBy("block").orderBy("doc_id", "text")
     heads = rows.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at")
-    every = rows.withColumn("borrowed", F.lit(False)).unionByName(
-        _before(rows, heads, blocks).withColumn("borrowed", F.lit(True))
-    )
+    every = rows.withColumn("borrowed", F.lit(False))
+    if blocks.rows:
+        every = every.unionByName(
+            _before(rows, heads, blocks).withColumn("borrowed", F.lit(True))
+        )
     order = Window.partitionBy("block").orderBy("borrowed", "doc_id", "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

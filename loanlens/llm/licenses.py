@@ -6,7 +6,7 @@ dropped and other text around them, and on `SAMPLE` lines of the corpus at most
 bound, chosen by a hash) as the class of no licence. A quarter of the examples calibrate its
 probabilities (a temperature). A paragraph that is no licence with a probability of `DOUBT` or more is left out; one whose best
 family has less than `SURE`, or that holds too little of every notice of that family, is of the
-unknown family. All paragraphs of all texts are scored.
+unknown family, and left out too if it resembles no notice at all. All paragraphs of all texts are scored.
 
 Cases: null and empty texts have no paragraph with words and no finding; lines without words are
 counted as paragraphs and never found. Rows with equal or null ids stay rows of their own. On an
@@ -80,7 +80,9 @@ SLOTS = 1 << 15
 #: A paragraph is looked at if it is no licence with a probability below this.
 DOUBT = 0.2
 SURE = 0.5
+#: Of a notice's word pairs, the share that confirms its family, and that makes a licence likely.
 CONFIRM = 0.6
+RESEMBLE = 0.2
 
 FOUND = "struct<n_paragraphs:bigint,found:array<struct<paragraph:bigint,family:string,probability:double>>>"
 
@@ -146,7 +148,7 @@ class Classifier:
         for _ in range(6):  # passes of adaptive gradient steps
             for k in np.flatnonzero(~held):
                 slots = lines[k]
-                scale = 1 / np.sqrt(max(len(slots), 1))
+                scale = 1 / _length(len(slots))
                 p = _softmax(self.weights[slots].sum(axis=0) * scale + self.offset)
                 p[classes[k]] -= 1
                 step = p * min(weight[classes[k]], 8.0)
@@ -165,7 +167,7 @@ class Classifier:
             self.held_out_accuracy = float((logits.argmax(axis=1) == own).mean())
 
     def _logits_of(self, slots: np.ndarray) -> np.ndarray:
-        return self.weights[slots].sum(axis=0) / np.sqrt(max(len(slots), 1)) + self.offset
+        return self.weights[slots].sum(axis=0) / _length(len(slots)) + self.offset
 
     def probabilities(self, lines: Lines) -> np.ndarray:
         """[line, class]"""
@@ -174,10 +176,16 @@ class Classifier:
         each = self.weights[lines.slots[:, 0]] + self.weights[lines.slots[:, 1]]
         total = np.add.reduceat(each, lines.starts, axis=0)
         count = 2 * (lines.ends - lines.starts)
-        logits = total / np.sqrt(count)[:, None] + self.offset
+        logits = total / _length(count)[:, None] + self.offset
         return _softmax(logits / self.temperature)
 
 
+def _length(count: np.ndarray | int) -> np.ndarray:
+    """What sums over a line are divided by: the root of its slots, and a sixteenth of very many, so
+    that a long line is no surer than its words."""
+    return np.maximum(np.sqrt(np.maximum(count, 1)), np.asarray(count) / 16)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(axis=-1, keepdims=True))
     return x / x.sum(axis=-1, keepdims=True)
@@ -220,7 +228,10 @@ def _scan(texts: pa.Array, model: Classifier) -> pa.Array:
     for k in np.flatnonzero(p[:, 0] < DOUBT):
         best = 1 + int(p[k, 1:].argmax())
         family, chance = CLASSES[best], float(p[k, best])
-        if chance < SURE or agreement(lines.string(k), family) < CONFIRM:
+        line = lines.string(k)
+        if chance < SURE or agreement(line, family) < CONFIRM:
+            if max(agreement(line, other) for other in NOTICES) < RESEMBLE:
+                continue
             family = UNKNOWN
         found[lines.text[k]].append(
             {"paragraph": int(lines.number[k]), "family": family, "probability": chance}

@@ -10,14 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where the session names none."""
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(frame: DataFrame) -> DataFrame:

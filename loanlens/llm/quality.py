@@ -1,7 +1,7 @@
 """Quality classifier: hierarchical empirical Bayes over document, host and path evidence.
 
 A logistic regression on the look of a text (shares of kinds of characters, repetition, and
-trigrams of character kinds) gives each document log-odds. Its posteriors summed by host and by
+pairs of character kinds) gives each document log-odds. Its posteriors summed by host and by
 path are soft counts of good documents there. Each host's rate is shrunk toward the global rate,
 each path's toward its host's; how strongly is estimated from how much hosts, and paths in hosts,
 differ beyond chance. A document's log-odds move by the log-odds of its path's rate against the
@@ -52,11 +52,11 @@ def _kind(b: int) -> int:
 
 BYTE_KIND = np.array([_kind(b) for b in range(256)], dtype=np.int64)
 STYLE = ("length", "distinct", "twice", "word_size", "long_words", "line_size")
-FEATURES = len(STYLE) + KINDS + KINDS**3
+FEATURES = len(STYLE) + KINDS + KINDS**2
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """[text, feature]: style, shares of character kinds, and shares of their trigrams."""
+    """[text, feature]: style, shares of character kinds, and shares of their pairs."""
     words = w.Words(texts, w.PLAIN, lower=False)
     n = len(texts)
     size = np.diff(words.offsets).astype(np.float64)
@@ -64,10 +64,10 @@ def features(texts: pa.Array) -> np.ndarray:
     kind = BYTE_KIND[words.bytes]
     some = np.maximum(size, 1)[:, None]
     shares = np.bincount(owner * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS) / some
-    three = kind[:-2] * KINDS * KINDS + kind[1:-1] * KINDS + kind[2:]
-    whole = owner[:-2] == owner[2:]
-    at = owner[:-2][whole] * KINDS**3 + three[whole]
-    trigrams = np.bincount(at, minlength=n * KINDS**3).reshape(n, KINDS**3) / some
+    pair = kind[:-1] * KINDS + kind[1:]
+    whole = owner[:-1] == owner[1:]
+    at = owner[:-1][whole] * KINDS**2 + pair[whole]
+    pairs = np.bincount(at, minlength=n * KINDS**2).reshape(n, KINDS**2) / some
     count = words.counts()
     text_of = np.repeat(np.arange(n), count)
     names = words.hashes(41)
@@ -93,7 +93,7 @@ def features(texts: pa.Array) -> np.ndarray:
         ],
         axis=1,
     )
-    return np.concatenate([style, shares, trigrams], axis=1)
+    return np.concatenate([style, shares, pairs], axis=1)
 
 
 class Classifier:

@@ -28,7 +28,7 @@ c = F.col
 Query = Callable[[LoanTables], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-ALL = CohortSpec(1995, 2001)
+ALL = CohortSpec()
 CUTOFFS = BalanceSegments(low_k=150, medium_k=300, very_low_k=80)
 STEPS = BalanceSegments(steps=tuple("085 110 125 150 175 200 225 250 275 500".split()))
 PERCENTILES = BalanceSegments(percentile=True)
@@ -681,6 +681,25 @@ def default_to_date(t: LoanTables) -> DataFrame:
     return finished(strat_report(t, spec), [*_keyed(spec), *measured])
 
 
+@query
+def strats_by_age(t: LoanTables) -> DataFrame:
+    """To-date credit by loan age: each loan's amounts fall on its terminal month."""
+    spec = ALL.but(by=("vintage", "age"))
+    report = strat_report(t, spec).withColumn("net_loss", F.coalesce("net_loss", F.lit(0.0)))
+    measured = ["loans", "default_upb", "default_cnt", "default_pct"]
+    measured += ["net_loss", "loss_cnt", "loss_pct", "severity"]
+    return finished(report, [*spec.group_keys, *measured])
+
+
+@query
+def sweep_strat(t: LoanTables) -> DataFrame:
+    """Shares of the cohort and ranked parties' names in a sweep."""
+    spec = ALL.but(by=("seller",), display=("strat",))
+    curves = sweep.exclusive_age_curves(t, spec, sweep.channel_runs())
+    shown = ["run_id", "loan_term", "loan_age", "seller_rank", "originator"]
+    return finished(curves, [*shown, "loans", "default_upb", "default_pct"])
+
+
 # --- performance ---------------------------------------------------------------------------------
 
 CURVE_COLUMNS = [

@@ -40,6 +40,19 @@ def term_bucket(legacy: bool = False) -> Column:
     return bucket
 
 
+def in_term_bucket(label: int, legacy: bool = False) -> Column:
+    """`term_bucket` equals the label, written as a range of the stored column."""
+    edges = LEGACY_TERM_EDGES if legacy else TERM_EDGES
+    months = c("orig_term")
+    if label == SHORTEST_TERM:
+        return months.isNull() | (months <= min(edge for edge, _ in edges))
+    for k, (edge, name) in enumerate(edges):
+        if name == label:
+            above = months > edge
+            return above & (months <= edges[k - 1][0]) if k else above
+    return F.lit(False)
+
+
 def second_home() -> Column:
     return yes_no(c("occ_stat") == "S")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_FLOOR, Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +17,27 @@ LATE_STATE_LIST = 17
 
 def vintages(spec: CohortSpec) -> Column:
     """Origination year in range, written on the raw column so that the scan can skip on it."""
-    first, after_last = str(spec.first_vintage), str(spec.last_vintage + 1)
-    return (c("orig_date") >= first) & (c("orig_date") < after_last)
+    inside = F.lit(True)
+    if spec.first_vintage is not None:
+        inside = c("orig_date") >= str(spec.first_vintage)
+    if spec.last_vintage is not None:
+        inside = inside & (c("orig_date") < str(spec.last_vintage + 1))
+    return inside
+
+
+def _cents(amount: float, scale: int = 1) -> Column:
+    """A bound in the type of the balance column, so that the comparison reaches the scan. Parts
+    of a cent cannot change `>` or `<=` and are dropped."""
+    exact = Decimal(str(amount)) * scale
+    return F.lit(exact.quantize(Decimal("0.01"), ROUND_FLOOR)).cast("decimal(18,2)")
+
+
+def _balance(low: float | None, high: float | None, scale: int = 1) -> list[Column]:
+    bounds = [None if end is None else _cents(end, scale) for end in (low, high)]
+    return _band(c("orig_upb"), *bounds)
 
 
-def _band(x: Column, low: float | None, high: float | None) -> list[Column]:
+def _band(x: Column, low: Column | int | None, high: Column | int | None) -> list[Column]:
     """low < x <= high, each end optional."""
     ends = []
     if low is not None:
@@ -35,13 +53,9 @@ def scan_filters(spec: CohortSpec) -> list[Column]:
     if spec.orig_months:
         kept.append(c("orig_date").isin(*spec.orig_months))
     if spec.term is not None:
-        kept.append(loan.term_bucket(spec.legacy_terms) == spec.term)
-    kept += _band(
-        c("orig_upb"),
-        None if spec.min_balance_k is None else spec.min_balance_k * 1000,
-        None if spec.max_balance_k is None else spec.max_balance_k * 1000,
-    )
-    kept += _band(c("orig_upb"), spec.min_balance, spec.max_balance)
+        kept.append(loan.in_term_bucket(spec.term, spec.legacy_terms))
+    kept += _balance(spec.min_balance_k, spec.max_balance_k, 1000)
+    kept += _balance(spec.min_balance, spec.max_balance)
     if spec.state is not None:
         kept.append(c("state") == spec.state)
     if spec.exclude_state is not None:
@@ -88,7 +102,7 @@ def cohort_filters(spec: CohortSpec) -> list[Column]:
     if spec.eligible_only:
         kept.append(c("eligible") == "Y")
     if spec.only_30_year:
-        kept.append(c("loan_term") == 360)
+        kept.append(loan.in_term_bucket(360, spec.legacy_terms))
     if spec.top_states == LATE_STATE_LIST:
         kept.append(c("state").isin(*TOP_STATES[LATE_STATE_LIST]))
     kept += _band(c("qfico"), *spec.scores)

@@ -95,7 +95,10 @@ def loan_months(loans: DataFrame, month: DataFrame) -> DataFrame:
     """
     prepared = with_growth(with_terminal_amounts(loans))
     joined = usable_history(month).join(prepared, "loan_id")
-    return with_scheduled(joined).withColumns(month_columns())
+    here = c("act_period") == c("term_period")
+    # The loan's whole default and loss count in its terminal month, as the month's amounts do.
+    placed = {name: F.when(here, c(name)) for name in ("default_bal", "net_loss")}
+    return with_scheduled(joined).withColumns({**month_columns(), **placed})
 
 
 def loan_flags(month: DataFrame, spec: CohortSpec) -> DataFrame:

@@ -8,17 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its row count is bounded by this, whatever the data size.
-MAX_BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_bounded(frame: DataFrame, row_bound: int | None) -> DataFrame:
-    """Hint a broadcast when `row_bound` proves the frame small; else leave the join to AQE."""
-    if row_bound is not None and row_bound <= MAX_BROADCAST_ROWS:
-        return F.broadcast(frame)
-    return frame
-
-
 def join_on_keys(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import measures as m
-from loanlens.operators.joins import broadcast_if_bounded, join_on_keys
+from loanlens.operators.joins import join_on_keys
 from loanlens.spec import DIMENSION_COLUMNS, CohortSpec
 
 c = F.col
@@ -64,6 +63,13 @@ def cohort_summary(universe: DataFrame, spec: CohortSpec) -> DataFrame:
     return aggregate(universe, spec.loan_keys, measures, rollup=True)
 
 
+def with_own_totals(report: DataFrame) -> DataFrame:
+    """Cohort totals of a report with one row per loan behind it: its own count and balance."""
+    return report.withColumns({"cohort_loans": c("loans"), "cohort_upb": c("orig_upb")}).withColumn(
+        "cohort_als", m.ratio(c("cohort_upb"), c("cohort_loans"))
+    )
+
+
 def with_cohort_totals(grouped: DataFrame, universe: DataFrame, spec: CohortSpec) -> DataFrame:
     """Add the loan count and balance of the cohort each group row belongs to.
 
@@ -88,22 +94,16 @@ def with_cohort_totals(grouped: DataFrame, universe: DataFrame, spec: CohortSpec
 # Dimensions whose average coupon is looked up by value; the others use their subtotal.
 COUPON_DIMENSIONS = ("balance", "channel", "vintage", "state", "hbal")
 
-# Number of values of the keys this code computes or whose codes are listed, NULL included.
-# A state is free text here, so a report by state has no bound.
-DOMAIN_SIZES = {"loan_term": 4, "balance": 12, "channel": 4, "hbal": 3}
-
 
 def at_average_coupon(loans: DataFrame, spec: CohortSpec) -> DataFrame:
     """Loans whose note rate is the cohort's average coupon, rounded to an eighth.
 
-    A loan with a NULL key finds no coupon and is kept.
+    A loan with a NULL key finds no coupon and is kept. The keys are stored codes of no proven
+    number, so the join is not hinted: AQE measures the coupons.
     """
     dimensions = [d for d in spec.dimensions if d in COUPON_DIMENSIONS]
     keys = ["loan_term", *(DIMENSION_COLUMNS[d] for d in dimensions)]
     weighted = m.ratio(F.sum(c("orig_rate") * c("orig_upb")), F.sum("orig_upb"))
     coupons = loans.groupBy(*keys).agg(m.eighths(weighted).cast("decimal(5,3)").alias("_coupon"))
-    sizes = {**DOMAIN_SIZES, "vintage": spec.vintage_count}
-    bounded = set(dimensions) <= set(sizes)
-    bound = prod(sizes[d] for d in ("loan_term", *dimensions)) if bounded else None
-    matched = loans.join(broadcast_if_bounded(coupons, bound), keys, "left")
+    matched = loans.join(coupons, keys, "left")
     return matched.filter(c("_coupon").isNull() | (c("orig_rate") == c("_coupon"))).drop("_coupon")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loanlens.functions import loan, segments
 from loanlens.operators.filters import cohort_filters, loan_filters, scan_filters
-from loanlens.operators.joins import broadcast_if_bounded, join_on_keys
+from loanlens.operators.joins import join_on_keys
 from loanlens.operators.percentile import cutoffs, value_ranks, with_percent_rank
 from loanlens.operators.ranking import with_rank
 from loanlens.operators.summary import at_average_coupon
@@ -27,9 +27,6 @@ RATE_GROUP = ("vintage",)
 BALANCE_RANGE = 1000.0
 RATE_RANGE = 1.0
 
-# The indicator is Y, N or NULL in the source's column type.
-INDICATOR_VALUES = 3
-
 
 def _filtered(frame: DataFrame, predicates: list) -> DataFrame:
     for predicate in predicates:
@@ -73,12 +70,11 @@ def _with_balance_percentile(loans: DataFrame) -> DataFrame:
     return ranked.withColumn("orig_upb_pctile", F.when(conforming, c("group_pctile")))
 
 
-def _with_percentile_cutoffs(loans: DataFrame, spec: CohortSpec) -> DataFrame:
+def _with_percentile_cutoffs(loans: DataFrame) -> DataFrame:
     """Segment cutoffs of each group beside its loans, without ranking every loan."""
     ranks = value_ranks(loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE)
     cuts = cutoffs(ranks, BALANCE_GROUP, "orig_upb", segments.PERCENTILE_EDGES)
-    small = broadcast_if_bounded(cuts, INDICATOR_VALUES * spec.vintage_count)
-    return join_on_keys(loans, small, BALANCE_GROUP)
+    return join_on_keys(loans, cuts, BALANCE_GROUP)
 
 
 def _with_segment(loans: DataFrame, spec: CohortSpec, ranked: bool) -> DataFrame:
@@ -95,7 +91,7 @@ def _with_segment(loans: DataFrame, spec: CohortSpec, ranked: bool) -> DataFrame
         return loans.withColumn("bal_seg", segments.by_percentile(c("group_pctile")))
     cut_names = [f"_cut{i}" for i in range(len(segments.PERCENTILE_EDGES))]
     return (
-        _with_percentile_cutoffs(loans, spec)
+        _with_percentile_cutoffs(loans)
         .withColumn("bal_seg", segments.by_percentile_cutoffs([c(n) for n in cut_names]))
         .drop(*cut_names)
     )
@@ -109,7 +105,8 @@ def windowed_universe(
     `percentiles` names the percent ranks to attach: "balance" (not for super-conforming loans)
     and "rate".
     """
-    loans = _with_terminal(_filtered(tables.orig, scan_filters(spec)), tables.term, spec)
+    loans = _filtered(tables.orig, scan_filters(spec))
+    loans = _with_terminal(loans, tables.of_vintages("term", spec), spec)
     if spec.limit is not None:
         loans = loans.orderBy("loan_id").limit(spec.limit)
     loans = with_attributes(
@@ -124,9 +121,11 @@ def windowed_universe(
 
 
 def build_universe(
-    tables: LoanTables, spec: CohortSpec, percentiles: tuple[str, ...] = ()
+    tables: LoanTables, spec: CohortSpec, percentiles: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """The loans of the cohort."""
+    """The loans of the cohort; by default with the percentiles that the spec's report shows."""
+    if percentiles is None:
+        percentiles = ("balance",) if spec.shows_segment_range else ()
     loans = windowed_universe(tables, spec, percentiles)
     if "seller" in spec.by or spec.seller_rank is not None:
         loans = with_rank(loans, tables.orig, spec, "seller")

@@ -16,7 +16,7 @@ from loanlens.operators.history import (
     with_terminal_amounts,
 )
 from loanlens.operators.ranking import with_party_names
-from loanlens.operators.summary import aggregate, with_cohort_totals
+from loanlens.operators.summary import aggregate, with_cohort_totals, with_own_totals
 from loanlens.operators.universe import build_universe
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import CohortSpec
@@ -66,10 +66,11 @@ def report_rows(
     """Rows the report aggregates: loan-months, loans at the horizon, or loans."""
     loans = with_payment(universe)
     if spec.by_age:
-        return loan_months(loans, tables.month)
+        return loan_months(loans, tables.of_vintages("month", spec))
     loans = with_terminal_amounts(loans)
     if "history" in spec.display:
-        at_horizon = with_horizon(loans, tables.month, max_period(tables), spec)
+        month = tables.of_vintages("month", spec)
+        at_horizon = with_horizon(loans, month, max_period(tables), spec)
         # Terminal amounts count on the history row they fall on, which here is the horizon row.
         placed = c("horizon_period") == c("term_period").cast("int")
         return at_horizon.withColumns(
@@ -78,7 +79,7 @@ def report_rows(
     return loans
 
 
-def _with_cohort_shares(report: DataFrame, spec: CohortSpec) -> DataFrame:
+def with_cohort_shares(report: DataFrame, spec: CohortSpec) -> DataFrame:
     """Percentages of the whole cohort's original balance."""
     of_cohort = {}
     if "strat" in spec.display:
@@ -105,22 +106,22 @@ def cohort_report(
     Pass a persisted `universe` to share it between reports; otherwise it is derived where needed,
     with only the columns each use needs.
     """
-    if universe is None:
-        universe = build_universe(tables, spec)
-        ranked = spec.shows_segment_range
-        measured = build_universe(tables, spec, ("balance",)) if ranked else universe
-    else:
-        measured = universe
+    measured = build_universe(tables, spec) if universe is None else universe
     rows = report_rows(tables, measured, spec)
     report = aggregate(rows, spec.group_keys, report_measures(spec), spec.rollup)
     if spec.min_count is not None:
         report = report.filter(c("loans") >= spec.min_count)
     if spec.by_age:
         report = report.filter(c("loan_age").isNotNull())
-    report = with_party_names(with_cohort_totals(report, universe, spec), tables.orig, spec)
+    if spec.by_age:
+        counted = build_universe(tables, spec, ()) if universe is None else universe
+        report = with_cohort_totals(report, counted, spec)
+    else:
+        report = with_own_totals(report)
+    report = with_party_names(report, tables.orig, spec)
     if spec.by_age:
         report = with_cumulative_credit(report, spec.group_keys)
-    return _with_cohort_shares(report, spec)
+    return with_cohort_shares(report, spec)
 
 
 def age_curve(tables: LoanTables, spec: CohortSpec) -> DataFrame:

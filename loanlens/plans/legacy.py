@@ -40,6 +40,11 @@ def legacy_spec(spec: CohortSpec) -> CohortSpec:
     return spec.but(legacy_terms=True, drop_early_payoffs=False, rollup=True)
 
 
+def _counted(report: DataFrame, spec: CohortSpec) -> DataFrame:
+    """Groups with enough loans."""
+    return report if spec.min_count is None else report.filter(c("loans") >= spec.min_count)
+
+
 def _keys(spec: CohortSpec, order: Sequence[str]) -> list[str]:
     unsupported = set(spec.by) - set(order) - {"age"}
     if unsupported:
@@ -82,7 +87,8 @@ def vintage_report(
     spec = legacy_spec(spec)
     universe = with_terminal_amounts(build_universe(tables, spec))
     if prepayment or credit:
-        universe = with_horizon(universe, tables.month, max_period(tables), spec, filled=False)
+        month = tables.of_vintages("month", spec)
+        universe = with_horizon(universe, month, max_period(tables), spec, filled=False)
     measures = [*m.size(), m.average_rate(), *m.credit_averages(), *m.characteristic_shares()]
     measures.append(m.ineligible_share())
     breakdown = {measure.name: measure for measure in m.eligibility_breakdown()}
@@ -102,7 +108,7 @@ def vintage_report(
         measures += [_ever("ever_60_pct", "ever_60_horizon")]
         measures += [_ever("ever_120_pct", "ever_120_horizon")]
     report = aggregate(universe, _keys(spec, VINTAGE_REPORT_ORDER), measures, rollup=True)
-    return with_party_names(report, tables.orig, spec)
+    return with_party_names(_counted(report, spec), tables.orig, spec)
 
 
 def with_grand_total(report: DataFrame) -> DataFrame:
@@ -135,21 +141,25 @@ def combined_report(tables: LoanTables, spec: CohortSpec) -> DataFrame:
     if "elig" in shown:
         measures += [*m.eligibility_breakdown(), m.interest_only_share()]
     if "history" in shown:
-        rows = with_horizon(rows, tables.month, max_period(tables), spec)
+        rows = with_horizon(rows, tables.of_vintages("month", spec), max_period(tables), spec)
         measures += [*_horizon(spec), _ever("ever_60_pct", "ever_60_horizon")]
     report = aggregate(rows, _keys(spec, COMBINED_REPORT_ORDER), measures, rollup=True)
     report = with_party_names(report, tables.orig, spec)
-    return with_grand_total(report) if "strat" in shown else report
+    return _counted(with_grand_total(report) if "strat" in shown else report, spec)
 
 
 def combined_age_curve(tables: LoanTables, spec: CohortSpec) -> DataFrame:
-    """Age curve of the combined report: age is the last key, loans without history are kept.
+    """Age curve of the combined report: age is the last key, loans without history are kept. It
+    has no display blocks.
 
     A loan has at most one history row per month, so the left join cannot meet a heavy loan.
     """
+    if spec.display:
+        raise ValueError(f"this curve cannot show {sorted(spec.display)}")
     spec = legacy_spec(spec).but(legacy_eligibility=True)
     loans = with_growth(with_terminal_amounts(build_universe(tables, spec)))
-    joined = loans.join(usable_history(tables.month), "loan_id", "left")
+    history = usable_history(tables.of_vintages("month", spec))
+    joined = loans.join(history, "loan_id", "left")
     zero = F.lit(0).cast("decimal(18,2)")
     rows = with_scheduled(joined).withColumns(month_columns(needs_age=False, no_loss=zero))
     measures = [
@@ -161,4 +171,4 @@ def combined_age_curve(tables: LoanTables, spec: CohortSpec) -> DataFrame:
     ]
     keys = [*_keys(spec, COMBINED_REPORT_ORDER), "loan_age"]
     report = aggregate(rows, keys, measures, rollup=True)
-    return with_party_names(report, tables.orig, spec)
+    return with_party_names(_counted(report, spec), tables.orig, spec)

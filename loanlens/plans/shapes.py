@@ -89,7 +89,7 @@ def labels(spec: CohortSpec) -> dict[str, Column]:
 def filter_echo(spec: CohortSpec) -> dict[str, Column]:
     """Columns that repeat which filters and cutoffs were applied."""
     echo: dict[str, Column] = {}
-    if spec.vintage_count > 1:
+    if not spec.single_vintage:
         echo["cohort_vintages"] = c("vintages")
     if spec.eligible_only:
         echo["cohort_eligible"] = c("eligible")

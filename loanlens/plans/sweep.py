@@ -1,6 +1,6 @@
 """Several runs at once.
 
-Runs that only differ in one exclusive choice (a channel, a balance band) become one more group
+Runs that only differ in one choice of loans (a channel, a balance band) become one more group
 key, so the history is read once for all of them. Other lists of runs are concatenated.
 """
 
@@ -15,13 +15,14 @@ from pyspark.sql.window import Window
 
 from loanlens.functions import measures as m
 from loanlens.functions import performance
-from loanlens.functions.loan import term_bucket
+from loanlens.functions.loan import in_term_bucket
 from loanlens.operators.cumulative import with_cumulative_credit
 from loanlens.operators.history import loan_months, with_payment
 from loanlens.operators.joins import join_on_keys
+from loanlens.operators.ranking import with_party_names
 from loanlens.operators.summary import aggregate, bit, bits
 from loanlens.operators.universe import build_universe
-from loanlens.plans.cohort import cohort_report, report_measures
+from loanlens.plans.cohort import cohort_report, report_measures, with_cohort_shares
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import DIMENSION_COLUMNS, DIMENSIONS, CohortSpec
 
@@ -48,16 +49,16 @@ def channel_runs(channels: Sequence[str] = CHANNELS) -> dict[str, Column]:
 
 
 def _curves(
-    tables: LoanTables,
     tagged: DataFrame,
     keys: Sequence[str],
     measures: Sequence[m.Measure],
     min_counts: Mapping[str, int],
+    month: DataFrame,
 ) -> DataFrame:
     """Age curves of loans tagged with their run, grouped by run, term, age and `keys`."""
     loan_keys = [RUN, "loan_term", *keys]
     group_keys = [RUN, "loan_term", "loan_age", *keys]
-    rows = loan_months(with_payment(tagged), tables.month)
+    rows = loan_months(with_payment(tagged), month)
     curve = aggregate(rows, group_keys, measures, rollup=False)
     for run, least in min_counts.items():
         curve = curve.filter((c(RUN) != run) | (c("loans") >= least))
@@ -78,18 +79,18 @@ def _curves(
 def exclusive_age_curves(
     tables: LoanTables, spec: CohortSpec, runs: Mapping[str, Column]
 ) -> DataFrame:
-    """Age curve of every run from one pass; runs must not overlap. Loans in no run are left out."""
+    """Age curve of every run from one pass. A loan counts in each run that it is in; loans in no
+    run are left out."""
     if spec.rollup:
-        raise ValueError("exclusive runs have no subtotals across them; use one report per run")
-    label = reduce(
-        lambda rest, run: F.when(run[1], F.lit(run[0])).otherwise(rest),
-        reversed(runs.items()),
-        F.lit(None).cast("string"),
-    )
-    tagged = build_universe(tables, spec).withColumn(RUN, label).filter(c(RUN).isNotNull())
+        raise ValueError("runs have no subtotals across them; use one report per run")
+    inside = [F.when(chosen, F.lit(run)) for run, chosen in runs.items()]
     aged = spec.but(by=(*spec.dimensions, "age"))
+    loans = build_universe(tables, aged)
+    tagged = loans.withColumn(RUN, F.explode(F.array_compact(F.array(*inside))))
     least = {} if spec.min_count is None else {run: spec.min_count for run in runs}
-    return _curves(tables, tagged, spec.loan_keys[1:], report_measures(aged), least)
+    month = tables.of_vintages("month", spec)
+    curves = _curves(tagged, spec.loan_keys[1:], report_measures(aged), least, month)
+    return with_cohort_shares(with_party_names(curves, tables.orig, spec), spec)
 
 
 def channel_sweep(tables: LoanTables, spec: CohortSpec) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +109,7 @@ def loan_size_sweep(
 
 
 def _term_in(terms: Sequence[int]) -> Column:
-    return term_bucket().isin(*terms)
+    return reduce(lambda a, b: a | b, [in_term_bucket(term) for term in terms])
 
 
 def _both(first: Column | None, second: Column) -> Column:
@@ -123,7 +124,8 @@ CURVE_INPUTS = (
 
 
 def _plain_curve(spec: CohortSpec) -> bool:
-    return spec.by_age and not spec.rollup and not spec.display
+    named = {"seller", "servicer"} & set(spec.by)  # their names depend on the run's vintages
+    return spec.by_age and not spec.rollup and not spec.display and not named
 
 
 def _tagged(tables: LoanTables, run: str, spec: CohortSpec, keys: Sequence[str]) -> DataFrame:
@@ -154,7 +156,7 @@ def plain_age_curves(tables: LoanTables, specs: Mapping[str, CohortSpec]) -> Dat
     least = {run: s.min_count for run, s in specs.items() if s.min_count is not None}
     measures = report_measures(next(iter(specs.values())).but(by=("age",), segments=None))
     keys = [f"key_{name}" for name in columns]
-    curves = _curves(tables, tagged, keys, measures, least)
+    curves = _curves(tagged, keys, measures, least, tables.month)
     return curves.withColumnsRenamed(
         {
             **{f"key_{name}": name for name in columns},

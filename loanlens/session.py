@@ -11,6 +11,10 @@ SETTINGS = {
     # Split a heavy join partition even when the aggregation behind it then needs its own shuffle;
     # that shuffle carries only partial aggregates.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Let a selective cohort of loans filter a large history before it is shuffled. It only takes
+    # effect on scans above Spark's own size threshold, and drops only rows that cannot join.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
 }
 
 

@@ -5,40 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loanlens.functions import loan
 from loanlens.sources import star
 from loanlens.sources.schemas import SCHEMAS
-
+from loanlens.spec import CohortSpec
 
 Source = DataFrame | Callable[[], DataFrame]
 
 
+# Partition column of stored history and terminal records.
+VINTAGE = "vintage"
+
+
 def _frame(source: Source) -> DataFrame:
     return source() if callable(source) else source
 
 
+def _latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored last month; tables from elsewhere have none."""
+    try:
+        return spark.read.schema("max_period string").parquet(path)
+    except AnalysisException:
+        return None
+
+
 class LoanTables:
     """`orig` has one row per loan, `month` one per (loan, period), `term` at most one per loan.
 
     A table may be given as a function; its plan is then only built when a report needs it.
     """
 
-    def __init__(self, orig: Source, month: Source, term: Source) -> None:
+    def __init__(
+        self, orig: Source, month: Source, term: Source, latest: Source | None = None
+    ) -> None:
         self._sources = {"orig": orig, "month": month, "term": term}
+        self._latest = latest
+        self._stored: dict[str, DataFrame] = {}
+
+    def _frame(self, name: str) -> DataFrame:
+        if name not in self._stored:
+            self._stored[name] = _frame(self._sources[name])
+        return self._stored[name]
 
     @cached_property
     def orig(self) -> DataFrame:
-        return _frame(self._sources["orig"])
+        return self._frame("orig")
 
     @cached_property
     def month(self) -> DataFrame:
-        return _frame(self._sources["month"])
+        return self._frame("month").drop(VINTAGE)
 
     @cached_property
     def term(self) -> DataFrame:
-        return _frame(self._sources["term"])
+        return self._frame("term").drop(VINTAGE)
+
+    def of_vintages(self, name: str, spec: CohortSpec) -> DataFrame:
+        """`month` or `term`; where it is stored by vintage, only the spec's vintages of it."""
+        frame = self._frame(name)
+        if VINTAGE not in frame.columns:
+            return frame
+        if spec.first_vintage is not None:
+            frame = frame.filter(F.col(VINTAGE) >= spec.first_vintage)
+        if spec.last_vintage is not None:
+            frame = frame.filter(F.col(VINTAGE) <= spec.last_vintage)
+        return frame.drop(VINTAGE)
 
     @staticmethod
     def from_parquet(spark: SparkSession, root: str) -> LoanTables:
@@ -47,7 +81,8 @@ class LoanTables:
             **{
                 name: spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}")
                 for name, schema in SCHEMAS.items()
-            }
+            },
+            latest=_latest(spark, f"{root.rstrip('/')}/latest"),
         )
 
     @staticmethod
@@ -66,19 +101,25 @@ class LoanTables:
         )
 
     def write(self, root: str) -> None:
-        """Parquet files sorted so that a vintage range or a loan range skips row groups.
+        """Parquet files sorted so that a vintage range or a loan range skips row groups, and the
+        last reporting month.
 
-        Range partitioning spreads a heavy vintage over as many files as its rows need.
+        The history and the terminal records are kept in a folder for each vintage of their loans,
+        so that a cohort reads no other vintage's. Range partitioning spreads a heavy vintage over
+        as many files as its rows need.
         """
         root = root.rstrip("/")
         self.orig.repartitionByRange("orig_date", "loan_id").sortWithinPartitions(
             "orig_date", "loan_id"
         ).write.mode("overwrite").parquet(f"{root}/orig")
+        vintages = self.orig.select("loan_id", loan.vintage().cast("int").alias(VINTAGE))
+        order = (VINTAGE, "loan_id", "act_period")
         for name in ("month", "term"):
-            frame: DataFrame = getattr(self, name)
-            frame.repartitionByRange("loan_id", "act_period").sortWithinPartitions(
-                "loan_id", "act_period"
-            ).write.mode("overwrite").parquet(f"{root}/{name}")
+            frame: DataFrame = getattr(self, name).join(vintages, "loan_id", "left")
+            frame.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(
+                VINTAGE
+            ).mode("overwrite").parquet(f"{root}/{name}")
+        self.latest_period().write.mode("overwrite").parquet(f"{root}/latest")
 
     def save(self, prefix: str, buckets: int) -> None:
         """Catalog tables bucketed by loan, so that the joins on loan_id need no shuffle."""
@@ -98,5 +139,7 @@ class LoanTables:
         return self.month.join(self.term, ["loan_id", "act_period"], "left")
 
     def latest_period(self) -> DataFrame:
-        """One row: the last reporting month of the history."""
+        """One row: the last reporting month of the history, as stored or else found in it."""
+        if self._latest is not None:
+            return _frame(self._latest)
         return self.month.agg(F.max("act_period").alias("max_period"))

@@ -40,11 +40,17 @@ DIMENSION_COLUMNS = {
 DISPLAYS = ("strat", "channel", "balance", "geo", "elig", "vintage", "history", "segment")
 
 # States with the most loan volume, most first.
+# fmt: off
 TOP_STATES_25 = (
-    "CA TX FL AZ CO WA GA NC VA NY UT NJ PA IL TN OR MD MI OH MN NV SC MA IN MO".split()
+    "CA", "TX", "FL", "AZ", "CO", "WA", "GA", "NC", "VA", "NY", "UT", "NJ", "PA",
+    "IL", "TN", "OR", "MD", "MI", "OH", "MN", "NV", "SC", "MA", "IN", "MO",
 )
 TOP_STATES_12 = TOP_STATES_25[:12]
-TOP_STATES_17 = "CA TX FL MI WA CO AZ NY VA NJ IL NC MA GA PA MD UT".split()
+TOP_STATES_17 = (
+    "CA", "TX", "FL", "MI", "WA", "CO", "AZ", "NY", "VA",
+    "NJ", "IL", "NC", "MA", "GA", "PA", "MD", "UT",
+)
+# fmt: on
 TOP_STATES = {12: TOP_STATES_12, 17: TOP_STATES_17, 25: TOP_STATES_25}
 
 
@@ -64,16 +70,15 @@ class BalanceSegments:
             raise ValueError("choose exactly one of cutoffs, steps and percentile")
         if (self.low_k is None) != (self.medium_k is None):
             raise ValueError("cutoffs need both low_k and medium_k")
-        if len(self.steps) > 10:
-            raise ValueError("at most 10 steps")
 
 
 @dataclass(frozen=True)
 class CohortSpec:
-    """Filters, dimensions and displays of one run. Everything but the vintages is optional."""
+    """Filters, dimensions and displays of one run. Everything is optional; without a vintage bound
+    that side is open."""
 
-    first_vintage: int
-    last_vintage: int
+    first_vintage: int | None = None
+    last_vintage: int | None = None
 
     # --- filters applied before the percentile windows
     orig_months: tuple[str, ...] = ()
@@ -137,7 +142,8 @@ class CohortSpec:
             raise ValueError(f"top_states must be one of {sorted(TOP_STATES)}")
         if {"balance"} & (set(self.by) | set(self.display)) and self.segments is None:
             raise ValueError("balance segments are not defined")
-        if self.first_vintage > self.last_vintage:
+        bounded = self.first_vintage is not None and self.last_vintage is not None
+        if bounded and self.first_vintage > self.last_vintage:
             raise ValueError("vintage range is empty")
 
     @staticmethod
@@ -173,5 +179,5 @@ class CohortSpec:
         return "segment" in self.display or ("balance" in self.by and not self.by_age)
 
     @property
-    def vintage_count(self) -> int:
-        return self.last_vintage - self.first_vintage + 1
+    def single_vintage(self) -> bool:
+        return self.first_vintage is not None and self.first_vintage == self.last_vintage

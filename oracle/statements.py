@@ -631,6 +631,32 @@ S["ever_120"] = _rolled(
 
 SWEEP_COLUMNS = ["cohort_loans", "cohort_upb", "loans", "cpr", "dlq_90_pct", "cum_loss_pct"]
 
+S["strats_by_age"] = statement(
+    f"""SELECT {TERM_BIGINT}, CAST(loan_age AS BIGINT) AS loan_age, vintage, loans,
+      mo_default_upb AS default_upb, mo_default_cnt AS default_cnt,
+      {r6('mo_default_upb / cohort_sum')} AS default_pct, {r2('placed')} AS net_loss,
+      placed_cnt AS loss_cnt, {r6('placed / cohort_sum')} AS loss_pct,
+      {r6('CASE WHEN mo_default_upb > 0 THEN placed / mo_default_upb ELSE 0 END')} AS severity
+    FROM curve JOIN (
+      SELECT loan_term, vintage, loan_age,
+        CAST(coalesce(sum(net_loss) FILTER (WHERE act_period = term_period), 0) AS DOUBLE) AS placed,
+        count(*) FILTER (WHERE act_period = term_period AND net_loss > 0) AS placed_cnt
+      FROM co_months GROUP BY loan_term, vintage, loan_age) USING (loan_term, vintage, loan_age)""",
+    _cohort(),
+    months("co", "co_months"),
+    _curve_cte(["vintage"], "co", "curve"),
+)
+S["sweep_strat"] = statement(
+    f"""SELECT run_id, {TERM_BIGINT}, CAST(loan_age AS BIGINT) AS loan_age,
+      CAST(seller_rank AS BIGINT) AS seller_rank, seller AS originator, loans,
+      mo_default_upb AS default_upb, {r6('mo_default_upb / cohort_sum')} AS default_pct
+    FROM curve JOIN sellers USING (seller_rank)""",
+    SELLERS,
+    "\nco AS (SELECT *, 'channel-' || channel AS run_id FROM ranked_sellers"
+    " WHERE channel IN ('R', 'B', 'C'))",
+    months("co", "co_months"),
+    _curve_cte(["run_id", "seller_rank"], "co", "curve"),
+)
 S["sweep_channel"] = statement(
     "SELECT 'channel-' || channel AS run_id, * FROM ("
     + _from_curve(["channel"], SWEEP_COLUMNS)

@@ -157,6 +157,23 @@ def test_net_loss_null_and_sign(micro):
     assert [r["month"] for r in found] == [10000.0, 0.0, None, None, None]
 
 
+def test_every_cost_and_proceeds_counts_with_its_sign(micro):
+    costs = {name: 2 ** (k + 1) for k, name in enumerate(performance.COSTS)}
+    proceeds = {name: 2 ** (k + 7) for k, name in enumerate(performance.PROCEEDS)}
+    term = micro([{}], term=[{**TERMINAL, **costs, **proceeds}]).term
+    [row] = term.select(performance.net_loss().cast("double").alias("loss")).collect()
+    assert row["loss"] == 90000 + sum(costs.values()) - sum(proceeds.values())
+
+
+def test_term_buckets_as_ranges_equal_the_bucket(spark):
+    frame = spark.createDataFrame([(n,) for n in [*range(0, 600, 20), None]], "orig_term int")
+    for legacy in (False, True):
+        for label in (180, 240, 360, 480, 100):
+            bucket = F.coalesce(loan.term_bucket(legacy) == label, F.lit(False))
+            same = F.coalesce(loan.in_term_bucket(label, legacy), F.lit(False)) == bucket
+            assert frame.filter(~same).isEmpty()
+
+
 def test_loan_months(micro):
     months = [
         {"act_period": "202207", "loan_age": 1, "current_upb": 0, "dlq_status": "01"},

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loanlens.operators.universe import build_universe
 from loanlens.plans import shapes, sweep
 from loanlens.plans.cohort import age_curve, cohort_report, horizon_report, strat_report
-from loanlens.plans.legacy import combined_report, vintage_report
+from loanlens.plans.legacy import combined_age_curve, combined_report, vintage_report
 from loanlens.spec import BalanceSegments, CohortSpec
 
 c = F.col
@@ -236,3 +236,53 @@ def test_legacy_reports_show_subtotals_and_grand_total(stored):
 def test_impossible_specs_are_refused(options):
     with pytest.raises(ValueError):
         CohortSpec(1995, 2001, **options)
+
+
+def test_to_date_credit_by_age_adds_up_to_the_report_without_age(stored):
+    spec = CohortSpec(by=("vintage",))
+    whole = strat_report(stored, spec).agg(F.sum("default_upb"), F.sum("default_cnt")).first()
+    by_age = strat_report(stored, spec.but(by=("vintage", "age")))
+    placed = by_age.agg(F.sum("default_upb"), F.sum("default_cnt"), F.sum("mo_default_upb")).first()
+    assert placed[1] == whole[1]
+    assert placed[0] == pytest.approx(whole[0]) == pytest.approx(placed[2])
+
+
+def test_open_vintages_hold_every_loan(stored):
+    assert build_universe(stored, CohortSpec(drop_early_payoffs=False)).count() == (
+        stored.orig.count()
+    )
+    late = build_universe(stored, CohortSpec(1998)).agg(F.min("vintage")).first()[0]
+    early = build_universe(stored, CohortSpec(last_vintage=1997)).agg(F.max("vintage")).first()[0]
+    assert (late, early) == ("1998", "1997")
+
+
+def test_a_universe_may_be_shared_by_a_report_by_balance(stored):
+    spec = ALL.but(by=("balance",), segments=BalanceSegments(percentile=True))
+    shared = cohort_report(stored, spec, universe=build_universe(stored, spec))
+    own = cohort_report(stored, spec)
+    assert shared.columns == own.columns and shared.exceptAll(own).isEmpty()
+
+
+def test_older_reports_honour_or_refuse_options(stored):
+    spec = ALL.but(by=("vintage",), min_count=50)
+    for report in (vintage_report, combined_report, combined_age_curve):
+        found = report(stored, spec)
+        assert found.agg(F.min("loans")).first()[0] >= 50
+        assert found.count() < report(stored, spec.but(min_count=None)).count()
+    with pytest.raises(ValueError, match="cannot show"):
+        combined_age_curve(stored, spec.but(display=("strat",)))
+
+
+def test_overlapping_runs_count_in_each(stored):
+    runs = {"all": F.lit(True), "big": c("orig_upb") > 200000, "none": F.lit(None).cast("boolean")}
+    curves = sweep.exclusive_age_curves(stored, ALL, runs)
+    loans = {r["run_id"]: r["n"] for r in curves.groupBy("run_id").agg(
+        F.max("cohort_loans").alias("n")).collect()}
+    assert set(loans) == {"all", "big"} and loans["all"] > loans["big"] > 0
+
+
+def test_many_balance_steps(stored):
+    steps = tuple(f"{k:03d}" for k in range(50, 500, 25))
+    spec = ALL.but(by=("balance",), segments=BalanceSegments(steps=steps))
+    found = cohort_report(stored, spec)
+    assert found.agg(F.sum("loans")).first()[0] == build_universe(stored, ALL).count()

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.catalog import registered
-from loanlens.operators import joins
 from loanlens.plans.cohort import age_curve, cohort_report, horizon_report
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import BalanceSegments, CohortSpec
@@ -82,21 +81,36 @@ def test_horizon_flags_take_one_pass(spark, stored, large):
     assert "SortAggregate(key=[loan" not in plan
 
 
-def test_percentile_segments_broadcast_only_their_cutoffs(spark, stored, large):
+def test_percentile_segments_join_only_their_cutoffs(spark, stored, large):
     spec = ALL.but(by=("balance", "age"), segments=BalanceSegments(percentile=True))
     plan = plan_of(cohort_report(stored, spec))
-    assert "BroadcastHashJoin" in plan
+    assert "BroadcastHashJoin" not in plan  # nothing is hinted: AQE measures the cutoffs
     windows = [line for line in plan.splitlines() if "Window [" in line]
     # No window partitioned by the whole (indicator, vintage) group runs over loans.
     assert not any("percent_rank" in line for line in windows)
 
 
-def test_broadcast_needs_a_bound(spark):
-    frame = spark.range(1)
-    hinted = joins.broadcast_if_bounded(frame, joins.MAX_BROADCAST_ROWS)
-    assert "broadcast" in hinted._jdf.queryExecution().logical().toString()
-    for bound in (None, joins.MAX_BROADCAST_ROWS + 1):
-        assert joins.broadcast_if_bounded(frame, bound) is frame
+def test_history_of_one_vintage_reads_its_folder_alone(spark, stored, large):
+    plan = plan_of(age_curve(stored, CohortSpec.vintage(1996)))
+    [month] = scans(plan, "dlq_status")
+    assert re.search(r"PartitionFilters: \[[^]]*vintage#\d+ >= 1996", month)
+    for scan in scans(plan, "zero_bal_code"):
+        assert "vintage" in scan.split("PartitionFilters: ")[1].split("]")[0]
+
+
+def test_reports_without_age_scan_loans_once(spark, stored, large):
+    for spec in (ALL.but(display=("strat",)), ALL.but(by=("vintage",))):
+        plan = plan_of(cohort_report(stored, spec))
+        assert len(scans(plan, "orig_upb")) == 1 and len(scans(plan, "zero_bal_code")) <= 1
+
+
+def test_balance_and_term_filters_are_pushed(spark, stored, large):
+    spec = ALL.but(term=360, min_balance=424.1, max_balance_k=417)
+    [scan] = scans(plan_of(cohort_report(stored, spec)), "orig_upb")
+    pushed = scan.split("PushedFilters: ")[1]
+    for part in ("GreaterThan(orig_upb,424.10)", "LessThanOrEqual(orig_upb,417000.00)"):
+        assert part in pushed
+    assert "GreaterThan(orig_term,240)" in pushed and "LessThanOrEqual(orig_term,360)" in pushed
 
 
 def test_a_heavy_order_is_split(spark, tmp_path):

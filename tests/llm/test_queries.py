@@ -8,6 +8,7 @@ import corpus_pipeline
 from loanlens.llm import catalog
 from tests.conftest import SMALL
 from tests.llm import brute
+from tools.check import connect, difference
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +48,12 @@ def test_secret_scans(spark, documents):
         assert found[key] == (*counts, brute.sha(",".join(own)))
 
 
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_query_equals_sql(spark, name):
+    frame = catalog.QUERIES[name](spark, SMALL)
+    assert difference(frame, connect(SMALL), catalog.SQL[name]) is None
+
+
 def test_every_query_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in catalog.QUERIES}
     assert numbers == set(range(1, 11))

@@ -681,6 +681,25 @@ def default_to_date(t: LoanTables) -> DataFrame:
     return finished(strat_report(t, spec), [*_keyed(spec), *measured])
 
 
+@query
+def income_report(t: LoanTables) -> DataFrame:
+    spec = ALL.but(by=("vintage",), display=("income",))
+    return finished(cohort_report(t, spec), ["loan_term", "vintage", "loans", "wa_income", "income_range"])
+
+
+@query
+def horizon_echo(t: LoanTables) -> DataFrame:
+    """A horizon report that repeats the months it used, and other edges of the segments."""
+    parts = BalanceSegments(percentile=True, edges=(0.2, 0.5, 0.9))
+    spec = ALL.but(
+        by=("balance",), segments=parts, display=("history",), prepay_horizon=12,
+        delinquency_horizon=36,
+    )
+    report = shapes.present(cohort_report(t, spec), spec)
+    shown = ["cohort_term", "cohort_balance", "segment_criteria", "prepay_horizon"]
+    return finished(report, [*shown, "delinquency_horizon", "loans"])
+
+
 @query
 def strats_by_age(t: LoanTables) -> DataFrame:
     """To-date credit by loan age: each loan's amounts fall on its terminal month."""

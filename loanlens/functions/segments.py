@@ -38,10 +38,10 @@ def by_steps(steps: Sequence[str]) -> Column:
     return _super_or(segment)
 
 
-def by_percentile(pctile: Column) -> Column:
+def by_percentile(pctile: Column, edges: Sequence[float] = PERCENTILE_EDGES) -> Column:
     """Named segment from a loan's own percentile."""
     segment = F.lit("HIGH")
-    for name, edge in reversed(list(zip(NAMED_ORDER, PERCENTILE_EDGES))):
+    for name, edge in reversed(list(zip(NAMED_ORDER, edges))):
         segment = F.when(pctile < edge, F.lit(name)).otherwise(segment)
     return _super_or(segment)
 

@@ -70,10 +70,10 @@ def _with_balance_percentile(loans: DataFrame) -> DataFrame:
     return ranked.withColumn("orig_upb_pctile", F.when(conforming, c("group_pctile")))
 
 
-def _with_percentile_cutoffs(loans: DataFrame) -> DataFrame:
+def _with_percentile_cutoffs(loans: DataFrame, edges: tuple[float, ...]) -> DataFrame:
     """Segment cutoffs of each group beside its loans, without ranking every loan."""
     ranks = value_ranks(loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE)
-    cuts = cutoffs(ranks, BALANCE_GROUP, "orig_upb", segments.PERCENTILE_EDGES)
+    cuts = cutoffs(ranks, BALANCE_GROUP, "orig_upb", edges)
     return join_on_keys(loans, cuts, BALANCE_GROUP)
 
 
@@ -88,10 +88,10 @@ def _with_segment(loans: DataFrame, spec: CohortSpec, ranked: bool) -> DataFrame
             "bal_seg", segments.by_cutoffs(wanted.low_k, wanted.medium_k, wanted.very_low_k)
         )
     if ranked:
-        return loans.withColumn("bal_seg", segments.by_percentile(c("group_pctile")))
-    cut_names = [f"_cut{i}" for i in range(len(segments.PERCENTILE_EDGES))]
+        return loans.withColumn("bal_seg", segments.by_percentile(c("group_pctile"), wanted.edges))
+    cut_names = [f"_cut{i}" for i in range(len(wanted.edges))]
     return (
-        _with_percentile_cutoffs(loans)
+        _with_percentile_cutoffs(loans, wanted.edges)
         .withColumn("bal_seg", segments.by_percentile_cutoffs([c(n) for n in cut_names]))
         .drop(*cut_names)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanlens.functions import amortization
 from loanlens.functions import measures as m
 from loanlens.functions.numeric import ratio
 from loanlens.functions.segments import NAMED_ORDER
@@ -55,6 +56,8 @@ def report_measures(spec: CohortSpec) -> list[m.Measure]:
         chosen += m.eligibility_breakdown()
     if "history" in shown:
         chosen += m.horizon_prepayment(spec.prepay_horizon) + m.ever_delinquent()
+    if "income" in shown:
+        chosen += m.income_averages()
     if spec.shows_segment_range:
         chosen += m.segment_range()
     return chosen
@@ -65,6 +68,9 @@ def report_rows(
 ) -> DataFrame:
     """Rows the report aggregates: loan-months, loans at the horizon, or loans."""
     loans = with_payment(universe)
+    if "income" in spec.display:
+        income = amortization.annual_income(c("monthly_pi"), c("dti"))
+        loans = loans.withColumn("annual_income", income)
     if spec.by_age:
         return loan_months(loans, tables.of_vintages("month", spec))
     loans = with_terminal_amounts(loans)

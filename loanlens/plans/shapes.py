@@ -107,7 +107,11 @@ def filter_echo(spec: CohortSpec) -> dict[str, Column]:
         if spec.segments.low_k is not None:
             echo["segment_criteria"] = F.lit(f"{spec.segments.low_k}k - {spec.segments.medium_k}k")
         elif spec.segments.percentile:
-            echo["segment_criteria"] = F.lit("0.40 - 0.80")
+            _, low, medium = spec.segments.edges
+            echo["segment_criteria"] = F.lit(f"{low:.2f} - {medium:.2f}")
+    if "history" in spec.display:
+        echo["prepay_horizon"] = F.lit(spec.prepay_horizon)
+        echo["delinquency_horizon"] = F.lit(spec.delinquency_horizon)
     return echo
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loanlens.functions import amortization
 from loanlens.functions import measures as m
 from loanlens.functions import performance
 from loanlens.functions.loan import in_term_bucket
@@ -58,7 +59,10 @@ def _curves(
     """Age curves of loans tagged with their run, grouped by run, term, age and `keys`."""
     loan_keys = [RUN, "loan_term", *keys]
     group_keys = [RUN, "loan_term", "loan_age", *keys]
-    rows = loan_months(with_payment(tagged), month)
+    paid = with_payment(tagged)
+    if "dti" in paid.columns:
+        paid = paid.withColumn("annual_income", amortization.annual_income(c("monthly_pi"), c("dti")))
+    rows = loan_months(paid, month)
     curve = aggregate(rows, group_keys, measures, rollup=False)
     for run, least in min_counts.items():
         curve = curve.filter((c(RUN) != run) | (c("loans") >= least))

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 
+from loanlens.functions.segments import PERCENTILE_EDGES
+
 # Group-by dimensions in key order. `age` always comes right after the term, so that subtotals
 # are per age.
 DIMENSIONS = (
@@ -37,7 +39,9 @@ DIMENSION_COLUMNS = {
 }
 
 # Display blocks of a report.
-DISPLAYS = ("strat", "channel", "balance", "geo", "elig", "vintage", "history", "segment")
+DISPLAYS = (
+    "strat", "channel", "balance", "geo", "elig", "vintage", "history", "segment", "income"
+)
 
 # States with the most loan volume, most first.
 # fmt: off
@@ -63,6 +67,7 @@ class BalanceSegments:
     very_low_k: int | None = None
     steps: tuple[str, ...] = ()
     percentile: bool = False
+    edges: tuple[float, float, float] = PERCENTILE_EDGES  # below: very low, low, medium
 
     def __post_init__(self) -> None:
         chosen = [self.low_k is not None, bool(self.steps), self.percentile]
@@ -70,6 +75,8 @@ class BalanceSegments:
             raise ValueError("choose exactly one of cutoffs, steps and percentile")
         if (self.low_k is None) != (self.medium_k is None):
             raise ValueError("cutoffs need both low_k and medium_k")
+        if len(self.edges) != 3 or list(self.edges) != sorted(self.edges):
+            raise ValueError("percentile edges are three ascending shares")
 
 
 @dataclass(frozen=True)

@@ -144,6 +144,12 @@ S["annual_income"] = statement(
   {digits('min(income)', 0)} || ' - ' || {digits('max(income)', 0)} AS income_range
 FROM (SELECT *, {INCOME} AS income FROM u) GROUP BY loan_term, vintage"""
 )
+S["income_report"] = statement(
+    f"""SELECT {TERM_BIGINT}, vintage, count(*) AS loans,
+  {r2(quotient('sum(income * orig_upb)', 'sum(orig_upb)'))} AS wa_income,
+  {digits('min(income)', 0)} || ' - ' || {digits('max(income)', 0)} AS income_range
+FROM (SELECT *, {INCOME} AS income FROM u) GROUP BY loan_term, vintage"""
+)
 S["sched_balance"] = statement(
     f"""SELECT loan_id, abs({r2(amortized('0'))}) AS sched_0,
   abs({r2(amortized('12'))}) AS sched_12, abs({r2(amortized('24'))}) AS sched_24,
@@ -631,6 +637,16 @@ S["ever_120"] = _rolled(
 
 SWEEP_COLUMNS = ["cohort_loans", "cohort_upb", "loans", "cpr", "dlq_90_pct", "cum_loss_pct"]
 
+S["horizon_echo"] = statement(
+    """SELECT CAST(loan_term AS VARCHAR) AS cohort_term, bal_seg AS cohort_balance,
+      '0.50 - 0.90' AS segment_criteria, CAST(12 AS BIGINT) AS prepay_horizon,
+      CAST(36 AS BIGINT) AS delinquency_horizon, count(*) AS loans
+    FROM (SELECT *, CASE WHEN high_balance_loan_indicator = 'Y' THEN 'SUPER'
+        WHEN any_pctile < 0.2 THEN 'VLOW' WHEN any_pctile < 0.5 THEN 'LOW' WHEN any_pctile < 0.9 THEN 'MED'
+        ELSE 'HIGH' END AS bal_seg FROM p)
+    GROUP BY loan_term, bal_seg""",
+    PERCENTILES,
+)
 S["strats_by_age"] = statement(
     f"""SELECT {TERM_BIGINT}, CAST(loan_age AS BIGINT) AS loan_age, vintage, loans,
       mo_default_upb AS default_upb, mo_default_cnt AS default_cnt,

@@ -33,7 +33,7 @@ from loanlens.llm.rows import add_column
 c = F.col
 
 #: Unicode's white space, and the pattern of byte-level BPE words.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
     rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"

@@ -291,6 +291,63 @@ def test_url_model_tells_held_out_urls_apart(spark):
     assert (model.probability(model.scores(fresh)) >= 0.5).tolist() == [True, False, False]
 
 
+def _url_scores(counted, asked):
+    """Scores by plain dictionaries of grams, of (url, verdict) examples."""
+    import math
+    import re
+    from collections import Counter
+
+    def pieces(url):
+        text = "\2" * urls.ORDER + re.sub("[0-9]", "0", url.lower()) + "\3"
+        for at in range(urls.ORDER, len(text)):
+            yield [text[at - k : at + 1] for k in range(urls.ORDER + 1)]
+
+    grams = {"allow": Counter(), "block": Counter()}
+    for url, verdict in counted:
+        for own in pieces(url):
+            grams[verdict].update(["", *own])
+    scores = []
+    for url in asked:
+        each = []
+        for own in pieces(url):
+            logs = []
+            for verdict in ("allow", "block"):
+                p = 1 / 256
+                for gram in own:
+                    seen = grams[verdict][gram[:-1]]
+                    found = min(grams[verdict][gram], seen)
+                    p = (found + urls.STRENGTH * p) / (seen + urls.STRENGTH)
+                logs.append(math.log(p))
+            each.append(logs[0] - logs[1])
+        scores.append(sum(each) / len(each))
+    return scores
+
+
+def test_url_counts_are_exact_and_whole(spark, monkeypatch):
+    """Far more grams than 16 bits tell apart; several blocks; every example counted."""
+    monkeypatch.setattr(urls, "BLOCK", 1 << 14)
+    draw = random.Random(8)
+
+    def address(host):
+        word = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz-_") for _ in range(40))
+        return f"https://{draw.choice('pqrs')}.{host}/{word}"
+
+    examples = [(address("org"), "allow") for _ in range(2500)]
+    examples += [(f"https://t.example.org/es/{address('x')[8:]}", "block") for _ in range(2500)]
+    examples += examples[:7]  # an example counts once for each of its rows
+    free = [address("net") for _ in range(500)] + [x.replace(".org", ".biz") for x, _ in examples[:9]]
+    grams = {x[k : k + 6] for x, _ in examples for k in range(len(x))}
+    assert len(grams) > urls.ORDER * (1 << 14)
+    rows = [(None, x) for x, _ in examples] + [(7, x) for x in [*free, *free[:3]]]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    found = urls.judge(frame, catalog.url_rules()).collect()
+    assert len(found) == len(rows)
+    judged = [r for r in found if r.score is not None]
+    assert sorted(r.url for r in judged) == sorted([*free, *free[:3]])
+    wanted = dict(zip(free, _url_scores(examples, free), strict=True))
+    assert all(r.score == pytest.approx(wanted[r.url], abs=1e-9) for r in judged)
+
+
 def test_licenses(odd, empty):
     found = {r.doc_id: r.scan for r in licenses.scan_rows(odd, "scan").collect() if r.doc_id}
     assert [(x.paragraph, x.family) for x in found[15].found] == [(0, "mit")]

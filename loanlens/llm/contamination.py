@@ -8,12 +8,13 @@ exact phrases. With `slop`, the same lists give proximity matches: the `RAREST`
 window within `window + slop` words.
 
 The corpus is not shuffled: only matches leave a shard. The benchmark travels to the shards in
-parts of `PART` bytes of text at most (a bound, not a limit: more parts mean more passes), and
-each pass adds its matches to those that the row carries already.
+parts of about `PART` bytes of text (a bound, not a limit: more parts mean more passes), and each
+pass adds its matches to those that the row carries already. Distinct (item, text) rows are dealt
+by a hash of both, so an id that many rows share is spread over the parts.
 
 Cases: null or empty text has no words; an item of fewer words than a window, but not none, is one
-window; an item without words matches nothing. Items with equal ids count once. A table without
-items gives every document no hits. Rows with equal or null document ids stay rows of their own.
+window; an item without words matches nothing. Items with equal ids count once. An item without an
+id has hits, but is in no list of items. A table without items gives every document no hits. Rows with equal or null document ids stay rows of their own.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ _STATE = pa.struct(
 class Phrases:
     """The windows of some benchmark items, as offsets of their terms."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int) -> None:
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int) -> None:
         words = w.Words(pa.array(texts, pa.large_string()), w.LETTERS, lower=True)
         hashes = words.hashes(SEED)
         self.terms, term = np.unique(hashes, return_inverse=True)
@@ -66,7 +67,8 @@ class Phrases:
                 if phrase not in seen:
                     seen[phrase] = len(self.items)
                     self.items.append(set())
-                self.items[seen[phrase]].add(item)
+                if item is not None:
+                    self.items[seen[phrase]].add(item)
         self.sizes = np.array([len(p) for p in seen], dtype=np.int64)
         self.phrases = np.full((len(seen), window), -1, dtype=np.int64)
         for row, phrase in enumerate(seen):
@@ -253,9 +255,10 @@ def search_rows(
     items = items.select(
         c(item_key).cast("string").alias("item"), c(item_text).cast("string").alias("text")
     )
+    items = items.distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = 1 + size // PART
-    number = F.pmod(F.xxhash64("item"), F.lit(n_parts))
+    number = F.pmod(F.xxhash64("item", "text"), F.lit(n_parts))
     found, before = docs, None
     for part in range(n_parts):
         rows = items.where(number == part).collect()  # about PART bytes of text

@@ -93,6 +93,34 @@ def test_contamination(spark, odd, empty, monkeypatch, part):
     assert contamination.search(empty, items(spark)).collect() == []
 
 
+def test_benchmark_without_ids_and_with_one_id(spark, monkeypatch):
+    """A null id keeps its hits and is in no list; rows of one id are spread over the parts."""
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(20)) for _ in range(200)]
+    rows = [(None if k % 3 else "same", x) for k, x in enumerate(texts)] + [("other", texts[1])]
+    item = spark.createDataFrame(rows + rows[:50], "item_id string, text string")
+    docs = [(k, f"a {x} b {texts[0]}") for k, x in enumerate(texts[:6])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(contamination, "PART", 4000)
+    parts = []
+
+    class Phrases(contamination.Phrases):
+        def __init__(self, ids, texts, window):
+            parts.append(sum(map(len, texts)))
+            super().__init__(ids, texts, window)
+
+    monkeypatch.setattr(contamination, "Phrases", Phrases)
+    found = {r.doc_id: r for r in contamination.search(frame, item, window=13).collect()}
+    assert max(parts) < 3 * 4000 and sum(parts) == sum(len(x) for _, x in rows)
+    assert all(r.n_hit == 40 and r.n_words == 42 for r in found.values())
+    assert found[1]["items"] == ["other", "same"] and found[2]["items"] == ["same"]
+    alone = item.where("item_id is null")
+    assert all(
+        r["items"] == [] and r.n_hit == (20 if r.doc_id % 3 else 0)
+        for r in contamination.search(frame, alone, window=13).collect()
+    )
+
+
 def test_proximity(spark):
     docs = [(1, "the amber fox of the hill jumps"), (2, "amber then much later " + "x " * 40 + "fox")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")

@@ -54,6 +54,28 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+#: Further words among which the words of a benchmark window may lie.
+SLOP = 6
+
+
+@query
+def op8_benchmark_proximity(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact and proximity matches: all 13 words of a window within 13 + `SLOP` words."""
+    from loanlens.llm.contamination import search
+
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = search(docs, items, window=13, slop=SLOP)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+        F.sha2(F.concat_ws(",", "near_items"), 256).alias("near_items_sha256"),
+    )
+
+
 @query
 def op1_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """`n_near`, for ids divisible by 50: other documents within 3 bits of the fingerprint."""

@@ -4,8 +4,12 @@ Every slice of documents is a shard: it stores, for each term of the benchmark,
 the positions where the slice holds it. A benchmark window is looked up from its rarest term in the
 shard: that list, moved by the term's offset, gives the possible starts, which are intersected with
 the moved lists of the next rarest terms until one of them is empty or all agree. What is left are
-exact phrases. With `slop`, the same lists give proximity matches: the `RAREST` rarest terms of a
-window within `window + slop` words.
+exact phrases. With `slop`, the same lists give proximity matches: a run of `window + slop` words of
+one text that holds every term of a window as often as the window does, in any order.
+
+Postings are those of the benchmark's terms in one slice of about 2 MB of text. They are made for
+the search and not kept, and the rarest term is the rarest of the slice; matches do not depend on
+how the texts are sliced.
 
 The corpus is not shuffled: only matches leave a shard. The benchmark travels to the shards in
 parts of about `PART` bytes of text (a bound, not a limit: more parts mean more passes), and each
@@ -32,7 +36,6 @@ from loanlens.llm.rows import add_column, own_name
 c = F.col
 
 PART = 4 << 20
-RAREST = 4
 SEED = 31
 
 _HIT = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -73,6 +76,10 @@ class Phrases:
         self.phrases = np.full((len(seen), window), -1, dtype=np.int64)
         for row, phrase in enumerate(seen):
             self.phrases[row, : len(phrase)] = phrase
+        # How often a phrase has each of its terms.
+        self.times = np.zeros(self.phrases.shape, dtype=np.int64)
+        for at in range(window):
+            self.times += self.phrases == self.phrases[:, at : at + 1]
         # A small table of hash prefixes that turns most other words away.
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[self.terms >> np.uint64(44)] = True
@@ -147,7 +154,7 @@ class Shard:
         return phrase, start
 
     def near(self, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position of its rarest term) where its rarest terms are close together."""
+        """(phrase, first word) of runs of words that hold all terms of the phrase."""
         if not len(self.keys) or not len(self.phrases.sizes):
             return np.empty(0, np.int64), np.empty(0, np.int64)
         order, least = self.ranked()
@@ -157,16 +164,49 @@ class Shard:
         phrase = np.repeat(live, times)
         at = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
         position = self.positions[at + np.arange(len(at))]
-        for rank in range(1, min(RAREST, order.shape[1])):
-            reach = self.phrases.sizes[phrase] + slop - 1
-            term = self.phrases.phrases[phrase, order[phrase, rank]]
-            low = np.maximum(self.words.first[self.text[position]], position - reach)
-            high = np.minimum(self.words.first[self.text[position] + 1] - 1, position + reach)
-            found = np.searchsorted(self.keys, term * self.span + high, side="right")
-            found -= np.searchsorted(self.keys, term * self.span + low, side="left")
-            ok = (term < 0) | (found > 0)
-            phrase, position = phrase[ok], position[ok]
-        return phrase, position
+        # First all terms within reach of the rarest one, on both sides; then each run that holds it.
+        reach = self.phrases.sizes[phrase] + slop - 1
+        ok = self.hold(order, phrase, position, position - reach, position + reach)
+        phrase, position, reach = phrase[ok], position[ok], reach[ok]
+        found, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for back in range(int(reach.max(initial=-1)) + 1):
+            start = position - back
+            some = np.flatnonzero(back <= reach)
+            some = some[
+                self.hold(order, phrase[some], position[some], start[some], (start + reach)[some])
+            ]
+            # A run that begins before the text holds what it holds from its first word on.
+            begin = np.maximum(self.words.first[self.text[position[some]]], start[some])
+            found.append(phrase[some])
+            starts.append(begin)
+            left = np.ones(len(phrase), dtype=bool)  # one run for each position is enough
+            left[some] = False
+            phrase, position, reach = phrase[left], position[left], reach[left]
+        return np.concatenate(found), np.concatenate(starts)
+
+    def hold(
+        self,
+        order: np.ndarray,
+        phrase: np.ndarray,
+        position: np.ndarray,
+        low: np.ndarray,
+        high: np.ndarray,
+    ) -> np.ndarray:
+        """Numbers of the rows whose words low to high, cut at the ends of the text of `position`,
+        hold every term of the phrase as often as the phrase does."""
+        text = self.text[position]
+        low = np.maximum(self.words.first[text], low)
+        high = np.minimum(self.words.first[text + 1] - 1, high)
+        row = np.arange(len(phrase))
+        for rank in range(order.shape[1]):
+            if not len(row):
+                break
+            offset = order[phrase[row], rank]
+            term = self.phrases.phrases[phrase[row], offset]
+            count = np.searchsorted(self.keys, term * self.span + high[row], side="right")
+            count -= np.searchsorted(self.keys, term * self.span + low[row], side="left")
+            row = row[(term < 0) | (count >= self.phrases.times[phrase[row], offset])]
+        return row
 
 
 def _spans(covered: np.ndarray, words: w.Words, n: int) -> pa.Array:

@@ -130,6 +130,57 @@ def test_proximity(spark):
     assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 0, 2: 0}
 
 
+def _near(docs, items, window, slop):
+    """(id, items) by counting the words of every run."""
+    from collections import Counter
+
+    def split(text):
+        return brute.LETTERS.findall((text or "").translate(brute.LOWER))
+
+    wanted = {}
+    for key, text in docs:
+        own, names = split(text), set()
+        for item, phrase in items:
+            words = split(phrase)
+            size = min(window, len(words))
+            for k in range(len(words) - size + 1) if size else ():
+                need, span = Counter(words[k : k + size]), size + slop
+                runs = (own[s : s + span] for s in range(max(1, len(own) - span + 1)))
+                if any(need <= Counter(run) for run in runs):
+                    names.add(str(item))
+        wanted[key] = sorted(names)
+    return wanted
+
+
+def test_proximity_needs_all_terms(spark):
+    draw = random.Random(6)
+    base = [f"t{k}" for k in range(13)]
+    items = [(1, " ".join(base)), (2, "to be or not to be"), (3, "one two"), (4, None)]
+    texts = [" ".join(base[:4]), " ".join(base[::-1]), " ".join(base[6:] + ["x"] * 7 + base[:6])]
+    texts += ["to be or not", "be be to not to or", "two one", "two " + "x " * 5 + "one", "one", None]
+    texts += ["two " + "x " * 7 + "one", "t0", " ".join(base[1:])]
+    for _ in range(150):
+        own = base + draw.choices(["x", "one", "to", "be", "not", "or"], k=draw.randrange(12))
+        draw.shuffle(own)
+        texts.append(" ".join(own[: draw.randrange(8, 30)]))
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    item = spark.createDataFrame(items, "item_id long, text string")
+    found = contamination.search(frame, item, window=13, slop=6).collect()
+    assert {r.doc_id: r.near_items for r in found} == _near(docs, items, 13, 6)
+    assert {len(r.near_items) for r in found} >= {0, 1}
+
+
+def test_proximity_query(spark):
+    from tests.conftest import SMALL
+
+    found = catalog.QUERIES["op8_benchmark_proximity"](spark, SMALL)
+    exact = catalog.QUERIES["op8_benchmark_decontamination"](spark, SMALL).drop("contaminated")
+    assert brute.multiset(plain(found, *exact.columns)) == brute.multiset(plain(exact, "*"))
+    assert found.where("n_near_items < n_items").count() == 0
+    assert found.where("n_near_items > 0").count() > 0
+
+
 def test_secrets(spark, odd, empty):
     docs = [
         (1, 'é token = "abcdefghijkl" and secret=token":abcdefghijklmnop'),

@@ -21,7 +21,8 @@ A large set of copies costs one comparison each with its centre.
 
 Cases: null or empty text, or text without words, has no shingles and is its own component. A text
 of fewer words than a shingle has one shingle, the whole sequence. A null id is left out of
-linking and has a null component. Rows with the same id are one node of the link graph.
+linking and has a null component. Rows with the same id are in one component: texts of one id are
+nodes of their own, named by a hash of id and text, and linked with each other.
 """
 
 from __future__ import annotations
@@ -356,6 +357,14 @@ def similar_documents(
     exact = dealt.where("doc_id is not null").select(
         "block", "doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(7), "text").alias("y")
     )
+    several = _several(exact)
+    if several is not None:
+        dealt = _apart(dealt, several)
+        exact = dealt.where("doc_id is not null").select(
+            "block", "doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(7), "text").alias("y")
+        )
+        own = dealt.where("own is not null").select(c("doc_id").alias("node_"), "own").distinct()
+        dealt = dealt.drop("own")
     least = exact.groupBy("x", "y").agg(
         F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("k")
     )
@@ -378,6 +387,8 @@ def similar_documents(
         )
     )
     links = _links(rows.where("key is not null"), percent)
+    if several is not None:
+        return _by_id(rows, links, own)
     found = components(links)
     return (
         rows.select("doc_id", c("n").alias("n_shingles"), "rep")
@@ -386,6 +397,42 @@ def similar_documents(
     )
 
 
+def _several(exact: DataFrame) -> DataFrame | None:
+    """The ids that have more than one text, or None where there are none."""
+    found = exact.groupBy("doc_id").agg(
+        *(f(k).alias(f"{n}_{k}") for k in "xy" for n, f in (("low", F.min), ("high", F.max)))
+    )
+    found = found.where("low_x != high_x or low_y != high_y").select(c("doc_id").alias("several"))
+    return None if found.isEmpty() else found
+
+
+def _apart(dealt: DataFrame, several: DataFrame) -> DataFrame:
+    """Each text of an id with several has a doc_id of its own; `own` is the id that it had."""
+    node = F.xxhash64("doc_id", "text", F.xxhash64(F.lit(7), "text"))
+    joined = dealt.join(several, c("doc_id") == c("several"), "left")
+    return joined.select(
+        F.when(c("several").isNotNull(), node).otherwise(c("doc_id")).alias("doc_id"),
+        "text",
+        "block",
+        c("several").alias("own"),
+    )
+
+
+def _by_id(rows: DataFrame, links: DataFrame, own: DataFrame) -> DataFrame:
+    """Components where texts of one id meet, named by the smallest id."""
+    rows = rows.select("doc_id", "n", "rep").join(own, c("doc_id") == c("node_"), "left")
+    meet = rows.where("own is not null").select("own", c("rep").alias("a")).distinct()
+    first = meet.groupBy("own").agg(F.min("a").alias("b"))
+    found = components(links.unionByName(meet.join(first, "own").select("a", "b")))
+    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        F.coalesce("own", "doc_id").alias("doc_id"),
+        c("n").alias("n_shingles"),
+        F.coalesce("component", "rep").alias("whole"),
+    )
+    least = rows.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "whole", "left").select("doc_id", "n_shingles", "component_id")
+
+
 def _links(some: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that connect every component; not each pair of a component."""
     # Stars around the most central document of each min-hash.

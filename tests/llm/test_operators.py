@@ -46,6 +46,41 @@ def test_similarity(odd, size, percent):
     assert len(rest) == 2 and all(x[2] is None for x in rest)
 
 
+def test_similarity_of_repeated_ids(spark):
+    """Texts under one id keep their links, and meet; a copy of one hides no other."""
+    draw = random.Random(2)
+
+    def prose():
+        return [f"w{draw.randrange(10**6)}" for _ in range(100)]
+
+    def changed(words):
+        return " ".join([*words[:50], "changed", *words[51:]])
+
+    one, two, three, four = prose(), prose(), prose(), prose()
+    docs = [(1, " ".join(one)), (5, " ".join(one)), (5, " ".join(two)), (9, changed(two))]
+    docs += [(20, changed(three)), (30, " ".join(three)), (30, " ".join(four)), (30, "")]
+    docs += [(31, " ".join(four)), (40, " ".join(prose())), (40, None), (41, ""), (42, "a b")]
+    docs += [(50, changed(prose()))] * 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = similarity.similar_documents(frame, shingle=5, percent=80)
+    found = plain(found, "doc_id", "n_shingles", "component_id")
+    assert brute.multiset(found) == brute.multiset(brute.components(docs, 5, 80))
+
+
+def test_pipeline_keeps_one_row_of_an_id(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(2, text, "en"), (2, text, "en"), (3, text, "de"), (4, "a b", "en"), (4, "c d", "en")]
+    rows += [(None, text, "en"), (None, text, "en"), (6, "other words", "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, frame, "")
+    assert kept.columns == frame.columns
+    kept = kept.collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 2, 4, 6]
+    assert {tuple(r) for r in kept} <= set(rows)
+
+
 def test_similarity_of_chains_and_crowds(spark, empty):
     """Many near copies of one text, chains of links, and texts just below the threshold."""
     draw = random.Random(1)

@@ -5,8 +5,9 @@ window hashes to hash buckets, a bucket tells each block which of its windows an
 holds too, and the block finds repeats of its own. Blocks ascend by id, so the first occurrence in
 (id, start) order is the one that stays. Repeated windows of a text merge into maximal intervals.
 
-Two hashes make a window's name: the sent value has 64 bits and the bucket comes from another
-hash, so about 70 bits tell windows apart at 10**8 windows, and more where there are more buckets.
+Two independent window hashes tell windows apart. Inside a block both are compared, 128 bits.
+Between blocks the sent value is the first one and the bucket comes from the second, so about 70
+bits count at 10**8 windows (75 buckets), and more where there are more buckets.
 
 Cases: null and empty texts and texts shorter than a window lose nothing. Null ids sort first.
 Rows with equal ids keep an order fixed by their texts. The input's other columns are not read.
@@ -29,7 +30,7 @@ REPEATS = (
 
 
 def _windows(block: pa.Table, size: int):
-    """(slice, its words, window hashes, bucket hashes, window starts), in id order."""
+    """(slice, its words, window hashes, second window hashes, window starts), in id order."""
     block = block.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     nulls = block["doc_id"].null_count  # sort_by puts nulls last
     if nulls:
@@ -38,17 +39,23 @@ def _windows(block: pa.Table, size: int):
     for part in w.slices(block.combine_chunks(), "text"):
         words = w.Words(part.column("text"), w.PLAIN, lower=False)
         name, starts = w.windows(words.hashes(11), words.first, size, 13, False)
-        yield part, words, name, starts
+        second, _ = w.windows(words.hashes(15), words.first, size, 17, False)
+        yield part, words, name, second, starts
 
 
 def _send(block: pa.Table, size: int, n_buckets: int) -> pa.Table:
     """The block's distinct windows, one packed row for each bucket."""
     number = block["block"][0].as_py()
-    found = [name for _, _, name, _ in _windows(block, size)]
-    names = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-    at = w.buckets(w.mix(names ^ np.uint64(0x5851F42D4C957F2D)), n_buckets)
-    order = np.argsort(at, kind="stable")
+    names, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for _, _, name, second, _ in _windows(block, size):
+        names.append(name)
+        at.append(w.buckets(second, n_buckets))
+    names, at = np.concatenate(names), np.concatenate(at)
+    order = np.lexsort((names, at))
     names, at = names[order], at[order]
+    new = np.ones(len(names), dtype=bool)
+    new[1:] = (names[1:] != names[:-1]) | (at[1:] != at[:-1])
+    names, at = names[new], at[new]
     cut, ends = w.runs(at)
     return pa.table(
         {
@@ -77,6 +84,7 @@ def _earlier(bucket: pa.Table) -> pa.Table:
     cut, ends = w.runs(of)
     return pa.table(
         {
+            "bucket": pa.array([bucket["bucket"][0].as_py()] * len(cut), pa.int64()),
             "block": pa.array(blocks[order][of[cut]], pa.int64()),
             "names": pa.array(
                 [w.pack(hit[s:e]) for s, e in zip(cut, ends, strict=True)], pa.binary()
@@ -85,19 +93,26 @@ def _earlier(bucket: pa.Table) -> pa.Table:
     )
 
 
-def _remove(block: pa.Table, earlier: pa.Table, size: int) -> pa.Table:
+def _remove(block: pa.Table, earlier: pa.Table, size: int, n_buckets: int) -> pa.Table:
     """Each document's repeated words, as intervals and as the text without them."""
     data = earlier["names"].combine_chunks() if earlier.num_rows else []
     known = [w.unpack(data[i].as_buffer(), np.uint64) for i in range(len(data))]
-    known = np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64)
+    at = np.repeat(earlier["bucket"].to_numpy(), [len(x) for x in known])
+    known = np.concatenate(known) if known else np.empty(0, np.uint64)
+    every = np.unique(known)
+    # A name and its bucket as one number.
+    keys = np.sort(np.searchsorted(every, known) * n_buckets + at)
     out = []
     if not block.num_rows:
         return pa.Table.from_batches([], schema=_ARROW)
     parts = list(_first_here(block, size))
-    for part, words, names, starts, fresh in parts:
-        at = np.searchsorted(known, names)
-        at[at == len(known)] = 0
-        seen = known[at] == names if len(known) else np.zeros(len(names), bool)
+    for part, words, names, second, starts, fresh in parts:
+        seen = np.zeros(len(names), bool)
+        if len(keys):
+            at = np.minimum(np.searchsorted(every, names), len(every) - 1)
+            own = at * n_buckets + w.buckets(second, n_buckets)
+            to = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            seen = (every[at] == names) & (keys[to] == own)
         bad = starts[seen | ~fresh]
         step = np.zeros(len(words) + 1, dtype=np.int64)
         np.add.at(step, bad, 1)
@@ -110,15 +125,18 @@ def _remove(block: pa.Table, earlier: pa.Table, size: int) -> pa.Table:
 def _first_here(block: pa.Table, size: int):
     """Adds whether a window is the first of its name in the block. Words are found twice, so that
     only window hashes are held for the whole block."""
-    found = [name for _, _, name, _ in _windows(block, size)]
-    names = np.concatenate(found) if found else np.empty(0, np.uint64)
-    order = np.argsort(names, kind="stable")
-    ranked = names[order]
+    names, others = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for _, _, name, second, _ in _windows(block, size):
+        names.append(name)
+        others.append(second)
+    names, others = np.concatenate(names), np.concatenate(others)
+    order = np.lexsort((others, names))  # stable
+    names, others = names[order], others[order]
     fresh = np.ones(len(names), dtype=bool)
-    fresh[order[1:]] = ranked[1:] != ranked[:-1]
+    fresh[order[1:]] = (names[1:] != names[:-1]) | (others[1:] != others[:-1])
     at = 0
-    for part, words, name, starts in _windows(block, size):
-        yield part, words, name, starts, fresh[at : at + len(name)]
+    for part, words, name, second, starts in _windows(block, size):
+        yield part, words, name, second, starts, fresh[at : at + len(name)]
         at += len(name)
 
 
@@ -193,9 +211,11 @@ def remove_repeats(
         on_table(_send, size=size, n_buckets=blocks.count),
         "bucket long, block long, names binary",
     )
-    earlier = sent.groupBy("bucket").applyInArrow(on_table(_earlier), "block long, names binary")
+    earlier = sent.groupBy("bucket").applyInArrow(
+        on_table(_earlier), "bucket long, block long, names binary"
+    )
     return (
         cut.groupBy("block")
         .cogroup(earlier.groupBy("block"))
-        .applyInArrow(on_tables(_remove, size=size), REPEATS)
+        .applyInArrow(on_tables(_remove, size=size, n_buckets=blocks.count), REPEATS)
     )

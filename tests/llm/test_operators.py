@@ -34,6 +34,41 @@ def test_removed_intervals_are_maximal(odd):
         assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_windows_of_equal_names_are_told_apart(monkeypatch):
+    """Where the sent hash is the same for all windows, the second one still tells them apart."""
+    import pyarrow as pa
+
+    from loanlens.llm import words as w
+
+    whole, size, n_buckets = w.windows, 5, 1 << 30
+
+    def same(values, first, size, seed, short):
+        hashes, starts = whole(values, first, size, seed, short)
+        return (np.zeros_like(hashes) if seed == 13 else hashes), starts
+
+    monkeypatch.setattr(w, "windows", same)
+    draw = random.Random(1)
+    docs = [(k, " ".join(f"w{draw.randrange(10**6)}" for _ in range(30))) for k in range(6)]
+    docs[4] = (4, docs[4][1] + " " + docs[0][1])
+    docs[5] = (5, docs[4][1])
+    blocks = []
+    for number in range(2):
+        ids, texts = zip(*docs[3 * number : 3 * number + 3], strict=True)
+        ids, texts = pa.array(ids, pa.int64()), pa.array(texts, pa.string())
+        blocks.append(pa.table({"doc_id": ids, "text": texts, "block": pa.array([number] * 3)}))
+    sent = pa.concat_tables(substrings._send(x, size, n_buckets) for x in blocks)
+    buckets = sorted(set(sent["bucket"].to_pylist()))
+    assert len(buckets) > 100
+    earlier = [substrings._earlier(sent.filter(pa.compute.equal(sent["bucket"], b))) for b in buckets]
+    earlier = pa.concat_tables(earlier)
+    found = []
+    for number, block in enumerate(blocks):
+        own = earlier.filter(pa.compute.equal(earlier["block"], number))
+        rows = substrings._remove(block, own, size, n_buckets).to_pylist()
+        found += [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in rows]
+    assert found == brute.removed(docs, size)
+
+
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
 def test_similarity(odd, size, percent):
     found = similarity.similar_documents(odd, shingle=size, percent=percent)

@@ -6,6 +6,7 @@ and no Python object. Slices hold `SLICE` bytes (one longer text makes a longer
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 2 << 20
+#: Bytes of a word above which a word is hashed on its own.
+LONG = 256
 
 _U = np.uint64
 
@@ -97,16 +100,29 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.bytes)
-        if not len(self.start):
-            return np.empty(0, dtype=_U)
-        up, down = powers(seed, n + 1)
-        total = np.empty(n + 1, dtype=_U)
-        total[0] = 0
-        np.cumsum(numbers(256, seed + 1)[self.bytes] * up[:n], dtype=_U, out=total[1:])
-        value = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(value + (self.end - self.start).astype(_U))
+        """A 64-bit hash of each word's bytes, eight bytes after another.
+
+        Words of one length up to 8 bytes have different hashes. Words of more than `LONG` bytes
+        are hashed by blake2b.
+        """
+        size = self.end - self.start
+        value = mix(size.astype(_U) + numbers(1, seed)[0])
+        if not len(size):
+            return value
+        padded = np.concatenate([self.bytes, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray(len(self.bytes) + 1, "<u8", padded, strides=(1,))
+        often = size <= LONG
+        which, at = np.flatnonzero(often), 0
+        while len(which):
+            left = size[which] - at
+            keep = _U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * np.minimum(left, 8).astype(_U))
+            value[which] = mix(value[which] * _U(0x9E3779B97F4A7C15) ^ (eight[self.start[which] + at] & keep))
+            which, at = which[left > 8], at + 8
+        key = int(seed).to_bytes(8, "little")
+        for k in np.flatnonzero(~often):
+            data = self.bytes[self.start[k] : self.end[k]]
+            value[k] = int.from_bytes(hashlib.blake2b(data, digest_size=8, key=key).digest(), "little")
+        return value
 
     def strings(self, which: np.ndarray) -> list[bytes]:
         data = self.bytes.tobytes()

@@ -42,3 +42,28 @@ def test_slices_hold_all_rows():
     parts = list(w.slices(table, "text", limit=10))
     assert [x for p in parts for x in p.column("n").to_pylist()] == list(range(6))
     assert all(p.num_rows == 1 or p.get_total_buffer_size() for p in parts)
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of 2**n letters on which every polynomial hash modulo 2**64 fails, and its partner."""
+    first, other = "a", "b"
+    for _ in range(n):
+        first, other = first + other, other + first
+    return first, other
+
+
+def test_hashes_tell_patterned_words_apart():
+    for n in range(1, 15):
+        words = w.Words(pa.array([" ".join(thue_morse(n))]), w.PLAIN, False)
+        for seed in (1, 11, 15, 21, 31, 51):
+            assert len(set(words.hashes(seed).tolist())) == 2
+
+
+def test_hashes_of_words_of_every_length():
+    texts = ["x" * n for n in range(1, 700)] + ["x" * n + "y" for n in range(1, 700)]
+    texts += ["\0" * n for n in range(1, 30)] + ["x" * 700_000, "x" * 700_001]
+    words = w.Words(pa.array([" ".join(texts), " ".join(reversed(texts))]), w.PLAIN, False)
+    hashes = words.hashes(5)
+    half = len(hashes) // 2
+    assert hashes[:half].tolist() == hashes[half:][::-1].tolist()
+    assert len(set(hashes.tolist())) == len(set(texts))

@@ -208,3 +208,12 @@ def op5_license_scans(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(rows["family"])), ",").alias("families"),
         F.array_join(spans, ",").alias("spans"),
     )
+
+
+@query
+def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from loanlens.llm.fingerprints import as_text
+    from loanlens.llm.neardup import near_duplicates
+
+    found = near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
+    return found.withColumn("fingerprint", as_text(F.col("fingerprint")))

@@ -13,8 +13,9 @@ c = F.col
 def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node.
 
-    A step sends one row for each edge, so a node with very many edges is one row at most in each
-    of its neighbours' groups, and its own minimum is pre-aggregated. Edges of a step are written
+    Each step sends one row for each edge. A node's minimum is pre-aggregated and written before it
+    is joined, so both sides of a join are stored tables: a node that very many edges share is a
+    heavy join key, which Spark splits (`spark.sql.adaptive.skewJoin`). Edges of a step are written
     to the shared folder. The number of steps grows with the logarithm of the longest path.
     """
     high, low = F.greatest(first, second).alias("u"), F.least(first, second).alias("v")
@@ -22,14 +23,10 @@ def components(edges: DataFrame, first: str = "a", second: str = "b") -> DataFra
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(c("v").alias("u"), c("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(c("u"), F.min("v")).alias("m"))
-        large = (
-            both.where(c("v") > c("u"))
-            .join(lowest, "u")
-            .select(c("v").alias("u"), c("m").alias("v"))
-            .distinct()
-        )
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = cut(both.groupBy("u").agg(F.least(c("u"), F.min("v")).alias("m")))
+        up = both.where(c("v") > c("u"))
+        large = cut(up.join(lowest, "u").select(c("v").alias("u"), c("m").alias("v")).distinct())
+        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").where(c("v") != c("m")).select(c("v").alias("u"), "m")
         now = cut(small.unionByName(lowest).distinct().withColumnRenamed("m", "v"))
         before, mark = mark, _mark(now)

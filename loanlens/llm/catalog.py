@@ -217,3 +217,10 @@ def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     found = near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
     return found.withColumn("fingerprint", as_text(F.col("fingerprint")))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    from loanlens.llm.lexical import search
+
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=10)

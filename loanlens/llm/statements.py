@@ -121,3 +121,30 @@ SELECT d.doc_id, count(span) FILTER (WHERE rank = 0) AS n_assign,
   coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
 FROM d LEFT JOIN told USING (doc_id) GROUP BY d.doc_id
 """
+
+SQL["op13_ranked_search"] = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({lowered('text')}, '{LETTERS}') AS w FROM documents),
+total AS (SELECT count(*) AS docs, sum(len(w)) AS terms FROM d WHERE len(w) > 0),
+asked AS (
+  SELECT item_id, term, count(*) AS k
+  FROM (SELECT item_id, unnest(regexp_extract_all({lowered('text')}, '{LETTERS}')) AS term
+    FROM benchmark) GROUP BY ALL),
+there AS (
+  SELECT doc_id, term, n, count(*) AS tf
+  FROM (SELECT doc_id, unnest(w) AS term, len(w) AS n FROM d)
+  SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (
+  SELECT term,
+    CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS x
+  FROM there, total GROUP BY term, docs),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(k * x * ((1000000000 * tf)
+    // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN there USING (term) JOIN weights USING (term), total GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""

@@ -224,3 +224,21 @@ def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     from loanlens.llm.lexical import search
 
     return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), top=10)
+
+
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation begins with the first turns, up to 8, of one of every five."""
+    from loanlens.llm import prefixtrie as p
+
+    c, key = F.col, F.col("conv_id")
+    turns = p.turns_of(table(spark, folder, "conversations"))
+    rows = p.cut(p.rebuilt(turns, F.crc32(key.cast("string")) % 9, key - key % 5))
+    trie = p.build(rows)
+    digests = p.ends_digests(trie.ends).withColumnsRenamed({"depth": "d", "g1": "q1", "g2": "q2"})
+    same = (c("depth") == c("d")) & (c("g1") == c("q1")) & (c("g2") == c("q2"))
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves"]
+    none = F.sha2(F.lit(""), 256)
+    return trie.nodes.join(digests, same, "left").select(
+        *columns, "saved_tokens", F.coalesce("ends_sha256", none).alias("ends_sha256")
+    )

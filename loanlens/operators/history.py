@@ -87,6 +87,18 @@ def with_scheduled(joined: DataFrame) -> DataFrame:
     return joined.withColumn("scheduled", F.when(~reported, scheduled_at(c("loan_age"))))
 
 
+#: True on the row that stands for a loan itself, beside its months.
+LOAN_ROW = "is_loan"
+
+
+def _with_months(joined: DataFrame) -> DataFrame:
+    """Amounts of each month from loans joined to their history."""
+    here = c("act_period") == c("term_period")
+    # The loan's whole default and loss count in its terminal month, as the month's amounts do.
+    placed = {name: F.when(here, c(name)) for name in ("default_bal", "net_loss")}
+    return with_scheduled(joined).withColumns({**month_columns(), **placed})
+
+
 def loan_months(loans: DataFrame, month: DataFrame) -> DataFrame:
     """One row per loan and month with the amounts of that month.
 
@@ -94,11 +106,25 @@ def loan_months(loans: DataFrame, month: DataFrame) -> DataFrame:
     loan has one history row per month, so no join key is heavy however large the history is.
     """
     prepared = with_growth(with_terminal_amounts(loans))
-    joined = usable_history(month).join(prepared, "loan_id")
-    here = c("act_period") == c("term_period")
-    # The loan's whole default and loss count in its terminal month, as the month's amounts do.
-    placed = {name: F.when(here, c(name)) for name in ("default_bal", "net_loss")}
-    return with_scheduled(joined).withColumns({**month_columns(), **placed})
+    return _with_months(usable_history(month).join(prepared, "loan_id"))
+
+
+def loans_and_months(loans: DataFrame, month: DataFrame) -> DataFrame:
+    """`loan_months`, and for each loan one row more that stands for the loan itself (`LOAN_ROW`).
+
+    Both come from one join, so that a curve's cohort totals need no second pass over the loans: a
+    loan enters the join twice, once to meet its months and once to meet nothing. The rows of the
+    loans themselves have no age.
+    """
+    prepared = with_growth(with_terminal_amounts(loans))
+    both = prepared.withColumn(LOAN_ROW, F.explode(F.array(F.lit(True), F.lit(False))))
+    history = usable_history(month).withColumn("_of_loan", F.lit(False))
+    history = history.withColumnRenamed("loan_id", "_loan_id")
+    same = (c("loan_id") == c("_loan_id")) & (c(LOAN_ROW) == c("_of_loan"))
+    joined = both.join(history, same, "left").where(c(LOAN_ROW) | c("_loan_id").isNotNull())
+    rows = _with_months(joined.drop("_loan_id", "_of_loan"))
+    # A loan's own row has no month, so its filled age would be unknown in any case.
+    return rows.withColumn("loan_age", F.when(~c(LOAN_ROW), c("loan_age")))
 
 
 def loan_flags(month: DataFrame, spec: CohortSpec) -> DataFrame:

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loanlens.functions import measures as m
-from loanlens.operators.joins import join_on_keys
+from loanlens.operators.history import LOAN_ROW
 from loanlens.spec import DIMENSION_COLUMNS, CohortSpec
 
 c = F.col
@@ -70,25 +71,27 @@ def with_own_totals(report: DataFrame) -> DataFrame:
     )
 
 
-def with_cohort_totals(grouped: DataFrame, universe: DataFrame, spec: CohortSpec) -> DataFrame:
-    """Add the loan count and balance of the cohort each group row belongs to.
+def cohort_totals() -> list[m.Measure]:
+    """Sums over the rows that stand for loans themselves, beside the measures of their months."""
+    rows = {"p_cohort_loans": ("count", F.when(c(LOAN_ROW), 1))}
+    upb = {"p_cohort_upb": ("sum", F.when(c(LOAN_ROW), c("orig_upb")))}
+    return [
+        m.Measure("cohort_loans", rows, c("p_cohort_loans")),
+        m.Measure("cohort_upb", upb, c("p_cohort_upb").cast("double")),
+    ]
+
+
+def with_cohort_totals(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Carry the loan count and balance of each cohort from the row that has them to all its ages.
 
-    A row matches on its loan keys and on which of them are subtotalled, so a NULL key and a
-    subtotal stay apart. Both sides are aggregates.
+    Loans themselves have no age, so each cohort's totals are on its row without one. A row belongs
+    to a cohort by its loan keys and by which of them are subtotalled, so a NULL key and a subtotal
+    stay apart. The window runs on the aggregated curve and has one row per age.
     """
-    keys = [*spec.loan_keys, *bits(spec.loan_keys)]
-    totals = aggregate(
-        universe,
-        spec.loan_keys,
-        [
-            m.Measure("cohort_loans", m.row_part(), c("rows")),
-            m.Measure("cohort_upb", m.upb_part(), c("upb").cast("double")),
-        ],
-        rollup=spec.rollup,
-    )
-    return join_on_keys(grouped, totals, keys).withColumn(
-        "cohort_als", m.ratio(c("cohort_upb"), c("cohort_loans"))
-    )
+    cohort = Window.partitionBy(*keys, *bits(keys))
+    return curve.withColumns(
+        {name: F.max(name).over(cohort) for name in ("cohort_loans", "cohort_upb")}
+    ).withColumn("cohort_als", m.ratio(c("cohort_upb"), c("cohort_loans")))
 
 
 # Dimensions whose average coupon is looked up by value; the others use their subtotal.

@@ -8,7 +8,10 @@ pruned per consumer. Callers that run several reports over one universe may `per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions import loan, segments
@@ -34,12 +37,49 @@ def _filtered(frame: DataFrame, predicates: list) -> DataFrame:
     return frame
 
 
-def _with_terminal(loans: DataFrame, term: DataFrame, spec: CohortSpec) -> DataFrame:
+def _joined_terminal(loans: DataFrame, term: DataFrame) -> DataFrame:
     terminal = term.withColumnRenamed("act_period", "term_period")
-    joined = loans.join(terminal, "loan_id", "left")
-    if spec.drop_early_payoffs:
-        joined = joined.filter(c("zb_dte").isNull() | (c("zb_dte") > c("first_pay")))
-    return joined
+    return loans.join(terminal, "loan_id", "left")
+
+
+def _kept_terminal(spec: CohortSpec) -> list[Column]:
+    if not spec.drop_early_payoffs:
+        return []
+    return [c("zb_dte").isNull() | (c("zb_dte") > c("first_pay"))]
+
+
+def _with_terminal(loans: DataFrame, term: DataFrame, spec: CohortSpec) -> DataFrame:
+    return _filtered(_joined_terminal(loans, term), _kept_terminal(spec))
+
+
+def is_of_loan(spec: CohortSpec) -> bool:
+    """A loan and its terminal record alone say whether the loan is in the cohort, and in which
+    segment."""
+    percentile = spec.segments is not None and spec.segments.percentile
+    others = spec.limit, spec.seller_rank, percentile or None, spec.average_coupon_only or None
+    derived = spec.legacy_terms or spec.legacy_eligibility  # differ from `with_attributes`'s own
+    return all(x is None for x in others) and not derived
+
+
+def in_cohort(spec: CohortSpec) -> Column:
+    """All filters of a spec that `is_of_loan`, over a loan with attributes and terminal record."""
+    filters = [
+        *scan_filters(spec),
+        *_kept_terminal(spec),
+        *loan_filters(spec),
+        *cohort_filters(spec),
+    ]
+    return reduce(lambda a, b: a & b, filters)
+
+
+def with_terminal(
+    tables: LoanTables, vintages: CohortSpec, specs: Iterable[CohortSpec]
+) -> DataFrame:
+    """Loans that pass some spec's filters on stored columns, with their terminal records."""
+    passed = [reduce(lambda a, b: a & b, scan_filters(spec)) for spec in specs]
+    loans = _filtered(tables.orig, scan_filters(vintages))
+    loans = loans.filter(reduce(lambda a, b: a | b, passed))
+    return _joined_terminal(loans, tables.of_vintages("term", vintages))
 
 
 def with_attributes(
@@ -77,16 +117,22 @@ def _with_percentile_cutoffs(loans: DataFrame, edges: tuple[float, ...]) -> Data
     return join_on_keys(loans, cuts, BALANCE_GROUP)
 
 
+def segment_of(spec: CohortSpec) -> Column:
+    """The segment column: worked out from the loan, or `bal_seg` where that takes the cohort."""
+    wanted = spec.segments
+    if wanted is None or wanted.percentile:
+        return c("bal_seg")
+    if wanted.steps:
+        return segments.by_steps(wanted.steps)
+    return segments.by_cutoffs(wanted.low_k, wanted.medium_k, wanted.very_low_k)
+
+
 def _with_segment(loans: DataFrame, spec: CohortSpec, ranked: bool) -> DataFrame:
     wanted = spec.segments
     if wanted is None:
         return loans
-    if wanted.steps:
-        return loans.withColumn("bal_seg", segments.by_steps(wanted.steps))
     if not wanted.percentile:
-        return loans.withColumn(
-            "bal_seg", segments.by_cutoffs(wanted.low_k, wanted.medium_k, wanted.very_low_k)
-        )
+        return loans.withColumn("bal_seg", segment_of(spec))
     if ranked:
         return loans.withColumn("bal_seg", segments.by_percentile(c("group_pctile"), wanted.edges))
     cut_names = [f"_cut{i}" for i in range(len(wanted.edges))]

@@ -11,13 +11,18 @@ from loanlens.functions.numeric import ratio
 from loanlens.functions.segments import NAMED_ORDER
 from loanlens.operators.cumulative import with_cumulative_credit
 from loanlens.operators.history import (
-    loan_months,
+    loans_and_months,
     with_horizon,
     with_payment,
     with_terminal_amounts,
 )
 from loanlens.operators.ranking import with_party_names
-from loanlens.operators.summary import aggregate, with_cohort_totals, with_own_totals
+from loanlens.operators.summary import (
+    aggregate,
+    cohort_totals,
+    with_cohort_totals,
+    with_own_totals,
+)
 from loanlens.operators.universe import build_universe
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import CohortSpec
@@ -66,13 +71,13 @@ def report_measures(spec: CohortSpec) -> list[m.Measure]:
 def report_rows(
     tables: LoanTables, universe: DataFrame, spec: CohortSpec
 ) -> DataFrame:
-    """Rows the report aggregates: loan-months, loans at the horizon, or loans."""
+    """Rows the report aggregates: loans and their months, loans at the horizon, or loans."""
     loans = with_payment(universe)
     if "income" in spec.display:
         income = amortization.annual_income(c("monthly_pi"), c("dti"))
         loans = loans.withColumn("annual_income", income)
     if spec.by_age:
-        return loan_months(loans, tables.of_vintages("month", spec))
+        return loans_and_months(loans, tables.of_vintages("month", spec))
     loans = with_terminal_amounts(loans)
     if "history" in spec.display:
         month = tables.of_vintages("month", spec)
@@ -114,16 +119,15 @@ def cohort_report(
     """
     measured = build_universe(tables, spec) if universe is None else universe
     rows = report_rows(tables, measured, spec)
-    report = aggregate(rows, spec.group_keys, report_measures(spec), spec.rollup)
-    if spec.min_count is not None:
-        report = report.filter(c("loans") >= spec.min_count)
+    measures = report_measures(spec) + (cohort_totals() if spec.by_age else [])
+    report = aggregate(rows, spec.group_keys, measures, spec.rollup)
     if spec.by_age:
+        report = with_cohort_totals(report, spec.loan_keys)
         report = report.filter(c("loan_age").isNotNull())
-    if spec.by_age:
-        counted = build_universe(tables, spec, ()) if universe is None else universe
-        report = with_cohort_totals(report, counted, spec)
     else:
         report = with_own_totals(report)
+    if spec.min_count is not None:
+        report = report.filter(c("loans") >= spec.min_count)
     report = with_party_names(report, tables.orig, spec)
     if spec.by_age:
         report = with_cumulative_credit(report, spec.group_keys)

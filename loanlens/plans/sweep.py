@@ -1,12 +1,13 @@
 """Several runs at once.
 
-Runs that only differ in one choice of loans (a channel, a balance band) become one more group
-key, so the history is read once for all of them. Other lists of runs are concatenated.
+Runs become one more group key, so loans and history are read once for all of them: runs that differ
+in one choice of loans (a channel, a balance band), and age curves of any specs. Other reports are
+concatenated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,11 +19,17 @@ from loanlens.functions import measures as m
 from loanlens.functions import performance
 from loanlens.functions.loan import in_term_bucket
 from loanlens.operators.cumulative import with_cumulative_credit
-from loanlens.operators.history import loan_months, with_payment
-from loanlens.operators.joins import join_on_keys
+from loanlens.operators.history import loans_and_months, with_payment
 from loanlens.operators.ranking import with_party_names
-from loanlens.operators.summary import aggregate, bit, bits
-from loanlens.operators.universe import build_universe
+from loanlens.operators.summary import aggregate, bit, cohort_totals, with_cohort_totals
+from loanlens.operators.universe import (
+    build_universe,
+    in_cohort,
+    is_of_loan,
+    segment_of,
+    with_attributes,
+    with_terminal,
+)
 from loanlens.plans.cohort import cohort_report, report_measures, with_cohort_shares
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import DIMENSION_COLUMNS, DIMENSIONS, CohortSpec
@@ -62,22 +69,12 @@ def _curves(
     paid = with_payment(tagged)
     if "dti" in paid.columns:
         paid = paid.withColumn("annual_income", amortization.annual_income(c("monthly_pi"), c("dti")))
-    rows = loan_months(paid, month)
-    curve = aggregate(rows, group_keys, measures, rollup=False)
+    rows = loans_and_months(paid, month)
+    curve = aggregate(rows, group_keys, [*measures, *cohort_totals()], rollup=False)
+    curve = with_cohort_totals(curve, loan_keys).filter(c("loan_age").isNotNull())
     for run, least in min_counts.items():
         curve = curve.filter((c(RUN) != run) | (c("loans") >= least))
-    totals = aggregate(
-        tagged,
-        loan_keys,
-        [
-            m.Measure("cohort_loans", m.row_part(), c("rows")),
-            m.Measure("cohort_upb", m.upb_part(), c("upb").cast("double")),
-        ],
-        rollup=False,
-    ).drop(*bits(loan_keys))
-    matched = join_on_keys(curve.filter(c("loan_age").isNotNull()), totals, loan_keys)
-    sized = matched.withColumn("cohort_als", m.ratio(c("cohort_upb"), c("cohort_loans")))
-    return with_cumulative_credit(sized, group_keys).drop(bit(RUN))
+    return with_cumulative_credit(curve, group_keys).drop(bit(RUN))
 
 
 def exclusive_age_curves(
@@ -120,11 +117,22 @@ def _both(first: Column | None, second: Column) -> Column:
     return second if first is None else first & second
 
 
-# Loan columns the plain age measures read.
+# Loan columns the plain age measures read, and those that a run decides.
 CURVE_INPUTS = (
-    "loan_id loan_term vintage eligible orig_rate orig_upb orig_term first_pay term_period "
-    "zero_bal_code last_upb disposition_date"
-).split()
+    "loan_id",
+    "vintage",
+    "eligible",
+    "orig_rate",
+    "orig_upb",
+    "orig_term",
+    "first_pay",
+    "term_period",
+    "zero_bal_code",
+    "last_upb",
+    "disposition_date",
+    *performance.COSTS,
+    *performance.PROCEEDS,
+)
 
 
 def _plain_curve(spec: CohortSpec) -> bool:
@@ -132,35 +140,62 @@ def _plain_curve(spec: CohortSpec) -> bool:
     return spec.by_age and not spec.rollup and not spec.display and not named
 
 
-def _tagged(tables: LoanTables, run: str, spec: CohortSpec, keys: Sequence[str]) -> DataFrame:
-    """A run's loans with its name and its group keys; keys of other runs are NULL."""
+def _run(run: str, spec: CohortSpec, keys: Sequence[str]) -> Column:
+    """What a run says of a loan: its name, the term, and its group keys; other runs' keys are NULL."""
     own = set(spec.loan_keys)
+    columns = {"bal_seg": segment_of(spec)}
 
     def key(name: str) -> Column:
-        return c(name).cast("string") if name in own else F.lit(None).cast("string")
-
-    return build_universe(tables, spec).select(
-        F.lit(run).alias(RUN),
-        *CURVE_INPUTS,
-        *performance.COSTS,
-        *performance.PROCEEDS,
-        *[key(name).alias(f"key_{name}") for name in keys],
+        value = columns.get(name, c(name)) if name in own else F.lit(None)
+        return value.cast("string").alias(f"key_{name}")
+
+    return F.struct(F.lit(run).alias(RUN), c("loan_term"), *[key(name) for name in keys])
+
+
+def envelope(specs: Iterable[CohortSpec]) -> CohortSpec:
+    """The vintages that some of the specs ask for, and all between."""
+    first = [s.first_vintage for s in specs]
+    last = [s.last_vintage for s in specs]
+    return CohortSpec(
+        None if None in first else min(first), None if None in last else max(last)
     )
 
 
+def _tagged_once(
+    tables: LoanTables, specs: Mapping[str, CohortSpec], keys: Sequence[str]
+) -> DataFrame:
+    """The loans of all runs from one scan, once for each run that they are in."""
+    loans = with_attributes(with_terminal(tables, envelope(list(specs.values())), specs.values()))
+    chosen = [F.when(in_cohort(s), _run(run, s, keys)) for run, s in specs.items()]
+    runs = F.explode(F.array_compact(F.array(*chosen))).alias("_run")
+    return loans.select(*CURVE_INPUTS, runs).select("_run.*", *CURVE_INPUTS)
+
+
+def _tagged(tables: LoanTables, run: str, spec: CohortSpec, keys: Sequence[str]) -> DataFrame:
+    """The loans of a run whose choice needs more than the loan itself."""
+    runs = _run(run, spec, keys).alias("_run")
+    return build_universe(tables, spec).select(*CURVE_INPUTS, runs).select("_run.*", *CURVE_INPUTS)
+
+
 def plain_age_curves(tables: LoanTables, specs: Mapping[str, CohortSpec]) -> DataFrame:
-    """Age curves of several specs from one pass over the history; group keys come out as text.
+    """Age curves of several specs from one pass over loans and history; keys come out as text.
 
-    Loans are small beside their history, so each run contributes its tagged loans and the history
-    is shuffled and joined once for all runs.
+    Runs that choose loans by what the loan itself says are told apart while the loans are scanned
+    once. Runs with a percentile, a ranking, a limit or an average coupon are loans of their own
+    universe. The history is read for the vintages that any run asks for, shuffled and joined once.
     """
     columns = [DIMENSION_COLUMNS[d] for d in DIMENSIONS if any(d in s.by for s in specs.values())]
-    loans = [_tagged(tables, run, spec, columns) for run, spec in specs.items()]
+    once = {run: spec for run, spec in specs.items() if is_of_loan(spec)}
+    loans = [_tagged_once(tables, once, columns)] if once else []
+    loans += [
+        _tagged(tables, run, spec, columns) for run, spec in specs.items() if run not in once
+    ]
     tagged = reduce(lambda a, b: a.unionByName(b), loans)
     least = {run: s.min_count for run, s in specs.items() if s.min_count is not None}
     measures = report_measures(next(iter(specs.values())).but(by=("age",), segments=None))
     keys = [f"key_{name}" for name in columns]
-    curves = _curves(tagged, keys, measures, least, tables.month)
+    month = tables.of_vintages("month", envelope(list(specs.values())))
+    curves = _curves(tagged, keys, measures, least, month)
     return curves.withColumnsRenamed(
         {
             **{f"key_{name}": name for name in columns},

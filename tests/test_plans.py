@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loanlens.catalog import registered
 from loanlens.plans.cohort import age_curve, cohort_report, horizon_report
+from loanlens.plans.sweep import spec_sweep
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import BalanceSegments, CohortSpec
 from tests.conftest import SMALL
@@ -143,3 +144,29 @@ def test_no_cross_joins_or_python(spark, name):
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan
+
+
+def test_a_sweep_scans_each_table_once(spark, stored, large):
+    """Specs of several vintages: one scan of loans, terminal records and history, and of the
+    history only the vintages that some spec asks for."""
+    specs = {
+        "steps": ALL.but(first_vintage=1996, last_vintage=1997, by=("age", "channel")),
+        "late": CohortSpec.vintage(1999, term=360, eligible_only=True, by=("age", "state")),
+        "bands": CohortSpec.vintage(
+            1998, by=("age", "balance"), segments=BalanceSegments(low_k=150, medium_k=300)
+        ),
+    }
+    plan = plan_of(spec_sweep(stored, specs))
+    [month] = scans(plan, "dlq_status")
+    assert len(scans(plan, "orig_upb")) == 1 and len(scans(plan, "zero_bal_code")) == 1
+    filters = month.split("PartitionFilters: ")[1].split("]")[0]
+    assert ">= 1996" in filters and "<= 1999" in filters
+    assert "GreaterThanOrEqual(orig_date,1996)" in scans(plan, "orig_upb")[0]
+
+
+def test_a_curve_scans_loans_once(spark, stored, large):
+    """Cohort totals come from the join that the months come from."""
+    for spec in (ALL, ALL.but(by=("vintage", "channel"), rollup=True, min_count=2)):
+        plan = plan_of(age_curve(stored, spec))
+        assert len(scans(plan, "orig_upb")) == 1 and len(scans(plan, "zero_bal_code")) == 1
+        assert len(scans(plan, "dlq_status")) == 1

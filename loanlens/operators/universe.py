@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 from loanlens.functions import loan, segments
 from loanlens.operators.filters import cohort_filters, loan_filters, scan_filters
 from loanlens.operators.joins import join_on_keys
-from loanlens.operators.percentile import cutoffs, value_ranks, with_percent_rank
+from loanlens.operators.percentile import (
+    cutoffs,
+    value_counts,
+    value_ranks,
+    with_percent_rank,
+)
 from loanlens.operators.ranking import with_rank
 from loanlens.operators.summary import at_average_coupon
 from loanlens.sources.tables import LoanTables
@@ -103,16 +108,20 @@ def with_attributes(
     )
 
 
-def _with_balance_percentile(loans: DataFrame) -> DataFrame:
+def _with_balance_percentile(loans: DataFrame, counts: DataFrame) -> DataFrame:
     """`group_pctile` for every loan; `orig_upb_pctile` only for those below the size limit."""
-    ranked = with_percent_rank(loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE, "group_pctile")
+    ranked = with_percent_rank(
+        loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE, "group_pctile", counts
+    )
     conforming = F.coalesce(c("high_balance_loan_indicator"), F.lit("N")) == "N"
     return ranked.withColumn("orig_upb_pctile", F.when(conforming, c("group_pctile")))
 
 
-def _with_percentile_cutoffs(loans: DataFrame, edges: tuple[float, ...]) -> DataFrame:
+def _with_percentile_cutoffs(
+    loans: DataFrame, counts: DataFrame, edges: tuple[float, ...]
+) -> DataFrame:
     """Segment cutoffs of each group beside its loans, without ranking every loan."""
-    ranks = value_ranks(loans, BALANCE_GROUP, "orig_upb", BALANCE_RANGE)
+    ranks = value_ranks(counts, BALANCE_GROUP, "orig_upb", BALANCE_RANGE)
     cuts = cutoffs(ranks, BALANCE_GROUP, "orig_upb", edges)
     return join_on_keys(loans, cuts, BALANCE_GROUP)
 
@@ -127,7 +136,9 @@ def segment_of(spec: CohortSpec) -> Column:
     return segments.by_cutoffs(wanted.low_k, wanted.medium_k, wanted.very_low_k)
 
 
-def _with_segment(loans: DataFrame, spec: CohortSpec, ranked: bool) -> DataFrame:
+def _with_segment(
+    loans: DataFrame, counts: DataFrame | None, spec: CohortSpec, ranked: bool
+) -> DataFrame:
     wanted = spec.segments
     if wanted is None:
         return loans
@@ -137,7 +148,7 @@ def _with_segment(loans: DataFrame, spec: CohortSpec, ranked: bool) -> DataFrame
         return loans.withColumn("bal_seg", segments.by_percentile(c("group_pctile"), wanted.edges))
     cut_names = [f"_cut{i}" for i in range(len(wanted.edges))]
     return (
-        _with_percentile_cutoffs(loans, wanted.edges)
+        _with_percentile_cutoffs(loans, counts, wanted.edges)
         .withColumn("bal_seg", segments.by_percentile_cutoffs([c(n) for n in cut_names]))
         .drop(*cut_names)
     )
@@ -158,11 +169,18 @@ def windowed_universe(
     loans = with_attributes(
         _filtered(loans, loan_filters(spec)), spec.legacy_terms, spec.legacy_eligibility
     )
+    segmented = spec.segments is not None and spec.segments.percentile
+    ranked = [*BALANCE_GROUP, "orig_upb"] if "balance" in percentiles or segmented else []
+    ranked += ["orig_rate", "vintage"] if "rate" in percentiles else []
+    # One count of the loans serves every rank; Spark reuses its shuffle.
+    counts = value_counts(loans, tuple(dict.fromkeys(ranked))) if ranked else None
     if "balance" in percentiles:
-        loans = _with_balance_percentile(loans)
-    loans = _with_segment(loans, spec, "balance" in percentiles)
+        loans = _with_balance_percentile(loans, counts)
+    loans = _with_segment(loans, counts, spec, "balance" in percentiles)
     if "rate" in percentiles:
-        loans = with_percent_rank(loans, RATE_GROUP, "orig_rate", RATE_RANGE, "orig_rate_pctile")
+        loans = with_percent_rank(
+            loans, RATE_GROUP, "orig_rate", RATE_RANGE, "orig_rate_pctile", counts
+        )
     return loans
 
 

@@ -50,3 +50,50 @@ def test_late_filters_do_not_move_percentiles(stored):
     names = ["loan_id", "orig_upb_pctile", "orig_rate_pctile"]
     assert not some.isEmpty()
     assert some.select(*names).exceptAll(every.select(*names)).isEmpty()
+
+
+def test_a_heavy_rate_is_dealt_over_tasks(spark, monkeypatch):
+    """One rate on half the loans, dozens of rates on the rest: every task joins as many rows."""
+    from loanlens.operators import joins
+
+    monkeypatch.setattr(joins, "SPLIT", 200)
+    rate = F.when(c("id") % 2 == 0, 4.5).otherwise(3 + c("id") % 37 / 8)
+    loans = spark.range(20000).select(
+        c("id").alias("loan_id"), F.lit("1996").alias("vintage"), rate.alias("orig_rate")
+    )
+    before = {
+        name: spark.conf.get(name)
+        for name in (
+            "spark.sql.adaptive.enabled",
+            "spark.sql.autoBroadcastJoinThreshold",
+            "spark.sql.shuffle.partitions",
+        )
+    }
+    try:
+        for name, value in zip(before, ("false", "-1", "8"), strict=True):
+            spark.conf.set(name, value)
+        found = with_percent_rank(loans, ["vintage"], "orig_rate", 1.0, "p")
+        tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        sizes = sorted(row["count"] for row in tasks)
+        assert len(sizes) == 8 and sizes[-1] < 1.5 * sizes[4]
+        window = Window.partitionBy("vintage").orderBy("orig_rate")
+        expected = loans.select("loan_id", F.percent_rank().over(window).alias("p"))
+        assert found.select("loan_id", "p").exceptAll(expected).isEmpty()
+        assert found.count() == loans.count()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_both_percentiles_count_the_loans_once(spark, stored):
+    """One scan for the counts, one for the loans."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        both = build_universe(stored, CohortSpec(1995, 2001), ("balance", "rate"))
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "FileScan" in x and "orig_upb" in x]
+        assert len(scans) <= 2
+        assert "ReusedExchange" in plan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)

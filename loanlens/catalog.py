@@ -20,6 +20,7 @@ from loanlens.operators.universe import build_universe, with_attributes
 from loanlens.plans import legacy, shapes, sweep
 from loanlens.plans.cohort import age_curve, cohort_report, horizon_report, strat_report
 from loanlens.session import tune
+from loanlens.sources.shared import new_folder
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import BalanceSegments, CohortSpec
 
@@ -599,6 +600,53 @@ def report_rownum(t: LoanTables) -> DataFrame:
     return finished(report, ["row_num", *_keyed(spec), "loans"])
 
 
+@query
+def report_by_rank(t: LoanTables) -> DataFrame:
+    """Sellers in the order of their rank as a number, all of them together after them."""
+    spec = ALL.but(by=("seller", "channel"), rollup=True)
+    report = shapes.numbered(cohort_report(t, spec), spec)
+    return finished(report, ["row_num", *_keyed(spec), "loans"])
+
+
+@query
+def report_by_age(t: LoanTables) -> DataFrame:
+    """Ages as numbers, inside their channel."""
+    spec = ALL.but(by=("age", "channel"))
+    report = shapes.numbered(cohort_report(t, spec), spec)
+    return finished(report, ["row_num", "loan_term", "channel", "loan_age", "loans"])
+
+
+@query
+def originator_of_prefix(t: LoanTables) -> DataFrame:
+    """A run over the sellers of one prefix shows the first of their names."""
+    spec = ALL.but(seller_prefix="BUILD", by=("channel",))
+    return finished(cohort_report(t, spec), ["loan_term", "channel", "originator", "loans"])
+
+
+@query
+def filter_echo(t: LoanTables) -> DataFrame:
+    spec = ALL.but(purpose="P", units=1, max_ltv=90, by=("mi",), rollup=True)
+    report = shapes.present(cohort_report(t, spec), spec)
+    echo = ["cohort_purpose", "cohort_units", "cohort_max_ltv", "cohort_has_mi"]
+    return finished(report, ["cohort_term", "cohort_mi", *echo, "loans", "orig_upb"])
+
+
+@query
+def stored_age_curve(t: LoanTables) -> DataFrame:
+    """Age curves and horizon speeds of two vintages over tables stored by vintage."""
+    spark = t.orig.sparkSession
+    root = new_folder(spark, "loans")
+    t.write(root)
+    stored = LoanTables.from_parquet(spark, root)
+    curve = age_curve(stored, CohortSpec(1996, 1997, by=("vintage",)))
+    names = ["loan_term", "vintage", "loan_age", "loans", "orig_upb", "cohort_loans"]
+    speeds = horizon_report(stored, CohortSpec(1996, 1997, by=("vintage",)))
+    speeds = speeds.withColumn("loan_age", F.lit(None).cast("int"))
+    horizon = finished(speeds, [*names, "horizon_act"])
+    none = F.lit(None).cast("double")
+    return finished(curve.withColumn("horizon_act", none), [*names, "horizon_act"]).unionByName(horizon)
+
+
 @query
 def labels(t: LoanTables) -> DataFrame:
     spec = ALL.but(by=("vintage", "state", "channel", "second_home", "first"), rollup=True)

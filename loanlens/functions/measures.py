@@ -47,6 +47,11 @@ def row_part() -> dict[str, tuple[str, Column]]:
     return {"rows": ("count", F.lit(1))}
 
 
+def first_name(name: str, column: Column) -> Measure:
+    """The least text of a group, such as the one name that stands for all of them."""
+    return Measure(name, {f"p_{name}": ("min", column)}, c(f"p_{name}"))
+
+
 def rate_part() -> dict[str, tuple[str, Column]]:
     return {"rate_upb": ("sum", c("orig_rate") * c("orig_upb"))}
 

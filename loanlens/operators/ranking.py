@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loanlens.functions import loan
 from loanlens.functions.text import DEFAULT_TOTAL
 from loanlens.operators.filters import vintages
+from loanlens.operators.positions import with_row_numbers
 from loanlens.operators.summary import bit
 from loanlens.spec import CohortSpec
 
@@ -20,12 +22,25 @@ UNNAMED = "Other"
 NAME_COLUMNS = {"seller": "originator", "servicer": "servicer_name"}
 
 
+#: Ranks that were worked out, by the loans they come from.
+_KNOWN: WeakKeyDictionary[DataFrame, dict[tuple, DataFrame]] = WeakKeyDictionary()
+
+
 def party_ranks(orig: DataFrame, spec: CohortSpec, party: str) -> DataFrame:
     """Rank, volume and first/last vintage per party over all loans of the vintage range.
 
     Unnamed sellers are left out before ranking. Unnamed servicers stay, with a NULL rank, and
-    use up a number. The row_number runs on the aggregate, one row per party; ties go by name.
+    use up a number. Ties go by name. Volumes are summed once and kept in the shared folder: a report
+    that chooses or groups by rank and then names its parties uses the same ranks again.
     """
+    known = _KNOWN.setdefault(orig, {})
+    chosen = party, spec.first_vintage, spec.last_vintage
+    if chosen not in known:
+        known[chosen] = _ranked(orig, spec, party)
+    return known[chosen]
+
+
+def _ranked(orig: DataFrame, spec: CohortSpec, party: str) -> DataFrame:
     volumes = (
         orig.filter(vintages(spec))
         .groupBy(F.coalesce(c(party), F.lit(UNNAMED)).alias(party))
@@ -37,10 +52,10 @@ def party_ranks(orig: DataFrame, spec: CohortSpec, party: str) -> DataFrame:
     )
     if party == "seller":
         volumes = volumes.filter(c(party) != UNNAMED)
-    position = F.row_number().over(Window.orderBy(c("volume").desc(), c(party)))
-    return volumes.select(
+    ordered = with_row_numbers(volumes, [c("volume").desc(), c(party).asc()], "position")
+    return ordered.select(
         party,
-        F.when(c(party) != UNNAMED, position).alias(f"{party}_rank"),
+        F.when(c(party) != UNNAMED, c("position")).alias(f"{party}_rank"),
         "volume",
         "min_orig",
         "max_orig",

@@ -16,7 +16,7 @@ from loanlens.operators.history import (
     with_payment,
     with_terminal_amounts,
 )
-from loanlens.operators.ranking import with_party_names
+from loanlens.operators.ranking import NAME_COLUMNS, with_party_names
 from loanlens.operators.summary import (
     aggregate,
     cohort_totals,
@@ -38,7 +38,9 @@ def max_period(tables: LoanTables) -> Column:
 def report_measures(spec: CohortSpec) -> list[m.Measure]:
     """Measures of a run, in the order of the display blocks."""
     shown = set(spec.display)
+    named = spec.seller_prefix is not None and "seller" not in spec.by
     chosen = [
+        *([m.first_name(NAME_COLUMNS["seller"], c("seller"))] if named else []),
         *m.size(),
         *m.note_rate(),
         m.payment(),

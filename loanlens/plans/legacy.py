@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loanlens.functions import measures as m
 from loanlens.functions import performance
@@ -24,7 +23,7 @@ from loanlens.operators.history import (
     with_terminal_amounts,
 )
 from loanlens.operators.ranking import with_party_names
-from loanlens.operators.summary import aggregate, bit
+from loanlens.operators.summary import aggregate
 from loanlens.operators.universe import build_universe
 from loanlens.plans.cohort import max_period
 from loanlens.sources.tables import LoanTables
@@ -111,17 +110,16 @@ def vintage_report(
     return with_party_names(_counted(report, spec), tables.orig, spec)
 
 
-def with_grand_total(report: DataFrame) -> DataFrame:
-    """Add the whole report's original balance to each row, read from its grand-total row."""
-    everything = Window.partitionBy()
-    total = F.max(F.when(c(bit("loan_term")) == 1, c("orig_upb"))).over(everything)
-    return report.withColumn("total_orig_upb", total)
+def grand_total(loans: DataFrame) -> Column:
+    """The original balance of all loans, as a scalar subquery; null without loans."""
+    return loans.agg(F.sum("orig_upb").cast("double")).scalar()
 
 
 def combined_report(tables: LoanTables, spec: CohortSpec) -> DataFrame:
     """All display blocks of the combined report; `history` adds the horizon block."""
     spec = legacy_spec(spec).but(legacy_eligibility=True)
-    rows = with_terminal_amounts(build_universe(tables, spec))
+    loans = build_universe(tables, spec)
+    rows = with_terminal_amounts(loans)
     shown = set(spec.display)
     measures = list(m.size())
     if "vintage" in shown:
@@ -145,7 +143,9 @@ def combined_report(tables: LoanTables, spec: CohortSpec) -> DataFrame:
         measures += [*_horizon(spec), _ever("ever_60_pct", "ever_60_horizon")]
     report = aggregate(rows, _keys(spec, COMBINED_REPORT_ORDER), measures, rollup=True)
     report = with_party_names(report, tables.orig, spec)
-    return _counted(with_grand_total(report) if "strat" in shown else report, spec)
+    if "strat" in shown:
+        report = report.withColumn("total_orig_upb", grand_total(loans))
+    return _counted(report, spec)
 
 
 def combined_age_curve(tables: LoanTables, spec: CohortSpec) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loanlens.functions import text
 from loanlens.functions.numeric import ratio
 from loanlens.functions.segments import CONFORMING, NAMED_ORDER, SUPER, order_of
+from loanlens.operators.positions import with_row_numbers
 from loanlens.operators.summary import bit, bits
 from loanlens.spec import DIMENSION_COLUMNS, CohortSpec
 
@@ -129,8 +129,8 @@ def present(report: DataFrame, spec: CohortSpec) -> DataFrame:
 
 
 def numbered(report: DataFrame, spec: CohortSpec) -> DataFrame:
-    """Add the row's position in report order; the window runs on the aggregated report."""
-    return report.withColumn("row_num", F.row_number().over(Window.orderBy(*sort_columns(spec))))
+    """Add the row's position in report order. The report is computed once, into the shared folder."""
+    return with_row_numbers(report, sort_columns(spec), "row_num")
 
 
 def render(report: DataFrame, human: bool) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.functions import loan
@@ -14,23 +14,61 @@ from loanlens.sources import star
 from loanlens.sources.schemas import SCHEMAS
 from loanlens.spec import CohortSpec
 
-Source = DataFrame | Callable[[], DataFrame]
+Source = DataFrame | Callable[[], DataFrame | None]
 
 
 # Partition column of stored history and terminal records.
 VINTAGE = "vintage"
 
 
-def _frame(source: Source) -> DataFrame:
+def _frame(source: Source) -> DataFrame | None:
     return source() if callable(source) else source
 
 
-def _latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored last month; tables from elsewhere have none."""
+def _file(path: Column) -> Column:
+    """A file by its last folder and name, whatever the way to it is called."""
+    return F.regexp_extract(path, "([^/]+/[^/]+)$", 1)
+
+
+def _periods(month: DataFrame) -> DataFrame:
+    """The last reporting month of each file of a stored history."""
+    return month.groupBy(_file(F.input_file_name()).alias("file")).agg(
+        F.max("act_period").alias("max_period")
+    )
+
+
+def _new_files(month: DataFrame, stored: DataFrame | None) -> tuple[list[str], str | None]:
+    """Files that the stored months do not know, and the last month of those that they know and that
+    are still there. File names are metadata, which Spark's own listing holds on the driver."""
+    there = {"/".join(path.split("/")[-2:]): path for path in month.inputFiles()}
+    known = {} if stored is None else dict(stored.select("file", "max_period").collect())
+    new = [path for name, path in there.items() if name not in known]
+    last = max((known[n] for n in there if known.get(n) is not None), default=None)
+    return new, last
+
+
+def _latest(month: DataFrame, stored: DataFrame | None) -> DataFrame | None:
+    """One row: the last month as stored, and as found in files that came later; None if nothing is
+    stored."""
+    if stored is None:
+        return None
+    spark = month.sparkSession
+    new, last = _new_files(month, stored)
+    row = spark.createDataFrame([(last,)], "max_period string")
+    if not new:
+        return row
+    found = spark.read.schema("act_period string").parquet(*new)
+    found = found.agg(F.max("act_period").alias("max_period"))
+    return row.unionByName(found).agg(F.max("max_period").alias("max_period"))
+
+
+def _stored(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The stored last months; tables from elsewhere have none."""
     try:
-        return spark.read.schema("max_period string").parquet(path)
+        frame = read()
     except AnalysisException:
         return None
+    return frame if set(frame.columns) >= {"file", "max_period"} else None
 
 
 class LoanTables:
@@ -77,18 +115,20 @@ class LoanTables:
     @staticmethod
     def from_parquet(spark: SparkSession, root: str) -> LoanTables:
         """Tables written by `write`, or any parquet folders `orig`, `month`, `term`."""
-        return LoanTables(
-            **{
-                name: spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}")
-                for name, schema in SCHEMAS.items()
-            },
-            latest=_latest(spark, f"{root.rstrip('/')}/latest"),
-        )
+        root = root.rstrip("/")
+        frames = {
+            name: spark.read.schema(schema).parquet(f"{root}/{name}")
+            for name, schema in SCHEMAS.items()
+        }
+        stored = _stored(lambda: spark.read.parquet(f"{root}/latest"))
+        return LoanTables(**frames, latest=lambda: _latest(frames["month"], stored))
 
     @staticmethod
     def from_catalog(spark: SparkSession, prefix: str) -> LoanTables:
         """Tables saved by `save`."""
-        return LoanTables(**{name: spark.table(f"{prefix}{name}") for name in SCHEMAS})
+        frames = {name: spark.table(f"{prefix}{name}") for name in SCHEMAS}
+        stored = _stored(lambda: spark.table(f"{prefix}latest"))
+        return LoanTables(**frames, latest=lambda: _latest(frames["month"], stored))
 
     @staticmethod
     def from_star(spark: SparkSession, root: str) -> LoanTables:
@@ -102,7 +142,7 @@ class LoanTables:
 
     def write(self, root: str) -> None:
         """Parquet files sorted so that a vintage range or a loan range skips row groups, and the
-        last reporting month.
+        last reporting month of each file of the history.
 
         The history and the terminal records are kept in a folder for each vintage of their loans,
         so that a cohort reads no other vintage's. Range partitioning spreads a heavy vintage over
@@ -119,7 +159,29 @@ class LoanTables:
             frame.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(
                 VINTAGE
             ).mode("overwrite").parquet(f"{root}/{name}")
-        self.latest_period().write.mode("overwrite").parquet(f"{root}/latest")
+        month = self.month.sparkSession.read.schema(SCHEMAS["month"]).parquet(f"{root}/month")
+        _periods(month).coalesce(1).write.mode("overwrite").parquet(f"{root}/latest")
+
+    @staticmethod
+    def append_months(spark: SparkSession, root: str, months: DataFrame) -> None:
+        """Add reporting months to tables written by `write`, and their last month to what is stored.
+
+        Rows go into the folder of their loan's vintage. Months that were added in another way are
+        found by their files when the last month is asked for.
+        """
+        root = root.rstrip("/")
+        orig = spark.read.schema(SCHEMAS["orig"]).parquet(f"{root}/orig")
+        vintages = orig.select("loan_id", loan.vintage().cast("int").alias(VINTAGE))
+        order = (VINTAGE, "loan_id", "act_period")
+        rows = months.select(*SCHEMAS["month"].names).join(vintages, "loan_id", "left")
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.write.partitionBy(VINTAGE).mode("append").parquet(f"{root}/month")
+        stored = _stored(lambda: spark.read.parquet(f"{root}/latest"))
+        month = spark.read.schema(SCHEMAS["month"]).parquet(f"{root}/month")
+        new, _ = _new_files(month, stored)
+        if new:
+            found = _periods(spark.read.schema(SCHEMAS["month"]).parquet(*new))
+            found.coalesce(1).write.mode("append").parquet(f"{root}/latest")
 
     def save(self, prefix: str, buckets: int) -> None:
         """Catalog tables bucketed by loan, so that the joins on loan_id need no shuffle."""
@@ -133,6 +195,9 @@ class LoanTables:
                 .format("parquet")
                 .saveAsTable(f"{prefix}{name}")
             )
+        month = self.month.sparkSession.table(f"{prefix}month")
+        latest = _periods(month).coalesce(1).write.mode("overwrite").format("parquet")
+        latest.saveAsTable(f"{prefix}latest")
 
     def wide_history(self) -> DataFrame:
         """Monthly rows that also carry the terminal fields of their loan's terminal month."""
@@ -140,6 +205,7 @@ class LoanTables:
 
     def latest_period(self) -> DataFrame:
         """One row: the last reporting month of the history, as stored or else found in it."""
-        if self._latest is not None:
-            return _frame(self._latest)
+        stored = None if self._latest is None else _frame(self._latest)
+        if stored is not None:
+            return stored
         return self.month.agg(F.max("act_period").alias("max_period"))

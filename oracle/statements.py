@@ -907,3 +907,53 @@ aged AS (
 )""",
     source="aged",
 )
+
+
+# --- report order, echoes and stored tables ---------------------------------------------------------
+
+S["report_by_rank"] = statement(
+    """SELECT row_number() OVER (ORDER BY loan_term DESC NULLS LAST, g_seller_rank,
+    seller_rank NULLS LAST, g_channel, channel NULLS LAST) AS row_num, * FROM (
+  SELECT CAST(loan_term AS BIGINT) AS loan_term, channel, CAST(seller_rank AS BIGINT) AS seller_rank,
+    CAST(grouping(loan_term) AS BIGINT) AS g_loan_term,
+    CAST(grouping(channel) AS BIGINT) AS g_channel,
+    CAST(grouping(seller_rank) AS BIGINT) AS g_seller_rank, count(*) AS loans
+  FROM ranked_sellers GROUP BY ROLLUP (loan_term, channel, seller_rank))""",
+    SELLERS,
+)
+S["report_by_age"] = statement(
+    """SELECT row_number() OVER (ORDER BY loan_term DESC, channel NULLS LAST, loan_age) AS row_num, *
+FROM (SELECT CAST(loan_term AS BIGINT) AS loan_term, channel, CAST(loan_age AS BIGINT) AS loan_age,
+    count(*) AS loans
+  FROM lm WHERE loan_age IS NOT NULL GROUP BY ALL)""",
+    months(),
+)
+S["originator_of_prefix"] = statement(
+    """SELECT CAST(loan_term AS BIGINT) AS loan_term, channel, min(seller) AS originator,
+  count(*) AS loans
+FROM u WHERE seller LIKE 'BUILD%' GROUP BY loan_term, channel"""
+)
+S["filter_echo"] = statement(
+    f"""SELECT {_label('loan_term', 'All Terms')} AS cohort_term,
+  {_label('mi_flag', 'Total')} AS cohort_mi, 'P' AS cohort_purpose, CAST(1 AS BIGINT) AS cohort_units,
+  CAST(90 AS BIGINT) AS cohort_max_ltv, 'Y' AS cohort_has_mi, count(*) AS loans,
+  {r2('sum(orig_upb)')} AS orig_upb
+FROM u WHERE purpose = 'P' AND no_units = 1 AND coalesce(ocltv, 0) <= 90 AND oltv <= 90
+  AND coalesce(mi_type, 1) = 1
+GROUP BY ROLLUP (loan_term, mi_flag)"""
+)
+S["stored_age_curve"] = statement(
+    f"""SELECT CAST(g.loan_term AS BIGINT) AS loan_term, g.vintage,
+  CAST(loan_age AS BIGINT) AS loan_age, loans, orig_upb, cohort_loans,
+  CAST(NULL AS DOUBLE) AS horizon_act
+FROM (SELECT loan_term, vintage, loan_age, {chosen('loans', 'orig_upb')} FROM lm
+  WHERE loan_age IS NOT NULL GROUP BY ALL) g
+JOIN (SELECT loan_term, vintage, count(*) AS cohort_loans FROM u GROUP BY ALL) s
+  ON s.loan_term = g.loan_term AND s.vintage = g.vintage
+WHERE g.vintage IN ('1996', '1997')
+UNION ALL SELECT CAST(loan_term AS BIGINT), vintage, NULL, {chosen('loans', 'orig_upb')},
+  count(*), {r2('coalesce(sum(horizon_bal), 0)')}
+FROM hz WHERE vintage IN ('1996', '1997') GROUP BY loan_term, vintage""",
+    months(),
+    _horizon("u"),
+)

@@ -9,9 +9,15 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loanlens.catalog import registered
+from loanlens.operators.positions import with_row_numbers
+from loanlens.operators.ranking import party_ranks
+from loanlens.operators.universe import build_universe, first_loans
 from loanlens.plans.cohort import age_curve, cohort_report, horizon_report
+from loanlens.plans.legacy import combined_report
+from loanlens.plans.shapes import numbered
 from loanlens.plans.sweep import spec_sweep
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import BalanceSegments, CohortSpec
@@ -170,3 +176,53 @@ def test_a_curve_scans_loans_once(spark, stored, large):
         plan = plan_of(age_curve(stored, spec))
         assert len(scans(plan, "orig_upb")) == 1 and len(scans(plan, "zero_bal_code")) == 1
         assert len(scans(plan, "dlq_status")) == 1
+
+
+def single_partition(plan: str) -> list[str]:
+    """What feeds each exchange to one partition."""
+    lines = plan.splitlines()
+    return [
+        lines[k + 1] for k, line in enumerate(lines) if "Exchange SinglePartition" in line
+    ]
+
+
+def test_positions_see_no_task_with_all_rows(spark, stored, large):
+    """Row numbers, ranks and the grand total: only partial aggregates go to one partition."""
+    ranks = party_ranks(stored.orig, ALL, "seller")
+    spec = ALL.but(by=("vintage", "channel"), rollup=True)
+    report = numbered(cohort_report(stored, spec), spec)
+    combined = combined_report(stored, ALL.but(by=("seller",), display=("strat",)))
+    for frame in (ranks, report, combined):
+        assert all("Aggregate" in line for line in single_partition(plan_of(frame)))
+    assert party_ranks(stored.orig, ALL, "seller") is ranks
+
+
+def test_row_numbers_of_many_ranges(spark):
+    rows = spark.range(5000).select((c("id") * 7919 % 5000).alias("x"), (c("id") % 3).alias("k"))
+    order = [c("k").desc(), c("x").asc_nulls_last()]
+    with settings(spark, spark__sql__adaptive__enabled="false"):
+        found = with_row_numbers(rows.repartition(6), order, "n")
+    window = Window.orderBy(*order)
+    expected = rows.withColumn("n", F.row_number().over(window))
+    assert found.exceptAll(expected).isEmpty() and found.count() == 5000
+    nothing = with_row_numbers(rows.where("x < 0"), order, "n")
+    assert nothing.collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 7, 1000, 10**6])
+def test_limit_is_a_bound_on_the_id(spark, stored, large, n):
+    chosen = build_universe(stored, CohortSpec(limit=n))
+    plan = plan_of(chosen)
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+    first = build_universe(stored, CohortSpec()).select("loan_id").orderBy("loan_id").limit(n)
+    assert chosen.select("loan_id").exceptAll(first).isEmpty()
+    assert chosen.count() == first.count()
+
+
+@pytest.mark.parametrize("ids", [[-(2**63), 2**63 - 1, 0, 5, 6], list(range(50)) + [2**62]])
+def test_limit_on_spread_ids(spark, ids):
+    loans = spark.createDataFrame([(i,) for i in ids], "loan_id long")
+    for n in (1, 3, 4, len(ids), len(ids) + 3):
+        found = sorted(r["loan_id"] for r in first_loans(loans, n).collect())
+        assert found == sorted(ids)[:n]
+    assert first_loans(loans.where("false"), 3).count() == 0

@@ -62,3 +62,36 @@ def test_bucketed_tables_join_without_shuffling_history(spark, stored, tmp_path)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def test_last_period_is_known_without_a_scan(spark, stored, tmp_path):
+    """Written and saved tables know it; months that come later are found in their files alone."""
+    root = str(tmp_path / "loans")
+    stored.write(root)
+    last = stored.month.agg(F.max("act_period")).first()[0]
+
+    def asked() -> tuple[str, str]:
+        latest = LoanTables.from_parquet(spark, root).latest_period()
+        return latest.first()[0], latest._jdf.queryExecution().executedPlan().toString()
+
+    period, plan = asked()
+    assert period == last and "FileScan" not in plan
+    more = stored.month.limit(5).withColumn("act_period", F.lit("203001"))
+    LoanTables.append_months(spark, root, more)
+    period, plan = asked()
+    assert period == "203001" and "FileScan" not in plan
+    late = more.limit(2).withColumn("act_period", F.lit("203102"))
+    late.write.mode("append").parquet(f"{root}/month/vintage=1996")  # in another way
+    period, plan = asked()
+    assert period == "203102" and plan.count("FileScan") == 1
+    assert LoanTables.from_parquet(spark, root).month.count() == stored.month.count() + 7
+    spark.sql(f"CREATE DATABASE kept LOCATION '{tmp_path}/db'")
+    try:
+        stored.save("kept.", 2)
+        latest = LoanTables.from_catalog(spark, "kept.").latest_period()
+        assert latest.first()[0] == last
+        assert "FileScan" not in latest._jdf.queryExecution().executedPlan().toString()
+        more.select(*spark.table("kept.month").columns).write.insertInto("kept.month")
+        assert LoanTables.from_catalog(spark, "kept.").latest_period().first()[0] == "203001"
+    finally:
+        spark.sql("DROP DATABASE kept CASCADE")

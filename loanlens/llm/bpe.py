@@ -2,7 +2,8 @@
 
 The symbols of many words lie in one flat array. A round looks every pair of neighbours up by
 binary search over the sorted pair keys, finds the lowest rank of each word, and merges all places
-of that pair in the word from left to right. Words without a pair leave. A merged symbol is made by
+of that pair in the word from left to right. Words without a pair leave; a word of more than `LONG`
+bytes takes rounds of its own, which touch only the places of their pair. A merged symbol is made by
 one pair only, so its later pairs rank higher and the order of merges is that of the plain
 algorithm.
 
@@ -11,11 +12,12 @@ the driver has read. Special tokens inside a text become their id, as the librar
 
 Cases: null is the empty text, which has no tokens. Any text decodes to itself; ids that make no
 valid UTF-8 decode with U+FFFD as the library does. Rows with equal or null ids stay rows of their
-own. Long texts and long words only make longer arrays.
+own. A file with other rules (a normalizer, a prefix space, another pre-tokenizer) is refused.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -39,6 +41,9 @@ WORD = regex.compile(
     rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 
+#: Bytes of a word above which it is merged on its own.
+LONG = 1024
+
 TOKENS = "struct<n_tokens:bigint,ids:array<int>,decoded:string>"
 
 
@@ -50,12 +55,38 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def other_rules(data: dict) -> list[str]:
+    """Parts of a vocabulary file by which texts are cut or merged in another way than here."""
+    before, model = data.get("pre_tokenizer") or {}, data.get("model") or {}
+    plain = {
+        "normalizer": data.get("normalizer") is None,
+        "pre_tokenizer": before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space", True)
+        and before.get("use_regex", True),
+        "decoder": (data.get("decoder") or {}).get("type") == "ByteLevel",
+        "model": model.get("type", "BPE") == "BPE"
+        and not any(
+            model.get(x)
+            for x in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix",
+                      "end_of_word_suffix")
+        ),
+        "added_tokens": not any(
+            token.get(x)
+            for token in data.get("added_tokens", ())
+            for x in ("single_word", "lstrip", "rstrip")
+        ),
+    }
+    return [name for name, ok in plain.items() if not ok]
+
+
 class Vocabulary:
     """Tables of a vocabulary file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
+        if odd := other_rules(data):
+            raise ValueError(f"{path} is no plain byte-level BPE: {', '.join(odd)}")
         letters = byte_letters()
         ids = data["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
@@ -96,10 +127,15 @@ class Vocabulary:
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and n + 1 offsets."""
         n, none = len(words), len(self.keys)
-        counts = np.array([len(x) for x in words], dtype=np.int64)
-        symbols = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        owner = np.repeat(np.arange(n), counts)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, word in enumerate(words):
+            if len(word) > LONG:
+                ids = self.merge_long(word)
+                done.append((ids, np.full(len(ids), k)))
+        short = [b"" if len(x) > LONG else x for x in words]
+        counts = np.array([len(x) for x in short], dtype=np.int64)
+        symbols = self.byte_ids[np.frombuffer(b"".join(short), dtype=np.uint8)]
+        owner = np.repeat(np.arange(n), counts)
         while len(symbols):
             inside = owner[1:] == owner[:-1]
             rank = np.full(len(symbols), none, dtype=np.int64)
@@ -132,6 +168,58 @@ class Vocabulary:
         order = np.argsort(owner, kind="stable")
         return ids[order], np.searchsorted(owner[order], np.arange(n + 1))
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word, by rounds that only touch the places of their pair.
+
+        Symbols are chained, and places wait under the rank of the pair that begins there. A round
+        takes the lowest rank, merges its places from left to right, and ranks the new neighbours.
+        So a word costs its merges, and not rounds times its length.
+        """
+        symbols = self.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+        n, none = len(symbols), len(self.keys)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, none, dtype=np.int64)
+        rank[:-1] = self.rank(symbols[:-1], symbols[1:])
+        alive = np.ones(n, dtype=bool)
+        waiting: dict[int, list] = {}
+        order = np.argsort(rank, kind="stable")
+        starts, ends = w.runs(rank[order])
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            waiting[int(rank[order[s]])] = order[s:e].tolist()
+        waiting.pop(none, None)
+        queue = sorted(waiting)
+        while queue:
+            lowest = heapq.heappop(queue)
+            hit = np.unique(np.array(waiting.pop(lowest), dtype=np.int64))
+            hit = hit[rank[hit] == lowest]
+            if not len(hit):
+                continue
+            if len(hit) > 1:  # in a run of overlapping places, every second one merges
+                first = np.ones(len(hit), dtype=bool)
+                first[1:] = after[hit[:-1]] != hit[1:]
+                begin = np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))
+                hit = hit[(np.arange(len(hit)) - begin) % 2 == 0]
+            gone = after[hit]
+            symbols[hit] = self.merged[lowest]
+            alive[gone], rank[gone] = False, none
+            after[hit] = after[gone]
+            inner = hit[after[hit] < n]
+            before[after[inner]] = inner
+            ahead = before[hit]
+            changed = np.concatenate([hit, ahead[ahead >= 0]])
+            behind = after[changed]
+            inside = behind < n
+            rank[changed] = none
+            changed, behind = changed[inside], behind[inside]
+            rank[changed] = self.rank(symbols[changed], symbols[behind])
+            for place, value in zip(changed.tolist(), rank[changed].tolist(), strict=True):
+                if value < none:
+                    if value not in waiting:
+                        waiting[value] = []
+                        heapq.heappush(queue, value)
+                    waiting[value].append(place)
+        return symbols[alive]
+
     def encode_pieces(self, pieces: list[str]) -> Iterator[np.ndarray]:
         """Ids of each piece; distinct words are merged once."""
         words = [WORD.findall(piece) for piece in pieces]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens.llm.rows import own_name
-from loanlens.llm.storage import cut, new_path
+from loanlens.llm.storage import cut, new_path, once_each
 
 c = F.col
 
@@ -157,9 +157,8 @@ def scan_versions(
         versions.select(F.sha2(content, 256).alias("blob"), content.alias("content")), rules
     )
     paths = versions.select(c(path), F.sha2(content, 256).alias("blob"))
-    # A ledger row of the same blob may have been written twice by two writers.
     return (
-        paths.join(found.dropDuplicates(["blob"]), "blob", "left")
+        paths.join(once_each(found, "blob"), "blob", "left")
         .select(path, F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
     )
 

@@ -1,8 +1,9 @@
 """N-gram Jaccard join by a token-group matrix: documents that share enough of their shingles.
 
-1. Blocks of documents send shingle hashes, packed, to hash buckets (exact copies count once). A bucket answers with the
-   shingles that several documents hold and a band of their count. Equal shingle sets become one
-   class; its smallest id stands for it.
+1. Blocks of documents send shingle hashes with counts, packed, to hash buckets (exact copies count
+   once); a shingle, or a class of equal sets, that very many documents have is sent once for each
+   block. A bucket answers with the shingles that several documents hold and a band of their count.
+   Equal shingle sets become one class; its smallest id stands for it.
 2. All shingles have one global order: those of one document only, then by count band and hash.
    Two sets that reach the threshold share at least `ell` shingles among the first
    n - ceil(threshold * n) + ell of each. A document whose prefix has fewer shared shingles is
@@ -108,20 +109,22 @@ def _send(block: pa.Table, copies: pa.Table, size: int, n_buckets: int) -> pa.Ta
             np.stack([one[some], two[some], ids[some].astype(np.int64).view(np.uint64)], axis=1)
         )
     names = np.concatenate(names) if names else np.empty(0, np.uint64)
-    names = names[np.argsort(w.buckets(names, n_buckets), kind="stable")]
+    names, times = np.unique(names, return_counts=True)  # ascending, so buckets ascend too
     at = w.buckets(names, n_buckets)
     low = (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     starts, ends = w.runs(at)
+    spans = list(zip(starts, ends, strict=True))
     out = [
         _packed(
             at[starts],
             [number] * len(starts),
             TOKENS,
-            [w.pack(low[s:e]) for s, e in zip(starts, ends, strict=True)],
-            [None] * len(starts),
+            [w.pack(low[s:e]) for s, e in spans],
+            [w.pack(np.minimum(times[s:e], 0xFFFFFFFF).astype(np.uint32)) for s, e in spans],
         )
     ]
     classes = np.concatenate(classes) if classes else np.empty((0, 3), np.uint64)
+    classes = _first_of_class(np.column_stack([classes, np.ones(len(classes), np.uint64)]))
     at = w.buckets(classes[:, 0], n_buckets)
     order = np.argsort(at, kind="stable")
     classes, at = classes[order], at[order]
@@ -138,6 +141,24 @@ def _send(block: pa.Table, copies: pa.Table, size: int, n_buckets: int) -> pa.Ta
     return pa.concat_tables(out)
 
 
+def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (digest, digest, id, number) by class and id, and where each class begins."""
+    order = np.lexsort((rows[:, 2].view(np.int64), rows[:, 1], rows[:, 0]))
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[order][1:, :2] != rows[order][:-1, :2]).any(axis=1)
+    return order, np.flatnonzero(new)
+
+
+def _first_of_class(rows: np.ndarray) -> np.ndarray:
+    """One row for each class: its smallest id and its number of members."""
+    if not len(rows):
+        return rows
+    order, starts = _classes(rows)
+    out = rows[order][starts]
+    out[:, 3] = np.add.reduceat(rows[order][:, 3], starts)
+    return out
+
+
 def _bands(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, 1 + np.floor(2 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
@@ -150,13 +171,16 @@ def _answer(bucket: pa.Table) -> pa.Table:
             bucket["block"].to_pylist(),
             bucket["kind"].to_pylist(),
             bucket["names"].to_pylist(),
+            bucket["extra"].to_pylist(),
             strict=True,
         )
     )
     blocks, names, extra = [], [], []
-    sent = [(b, w.unpack(x, np.uint32)) for b, k, x in rows if k == TOKENS]
+    sent = [(b, w.unpack(x, np.uint32)) for b, k, x, _ in rows if k == TOKENS]
     if sent:
-        every, counts = np.unique(np.concatenate([x for _, x in sent]), return_counts=True)
+        times = np.concatenate([w.unpack(n, np.uint32) for _, k, _, n in rows if k == TOKENS])
+        every, at = np.unique(np.concatenate([x for _, x in sent]), return_inverse=True)
+        counts = np.bincount(at, weights=times)
         shared, bands = every[counts > 1], _bands(counts[counts > 1])
         for block, own in sent:
             mine = np.isin(shared, own)
@@ -165,31 +189,26 @@ def _answer(bucket: pa.Table) -> pa.Table:
                 names.append(w.pack(shared[mine]))
                 extra.append(w.pack(bands[mine]))
     out = [_packed([number] * len(blocks), blocks, TOKENS, names, extra)]
-    sent = [(b, w.unpack(x, np.uint64).reshape(-1, 3)) for b, k, x in rows if k == CLASSES]
+    sent = [(b, w.unpack(x, np.uint64).reshape(-1, 4)) for b, k, x, _ in rows if k == CLASSES]
     if sent:
         every = np.concatenate([x for _, x in sent])
         owner = np.repeat([b for b, _ in sent], [len(x) for _, x in sent])
-        ids = every[:, 2].view(np.int64)
-        order = np.lexsort((ids, every[:, 1], every[:, 0]))
-        every, owner, ids = every[order], owner[order], ids[order]
-        new = np.ones(len(every), dtype=bool)
-        new[1:] = (every[1:, :2] != every[:-1, :2]).any(axis=1)
-        rep = ids[new][np.cumsum(new) - 1]
-        member = rep != ids
-        order = np.argsort(owner[member], kind="stable")
-        owner, ids, rep = owner[member][order], ids[member][order], rep[member][order]
-        sizes = every[member][order][:, 0]
+        order, starts = _classes(every)
+        every, owner = every[order], owner[order]
+        sizes = np.diff(np.append(starts, len(every)))
+        rep = np.repeat(every[starts, 2], sizes)
+        several = np.repeat(np.add.reduceat(every[:, 3], starts) > 1, sizes)
+        order = np.argsort(owner[several], kind="stable")
+        owner, every, rep = (x[several][order] for x in (owner, every, rep))
         starts, ends = w.runs(owner)
+        spans = list(zip(starts, ends, strict=True))
         out.append(
             _packed(
                 [number] * len(starts),
                 owner[starts],
                 CLASSES,
-                [
-                    w.pack(np.stack([ids[s:e].view(np.uint64), sizes[s:e]], axis=1))
-                    for s, e in zip(starts, ends, strict=True)
-                ],
-                [w.pack(rep[s:e]) for s, e in zip(starts, ends, strict=True)],
+                [w.pack(every[s:e, :2]) for s, e in spans],
+                [w.pack(rep[s:e]) for s, e in spans],
             )
         )
     return pa.concat_tables(out)
@@ -208,9 +227,8 @@ def _prefixes(
             bands.append(w.unpack(extra, np.uint8))
         else:
             own = w.unpack(names, np.uint64).reshape(-1, 2)
-            ids, digests = own[:, 0].view(np.int64).tolist(), own[:, 1].tolist()
             reps = w.unpack(extra, np.int64).tolist()
-            classes.update(zip(zip(ids, digests, strict=True), reps, strict=True))
+            classes.update(zip(map(tuple, own.tolist()), reps, strict=True))
     keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
     bands = np.concatenate(bands) if bands else np.empty(0, np.uint8)
     order = np.argsort(keys)
@@ -249,8 +267,9 @@ def _rows(part, keys, bands, classes, size, percent, n_buckets) -> pa.Table:
     n = part.num_rows
     ids = part.column("doc_id")
     plain = ids.to_pylist()
-    digest = sets.digests()[0].tolist()
-    rep = [classes.get((i, d), i) for i, d in zip(plain, digest, strict=True)]
+    digests = zip(*(x.tolist() for x in sets.digests()), strict=True)
+    some = zip(plain, digests, sets.counts.tolist(), strict=True)
+    rep = [i if i is None or not k else classes.get(d, i) for i, d, k in some]
     names, owner, counts = sets.names, sets.owner, sets.counts
     own = (w.buckets(names, n_buckets).astype(np.uint64) << np.uint64(32)) | (
         names & np.uint64(0xFFFFFFFF)
@@ -368,8 +387,9 @@ def similar_documents(
     least = exact.groupBy("x", "y").agg(
         F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("k")
     )
+    # Stored first, so that Spark can split the join at a text that very many rows have.
     copies = (
-        exact.join(least.where("k > 1").drop("k"), ["x", "y"])
+        exact.join(cut(least.where("k > 1").drop("k")), ["x", "y"])
         .where(c("doc_id") != c("kept"))
         .select(c("block").alias("at"), c("doc_id").alias("copy_id"))
     )
@@ -389,7 +409,7 @@ def similar_documents(
     links = _links(rows.where("key is not null"), percent)
     if several is not None:
         return _by_id(rows, links, own)
-    found = components(links)
+    found = cut(components(links))
     return (
         rows.select("doc_id", c("n").alias("n_shingles"), "rep")
         .join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -422,14 +442,16 @@ def _by_id(rows: DataFrame, links: DataFrame, own: DataFrame) -> DataFrame:
     """Components where texts of one id meet, named by the smallest id."""
     rows = rows.select("doc_id", "n", "rep").join(own, c("doc_id") == c("node_"), "left")
     meet = rows.where("own is not null").select("own", c("rep").alias("a")).distinct()
-    first = meet.groupBy("own").agg(F.min("a").alias("b"))
-    found = components(links.unionByName(meet.join(first, "own").select("a", "b")))
+    meet = cut(meet)
+    first = cut(meet.groupBy("own").agg(F.min("a").alias("b")))
+    found = cut(components(links.unionByName(meet.join(first, "own").select("a", "b"))))
     rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.coalesce("own", "doc_id").alias("doc_id"),
         c("n").alias("n_shingles"),
         F.coalesce("component", "rep").alias("whole"),
     )
-    least = rows.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    rows = cut(rows)
+    least = cut(rows.groupBy("whole").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "whole", "left").select("doc_id", "n_shingles", "component_id")
 
 

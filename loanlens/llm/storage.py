@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from loanlens.sources.shared import kept as cut
+from loanlens.sources.shared import new_folder as new_path
+from loanlens.sources.shared import shared_folder
 
+__all__ = ["cut", "new_path", "once_each", "shared_folder"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where the session names none."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return named or context._jsc.sc().getCheckpointDir().get()
 
-
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and written to the shared folder."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def once_each(stored: DataFrame, key: str) -> DataFrame:
+    """A stored table with one row of each key. Only where two writers have stored a key twice is it
+    written again; else it stays the stored table, so that Spark can split a join with it."""
+    twice = stored.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return stored if twice.isEmpty() else cut(stored.dropDuplicates([key]))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from loanlens.llm import words as w
 from loanlens.llm.pieces import Cache
-from loanlens.llm.storage import new_path
+from loanlens.llm.storage import new_path, once_each
 
 c = F.col
 
@@ -147,7 +147,7 @@ def token_counts(
         return _run(batches, counter)
 
     cache.append(misses.mapInArrow(run, COUNTS), counter.version)
-    stored = cache.known(counter.version).dropDuplicates(["digest"])
+    stored = once_each(cache.known(counter.version), "digest")
     return (
         docs.select(c(key), F.sha2(content(c(text)), 256).alias("digest"))
         .join(stored, "digest")

@@ -69,6 +69,29 @@ def test_windows_of_equal_names_are_told_apart(monkeypatch):
     assert found == brute.removed(docs, size)
 
 
+def test_patterned_words_are_told_apart(spark):
+    """Two words on which any polynomial hash modulo 2**64 fails."""
+    from tests.llm.test_words import thue_morse
+
+    one, other = thue_morse(10)
+    rest = " ".join(f"w{k}" for k in range(19))
+    docs = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest} end")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = plain(substrings.remove_repeats(frame, size=20), "doc_id", "n_words", "n_removed", "kept")
+    assert brute.multiset(found) == brute.multiset(brute.removed(docs, 20))
+    items = [(9, f"{one} {rest}"[: len(one) + 40])]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    found = contamination.search(frame, asked, window=13)
+    found = plain(found, "doc_id", "n_words", "n_hit", "items")
+    assert brute.multiset(found) == brute.multiset(brute.hits(docs, items, 13))
+    few = [(k, t[: len(one) + 12]) for k, t in docs[:2]]
+    found = similarity.similar_documents(
+        spark.createDataFrame(few, "doc_id long, text string"), shingle=4, percent=85
+    )
+    found = plain(found, "doc_id", "n_shingles", "component_id")
+    assert brute.multiset(found) == brute.multiset(brute.components(few, 4, 85))
+
+
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
 def test_similarity(odd, size, percent):
     found = similarity.similar_documents(odd, shingle=size, percent=percent)

@@ -56,7 +56,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_is_registered():
     numbers = {int(name[2:].split("_")[0]) for name in catalog.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 def test_pipeline(spark, documents):

@@ -148,6 +148,11 @@ def blocks_for(distinct: int, radius: int) -> int:
     return blocks
 
 
+def differing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The number of differing bits; of signed values numpy would count those of the amount."""
+    return np.bitwise_count((one ^ other).view(_U))
+
+
 def tree(values: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
     """(first, others) of each set of distinct values that links of at most `radius` bits connect,
     for sets of two and more."""
@@ -156,7 +161,7 @@ def tree(values: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
         root, values, found = values[0], values[1:], []
         ask = [root]
         while ask and len(values):
-            near = np.bitwise_count(values ^ ask.pop()) <= radius
+            near = differing(values, ask.pop()) <= radius
             if near.any():
                 reached = values[near]
                 found.append(reached)
@@ -176,7 +181,7 @@ def _linked(number: np.ndarray, key: np.ndarray, value: np.ndarray, radius: int)
     starts = np.flatnonzero(new)
     sizes = np.diff(np.append(starts, len(key)))
     pairs = starts[sizes == 2]
-    near = np.bitwise_count(value[pairs] ^ value[pairs + 1]) <= radius
+    near = differing(value[pairs], value[pairs + 1]) <= radius
     out = [(value[pairs[near]], value[pairs[near] + 1])]
     for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
         for root, others in tree(value[s : s + n], radius):

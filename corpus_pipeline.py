@@ -36,20 +36,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Documents without an id are in no group and stay. Of rows that repeat an id one stays, by the
     digest of its text.
     """
-    found = similarity.similar_documents(docs, shingle=5, percent=80)
-    drop = found.where("component_id != doc_id").select(c("doc_id").alias("gone")).distinct()
-    kept = docs.join(drop, docs["doc_id"] == drop["gone"], "left_anti")
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    again = again.select(c("doc_id").alias("again"))
-    if again.isEmpty():
-        return kept
-    # The smallest row of each such id is found before the shuffle, so an id may hold many rows.
-    row = F.struct(F.sha2("text", 256).alias("digest"), *docs.columns)
-    repeated = kept.join(again, kept["doc_id"] == again["again"], "left_semi")
-    one = repeated.groupBy("doc_id").agg(F.min(row).alias("row"))
-    return kept.join(again, kept["doc_id"] == again["again"], "left_anti").unionByName(
-        one.select(*(c("row")[x].alias(x) for x in docs.columns))
-    )
+    return similarity.one_of_each_group(docs, shingle=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,11 +8,12 @@ differ beyond chance. A document's log-odds move by the log-odds of its path's r
 global rate, so a sparse site says nothing and a large bad one much. Counts are taken over all
 documents by grouped aggregation.
 
-The regression is fitted on `SAMPLE` labelled rows at most (a documented bound, chosen by a hash of
-the id); a quarter of them calibrate it. Without labels of both classes nothing is rejected.
+The regression is fitted on about `SAMPLE` labelled rows at most (a documented bound, chosen by a
+hash of the id, and of id and text where ids repeat); a quarter of them calibrate it. Without labels
+of both classes nothing is rejected.
 
-Cases: null is the empty text, which has no look: its own evidence is 0. A null host or path is a
-site of its own. Rows with equal or null ids stay rows of their own; a label of an id counts for
+Cases: null is the empty text, which has no look: its own evidence is 0. A null host or path is one
+site with the empty one. Ids are cast to bigint. Rows with equal or null ids stay rows of their own; a label of an id counts for
 each row that has the id.
 """
 
@@ -163,13 +164,20 @@ def train(
                     names=["label_id", "good", "look"],
                 )
 
-    # The chosen ids are `sample` rows of two numbers.
+    # The chosen ids are `sample` rows of two numbers. An id may have any number of rows: equal rows
+    # count once, and different ones are chosen by a hash where there are too many.
+    picked = docs.select(
+        c(key).cast("long").alias("label_id"), c(text).cast("string").alias("text")
+    ).join(F.broadcast(chosen), "label_id")
+    digest = F.xxhash64("text", "label_id")
+    count = picked.select(digest.alias("digest")).distinct().count()
+    share = min(1.0, sample / max(count, 1))
+    picked = picked.where(F.pmod(digest, F.lit(1 << 20)) < share * (1 << 20))
     rows = (
-        docs.select(c(key).cast("long").alias("label_id"), c(text).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "label_id")
+        picked.dropDuplicates(["label_id", "text"])
         .mapInArrow(look, "label_id long, good double, look binary")
         .toPandas()
-        .sort_values("label_id", kind="stable")
+        .sort_values(["label_id", "look"], kind="stable")
     )
     if rows["good"].nunique() < 2:
         return None

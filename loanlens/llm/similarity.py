@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from loanlens.llm import words as w
 from loanlens.llm.blocks import Blocks, on_table, on_tables
 from loanlens.llm.components import components
+from loanlens.llm.rows import own_name
 from loanlens.llm.storage import cut
 
 c = F.col
@@ -417,6 +418,29 @@ def similar_documents(
     )
 
 
+def one_of_each_group(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the documents that stand for their group, those with the smallest id.
+
+    Documents without an id are in no group and stay. Of rows that repeat an id one stays, by the
+    digest of its text and then by its other columns.
+    """
+    found = similar_documents(docs, shingle=shingle, percent=percent)
+    drop = found.where("component_id != doc_id").select(c("doc_id").alias("gone")).distinct()
+    kept = docs.join(drop, docs["doc_id"] == drop["gone"], "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    again = cut(again.select(c("doc_id").alias("again")))
+    if again.isEmpty():
+        return kept
+    # The smallest row of each such id is found before the shuffle, so an id may hold many rows.
+    first = own_name(docs.columns, "digest")
+    row = F.struct(F.sha2("text", 256).alias(first), *docs.columns)
+    repeated = kept.join(again, kept["doc_id"] == again["again"], "left_semi")
+    one = repeated.groupBy("doc_id").agg(F.min(row).alias("row"))
+    return kept.join(again, kept["doc_id"] == again["again"], "left_anti").unionByName(
+        one.select(*(c("row")[x].alias(x) for x in docs.columns))
+    )
+
+
 def _several(exact: DataFrame) -> DataFrame | None:
     """The ids that have more than one text, or None where there are none."""
     found = exact.groupBy("doc_id").agg(

@@ -139,6 +139,15 @@ def test_pipeline_keeps_one_row_of_an_id(spark):
     assert {tuple(r) for r in kept} <= set(rows)
 
 
+def test_pipeline_keeps_one_row_of_an_id_beside_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b", "x", 1), (1, "c d", "y", 2), (2, "e", "z", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, digest string, again int")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, frame, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2] and {tuple(r) for r in kept} <= set(rows)
+
+
 def test_similarity_of_chains_and_crowds(spark, empty):
     """Many near copies of one text, chains of links, and texts just below the threshold."""
     draw = random.Random(1)
@@ -403,6 +412,30 @@ def test_bpe_equals_the_library(odd, empty):
     assert bpe.encode_decode(empty, path).collect() == []
 
 
+def test_bpe_of_long_words():
+    """Words of hundreds of thousands of letters, around the bound, and in one call with others."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer_path()
+    vocabulary, library = bpe.Vocabulary(path), Tokenizer.from_file(path)
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=300_000)), "a" * 50_001, "é日" * 900]
+    words += ["".join(draw.choices("abc", k=n)) for n in (1, 1023, 1024, 1025, 3000)]
+    began = time.perf_counter()
+    ids, first = vocabulary.merge([x.encode() for x in words])
+    assert time.perf_counter() - began < 5
+    for k, word in enumerate(words):
+        wanted = library.encode(word, add_special_tokens=False).ids
+        assert ids[first[k] : first[k + 1]].tolist() == wanted
+
+
+def test_bpe_refuses_other_rules():
+    with pytest.raises(ValueError, match="normalizer"):
+        bpe.Vocabulary(catalog.tokenizer_path("word_bpe_49k.json"))
+
+
 def test_bpe_on_random_text():
     from tokenizers import Tokenizer
 
@@ -544,6 +577,39 @@ def test_license_classifier_on_held_out_notices():
     assert [(x["paragraph"], x["family"]) for x in found[3]["found"]] == [(1, "cc-by-nc")]
 
 
+def test_licenses_of_families_that_training_has_not_seen():
+    """Thresholds come from left-out families; what is below them is reported, whatever its words."""
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(300)] + ["the", "and", "of", "software", "use", "rights", "work"]
+    others = [" ".join(draw.choices(words, k=draw.randrange(2, 40))) for _ in range(800)]
+    model = licenses.calibrated(others)
+    assert model.unseen_recall >= 0.9 and model.false_share <= 0.02
+    import pyarrow as pa
+
+    texts = [
+        "Licensed under the European Union Public Licence, version 1.2",
+        "Use of this code is governed by the Microsoft Public License",
+        "This program is licensed under the Academic Free License",
+    ]
+    found = licenses._scan(pa.array(texts), model).to_pylist()
+    assert [[x["family"] for x in f["found"]] for f in found] == [["unknown"]] * 3
+    again = licenses.calibrated(others)
+    assert (again.doubt, again.sure) == (model.doubt, model.sure)
+    assert np.array_equal(again.weights, model.weights)
+
+
+def test_sampled_lines_are_chosen_by_hash_alone(spark):
+    long = " ".join(f"w{k}" for k in range(3000))
+    docs = spark.createDataFrame([(f"a line {k}\n{k} b\n\n",) for k in range(400)] + [(long,)], "text string")
+    lines = licenses.sample_lines(docs, "text", bound=300)
+    assert 150 < len(lines) < 450
+    assert lines == licenses.sample_lines(docs.repartition(7), "text", bound=300)
+    every = licenses.sample_lines(docs, "text", bound=10**6)
+    assert len(every) == 801 and max(map(len, every)) == licenses.EXCERPT
+    [excerpt] = [x for x in every if len(x) > 100]
+    assert excerpt in long
+
+
 def test_quality(spark, odd, empty):
     draw = random.Random(6)
     rows, labels = [], []
@@ -564,6 +630,71 @@ def test_quality(spark, odd, empty):
     assert quality.judge(empty, truth, c("blob"), c("lang")).collect() == []
 
 
+def test_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
+    """A labelled id with very many rows, equal or not, brings no more than the sample."""
+    seen = []
+
+    class Classifier(quality.Classifier):
+        def __init__(self, x, y):
+            seen.append(len(y))
+            super().__init__(x, y)
+
+    monkeypatch.setattr(quality, "Classifier", Classifier)
+    rows = spark.range(4000).select(
+        F.when(c("id") < 3600, 0).otherwise(c("id")).alias("doc_id"),
+        F.when(c("id") < 1500, F.lit("one and the same."))
+        .when(c("id") % 2 == 0, F.concat(F.lit("a b c "), c("id").cast("string")))
+        .otherwise(F.concat(F.lit("X!! Y!! "), c("id").cast("string"))).alias("text"),
+    )
+    labels = rows.select("doc_id").distinct().select("doc_id", (c("doc_id") % 2).alias("quality"))
+    model = quality.train(rows, labels, "doc_id", "text", "quality", sample=300)
+    assert model is not None and 150 < seen[0] < 450
+
+
+def _rates(rows):
+    """Shifts of sites by the formulas of the docstring, in plain Python."""
+    from math import log
+
+    paths, hosts = {}, {}
+    for host, path, p in rows:
+        for sites, site in ((paths, (host, path)), (hosts, host)):
+            n, good = sites.get(site, (0, 0.0))
+            sites[site] = n + 1, good + p
+
+    def strength(groups):
+        k, q, m = len(groups), 0.0, 0
+        for n, good, rate in groups:
+            q += n * (good / n - rate) ** 2 / (rate * (1 - rate))
+            m += n - 1
+        within = (q - k) / m if m else 0
+        return min(max(1 / within - 1, 10.0), 1e6) if within > 0 else 1e6
+
+    whole = sum(g for _, g in hosts.values()) / len(rows)
+    prior = strength([(n, g, whole) for n, g in hosts.values()])
+    host_rate = {h: (g + prior * whole) / (n + prior) for h, (n, g) in hosts.items()}
+    prior = strength([(n, g, host_rate[h]) for (h, _), (n, g) in paths.items()])
+    out = {}
+    for (h, path), (n, g) in paths.items():
+        rate = (g + prior * host_rate[h]) / (n + prior)
+        out[h, path] = log(rate / (1 - rate)) - log(whole / (1 - whole))
+    return out
+
+
+def test_site_rates_equal_plain_python(spark):
+    draw = random.Random(8)
+    rows = []
+    for h in range(12):
+        base = draw.random()
+        for k in range(draw.randrange(1, 6)):
+            for _ in range(draw.choice([1, 5, 80])):
+                rows.append((f"h{h}", f"p{k}", min(max(draw.gauss(base, 0.2), 0.01), 0.99)))
+    frame = spark.createDataFrame(rows, "host string, path string, p double")
+    found = {(r.host, r.path): r["shift"] for r in quality.site_rates(frame, 0.5).collect()}
+    wanted = _rates(rows)
+    assert found.keys() == wanted.keys()
+    assert all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
+
+
 def test_site_rates_shrink(spark):
     rows = [("bad", "p", 0.1)] * 400 + [("good", "p", 0.9)] * 400 + [("new", "p", 0.1)]
     found = quality.site_rates(spark.createDataFrame(rows, "host string, path string, p double"), 0.5)

@@ -12,9 +12,10 @@ the search and not kept, and the rarest term is the rarest of the slice; matches
 how the texts are sliced.
 
 The corpus is not shuffled: only matches leave a shard. The benchmark travels to the shards in
-parts of about `PART` bytes of text (a bound, not a limit: more parts mean more passes), and each
-pass adds its matches to those that the row carries already. Distinct (item, text) rows are dealt
-by a hash of both, so an id that many rows share is spread over the parts.
+parts of about `PART` bytes of text (a bound, not a limit), as arrays of term numbers. One part's
+matches are put beside the rows; with more parts, each makes a pass of its own over the texts, from
+which only matched texts come, and these are joined back by digest. Distinct (item, text) rows are
+dealt by a hash of both, so an id that many rows share is spread over the parts.
 
 Cases: null or empty text has no words; an item of fewer words than a window, but not none, is one
 window; an item without words matches nothing. Items with equal ids count once. An item without an
@@ -24,6 +25,7 @@ id has hits, but is in no list of items. A table without items gives every docum
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,17 @@ from pyspark.sql import functions as F
 
 from loanlens.llm import words as w
 from loanlens.llm.rows import add_column, own_name
+from loanlens.llm.storage import cut
 
 c = F.col
 
 PART = 4 << 20
 SEED = 31
 
+#: Words as SQL has them; their letters' case makes no difference.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+INTERVALS = "array<struct<start:bigint,end:bigint>>"
 _HIT = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 STATE = (
     "struct<n_words:bigint,n_hit:bigint,hits:array<struct<start:bigint,end:bigint>>,"
@@ -57,33 +64,45 @@ _STATE = pa.struct(
 class Phrases:
     """The windows of some benchmark items, as offsets of their terms."""
 
-    def __init__(self, ids: list[str | None], texts: list[str | None], window: int) -> None:
+    def __init__(
+        self, ids: list[str | None], texts: list[str | None], window: int
+    ) -> None:
         words = w.Words(pa.array(texts, pa.large_string()), w.LETTERS, lower=True)
         hashes = words.hashes(SEED)
         self.terms, term = np.unique(hashes, return_inverse=True)
-        seen: dict[tuple, int] = {}
-        self.items: list[set[str]] = []
-        for item, begin, end in zip(ids, words.first[:-1], words.first[1:], strict=True):
-            size = min(window, end - begin)
-            for at in range(begin, end - size + 1) if size else ():
-                phrase = tuple(term[at : at + size].tolist())
-                if phrase not in seen:
-                    seen[phrase] = len(self.items)
-                    self.items.append(set())
-                if item is not None:
-                    self.items[seen[phrase]].add(item)
-        self.sizes = np.array([len(p) for p in seen], dtype=np.int64)
-        self.phrases = np.full((len(seen), window), -1, dtype=np.int64)
-        for row, phrase in enumerate(seen):
-            self.phrases[row, : len(phrase)] = phrase
+        count = words.counts()
+        size = np.minimum(count, window)
+        number = np.where(count > 0, count - size + 1, 0)
+        item = np.repeat(np.arange(len(ids)), number)
+        before = np.repeat(np.cumsum(number) - number, number)
+        start = words.first[:-1][item] + np.arange(len(item)) - before
+        rows = np.full((len(item), window), -1, dtype=np.int32)
+        for at in range(window):
+            some = at < size[item]
+            rows[some, at] = term[start[some] + at]
+        self.phrases, phrase = np.unique(rows, axis=0, return_inverse=True)
+        self.sizes = (self.phrases >= 0).sum(axis=1)
+        # Which items have a phrase: pairs by phrase, and where those of each begin.
+        self.names = sorted({x for x in ids if x is not None})
+        name = {x: k for k, x in enumerate(self.names)}
+        of_item = np.array([-1 if x is None else name[x] for x in ids], dtype=np.int64)
+        pairs = np.stack([phrase.ravel(), of_item[item]], axis=1)
+        pairs = np.unique(pairs[pairs[:, 1] >= 0], axis=0)
+        self.item = pairs[:, 1].astype(np.int32)
+        self.first_item = np.searchsorted(pairs[:, 0], np.arange(len(self.phrases) + 1))
         # How often a phrase has each of its terms.
-        self.times = np.zeros(self.phrases.shape, dtype=np.int64)
+        self.times = np.zeros(self.phrases.shape, dtype=np.int16)
         for at in range(window):
             self.times += self.phrases == self.phrases[:, at : at + 1]
         # A small table of hash prefixes that turns most other words away.
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[self.terms >> np.uint64(44)] = True
 
+    def items(self, phrase: int) -> list[str]:
+        """The ids of the items that have a phrase."""
+        first, last = self.first_item[phrase : phrase + 2]
+        return [self.names[k] for k in self.item[first:last]]
+
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """The term number of each word, or -1."""
         out = np.full(len(hashes), -1, dtype=np.int64)
@@ -225,13 +244,11 @@ def _spans(covered: np.ndarray, words: w.Words, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(lists), pairs)
 
 
-def _items(
-    phrase: np.ndarray, text: np.ndarray, phrases: Phrases, before: pa.Array
-) -> list[list[str]]:
-    found: list[set[str]] = [set(x or ()) for x in before.to_pylist()]
+def _items(phrase: np.ndarray, text: np.ndarray, phrases: Phrases, n: int) -> list[list[str]]:
+    found: list[set[str]] = [set() for _ in range(n)]
     pairs = np.unique(np.stack([text, phrase], axis=1), axis=0) if len(phrase) else ()
     for k, p in pairs:
-        found[k] |= phrases.items[p]
+        found[k].update(phrases.items(p))
     return [sorted(x) for x in found]
 
 
@@ -242,36 +259,23 @@ def _covered(words: w.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _look_up(
-    texts: pa.Array, before: pa.StructArray | None, phrases: Phrases, slop: int | None
-) -> pa.Array:
-    """The state of some texts after one more part of the benchmark."""
+def _look_up(texts: pa.Array, phrases: Phrases, slop: int | None) -> pa.StructArray:
+    """The state of some texts."""
     n = len(texts)
     words = w.Words(texts, w.LETTERS, lower=True)
     shard = Shard(words, phrases)
     phrase, start = shard.exact()
-    end = start + phrases.sizes[phrase]
-    items, near = pa.nulls(n), pa.nulls(n)
-    if before is not None:
-        _, _, hits, items, near = before.flatten()
-        base = np.repeat(words.first[:-1], hits.value_lengths().to_numpy(False))
-        hits = hits.flatten()
-        starts, ends = (base + hits.field(k).to_numpy(False) for k in ("start", "end"))
-    else:
-        starts = ends = np.empty(0, np.int64)
-    covered = _covered(words, np.concatenate([start, starts]), np.concatenate([end, ends]))
+    covered = _covered(words, start, start + phrases.sizes[phrase])
     total = np.concatenate([[0], np.cumsum(covered)])
-    items = _items(phrase, shard.text[start], phrases, items)
+    near = [[] for _ in range(n)]
     if slop is not None:
         close, position = shard.near(slop)
-        near = _items(close, shard.text[position], phrases, near)
-    else:
-        near = [[] for _ in range(n)]
+        near = _items(close, shard.text[position], phrases, n)
     columns = [
         pa.array(words.counts()),
         pa.array(total[words.first[1:]] - total[words.first[:-1]]),
         _spans(covered, words, n),
-        pa.array(items, pa.list_(pa.string())),
+        pa.array(_items(phrase, shard.text[start], phrases, n), pa.list_(pa.string())),
         pa.array(near, pa.list_(pa.string())),
     ]
     return pa.StructArray.from_arrays(
@@ -299,25 +303,78 @@ def search_rows(
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = 1 + size // PART
     number = F.pmod(F.xxhash64("item", "text"), F.lit(n_parts))
-    found, before = docs, None
+    parts = []
     for part in range(n_parts):
         rows = items.where(number == part).collect()  # about PART bytes of text
-        phrases = Phrases([r["item"] for r in rows], [r["text"] for r in rows], window)
-        own = name if part == n_parts - 1 else own_name([*found.columns, name], "part")
-        found = add_column(found, own, STATE, text, _starter(phrases, text, before, slop))
-        if before:
-            found = found.drop(before)
-        before = own
-    return found
+        parts.append(Phrases([r["item"] for r in rows], [r["text"] for r in rows], window))
+    if n_parts == 1:
+        return add_column(docs, name, STATE, text, _starter(parts[0], text, slop))
+    return _of_parts(docs, name, text, parts, slop)
+
+
+def _of_parts(
+    docs: DataFrame, name: str, text: str, parts: list[Phrases], slop: int | None
+) -> DataFrame:
+    """The state after several parts of the benchmark. Each part goes over the texts by itself, in
+    tasks of its own, and only texts that it matches come out, known by their digest; they are put
+    together and joined back."""
+    content = F.coalesce(c(text).cast("string"), F.lit(""))
+    texts = docs.select(F.sha2(content, 256).alias("digest"), content.alias("text"))
+    found = [
+        add_column(texts, "state", STATE, "text", _starter(phrases, "text", slop))
+        .where("size(state.items) + size(state.near_items) + size(state.hits) > 0")
+        .select("digest", F.lit(k).alias("part"), "state.hits", "state.items", "state.near_items")
+        for k, phrases in enumerate(parts)
+    ]
+    once = reduce(DataFrame.unionByName, found).dropDuplicates(["digest", "part"])
+    lists = [F.flatten(F.collect_list(x)).alias(x) for x in ("hits", "items", "near_items")]
+    digest = own_name(docs.columns, "digest")
+    whole = once.groupBy(c("digest").alias(digest)).agg(*lists)
+    state = own_name([*docs.columns, digest], name)
+    merged = F.struct(
+        _merged(c("hits")).alias("hits"),
+        F.array_sort(F.array_distinct("items")).alias("items"),
+        F.array_sort(F.array_distinct("near_items")).alias("near_items"),
+    )
+    whole = cut(whole.select(digest, merged.alias("_found")))
+    joined = docs.withColumn(digest, F.sha2(content, 256)).join(
+        whole.withColumnRenamed("_found", state), digest, "left"
+    )
+    words = F.regexp_count(content, F.lit(WORDS)).cast("bigint")
+    hits = c(state)["hits"]
+    n_hit = F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    nothing = F.expr("cast(array() as array<string>)")
+    value = F.struct(
+        words.alias("n_words"),
+        F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce(hits, F.expr(f"cast(array() as {INTERVALS})")).alias("hits"),
+        F.coalesce(c(state)["items"], nothing).alias("items"),
+        F.coalesce(c(state)["near_items"], nothing).alias("near_items"),
+    )
+    return joined.select(*docs.columns, value.alias(name))
+
+
+def _merged(hits: Column) -> Column:
+    """Intervals in order, those that touch put together."""
+
+    def step(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end")
+        )
+        touches = (F.size(out) > 0) & (x["start"] <= last["end"])
+        return F.when(
+            touches, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(longer))
+        ).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(hits), F.expr(f"cast(array() as {INTERVALS})"), step)
 
 
 def _starter(
-    phrases: Phrases, text: str, before: str | None, slop: int | None
+    phrases: Phrases, text: str, slop: int | None
 ) -> Callable[[], Callable[[pa.RecordBatch], pa.Array]]:
     def start() -> Callable[[pa.RecordBatch], pa.Array]:
-        return lambda part: _look_up(
-            part.column(text), part.column(before) if before else None, phrases, slop
-        )
+        return lambda part: _look_up(part.column(text), phrases, slop)
 
     return start
 

@@ -31,6 +31,8 @@ HEADLINE = (
     "ever_60",
     "sweep_channel",
     "sweep_loansize",
+    "sweep_specs",
+    "stored_age_curve",
     "legacy_report",
     "legacy_report_b",
     "legacy_age_curve",

@@ -31,7 +31,9 @@ QUERIES: dict[str, Query] = {}
 
 ALL = CohortSpec()
 CUTOFFS = BalanceSegments(low_k=150, medium_k=300, very_low_k=80)
-STEPS = BalanceSegments(steps=tuple("085 110 125 150 175 200 225 250 275 500".split()))
+STEPS = BalanceSegments(steps=(
+    "085", "110", "125", "150", "175", "200", "225", "250", "275", "500",
+))
 PERCENTILES = BalanceSegments(percentile=True)
 
 # Doubles that hold amounts of money.
@@ -120,9 +122,10 @@ def max_period_rows(t: LoanTables) -> DataFrame:
 
 
 UNIVERSE_COLUMNS = (
-    "loan_id orig_rate orig_rate_pctile channel orig_upb orig_upb_pctile loan_term orig_date "
-    "first_flag second_home mi_flag state high_balance_loan_indicator eligible vintage bal_seg"
-).split()
+    "loan_id", "orig_rate", "orig_rate_pctile", "channel", "orig_upb", "orig_upb_pctile",
+    "loan_term", "orig_date", "first_flag", "second_home", "mi_flag", "state",
+    "high_balance_loan_indicator", "eligible", "vintage", "bal_seg",
+)
 
 
 @query

@@ -19,7 +19,12 @@ from loanlens.functions.periods import date_month_index, period_of_index
 c = F.col
 
 # Fixed values of the derivation.
-STATES = "CATXFLAZCOWAGANCVANYUTNJPAILTNORMDMIOHMNNVSCPRVIWY"
+# fmt: off
+STATES = (
+    "CA", "TX", "FL", "AZ", "CO", "WA", "GA", "NC", "VA", "NY", "UT", "NJ", "PA", "IL", "TN", "OR",
+    "MD", "MI", "OH", "MN", "NV", "SC", "PR", "VI", "WY",
+)
+# fmt: on
 DLQ_CODES = ("00", "01", "02", "03", "XX")
 
 
@@ -105,7 +110,7 @@ def orig(source: StarSchema) -> DataFrame:
         .otherwise(segment)
         .alias("seller"),
         F.concat(F.lit("SVC_"), c("n_regionkey").cast("string")).alias("servicer"),
-        F.lit(STATES).substr(c("c_nationkey") * 2 + 1, F.lit(2)).alias("state"),
+        F.get(F.array(*[F.lit(x) for x in STATES]), c("c_nationkey").cast("int")).alias("state"),
         F.when(k % 11 == 0, odd_one).otherwise(k % 41 + 10).cast("int").alias("dti"),
         "oltv",
         F.when(k % 4 == 0, odd_one).otherwise(c("oltv") + k % 8).cast("int").alias("ocltv"),

@@ -6,7 +6,14 @@ functions, existence tests are EXISTS, cohort totals are subqueries. Nothing is
 
 from __future__ import annotations
 
-STATES = "CATXFLAZCOWAGANCVANYUTNJPAILTNORMDMIOHMNNVSCPRVIWY"
+# The state of each nation, in the order of the nations' keys.
+# fmt: off
+STATES = (
+    "CA", "TX", "FL", "AZ", "CO", "WA", "GA", "NC", "VA", "NY", "UT", "NJ", "PA", "IL", "TN", "OR",
+    "MD", "MI", "OH", "MN", "NV", "SC", "PR", "VI", "WY",
+)
+# fmt: on
+STATE_LIST = ", ".join(f"'{state}'" for state in STATES)
 
 # --- loan tables from the star schema -------------------------------------------------------------
 
@@ -26,7 +33,7 @@ orig AS (
     CASE c_mktsegment WHEN 'MACHINERY' THEN NULL WHEN 'HOUSEHOLD' THEN 'Other'
       ELSE c_mktsegment END AS seller,
     'SVC_' || n_regionkey AS servicer,
-    substr('{STATES}', 2 * c_nationkey + 1, 2) AS state,
+    ([{STATE_LIST}])[c_nationkey + 1] AS state,
     CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 10 + o_orderkey % 41 END AS dti,
     40 + o_custkey % 58 AS oltv,
     CASE WHEN o_orderkey % 4 = 0 THEN NULL
@@ -346,7 +353,7 @@ MEASURES = {
 }
 MEASURES |= {
     f"state_{s.lower()}_pct": share(f"state = '{s}'")
-    for s in "CA AZ UT CO NV ID FL WY TX MI NY NJ".split()
+    for s in ("CA", "AZ", "UT", "CO", "NV", "ID", "FL", "WY", "TX", "MI", "NY", "NJ")
 }
 MEASURES |= {
     f"bal_{s.lower()}_pct": share(f"bal_seg = '{s}'")

@@ -24,11 +24,11 @@ STATEMENTS: dict[str, str] = {}
 S = STATEMENTS
 
 MONEY_COLUMNS = (
-    "last_upb foreclosure_costs property_preservation_and_repair_costs asset_recovery_costs "
-    "miscellaneous_holding_expenses_and_credits associated_taxes_for_holding_property "
-    "net_sales_proceeds credit_enhancement_proceeds repurchases_make_whole_proceeds "
-    "other_foreclosure_proceeds"
-).split()
+    "last_upb", "foreclosure_costs", "property_preservation_and_repair_costs",
+    "asset_recovery_costs", "miscellaneous_holding_expenses_and_credits",
+    "associated_taxes_for_holding_property", "net_sales_proceeds", "credit_enhancement_proceeds",
+    "repurchases_make_whole_proceeds", "other_foreclosure_proceeds",
+)
 
 
 def _money(*names: str) -> str:
@@ -37,11 +37,15 @@ def _money(*names: str) -> str:
 
 # --- sources and stages ---------------------------------------------------------------------------
 
-ORIG_INTS = "orig_term dti oltv ocltv cscore_b cscore_c no_units num_bo mi_type mi_pct".split()
+ORIG_INTS = (
+    "orig_term", "dti", "oltv", "ocltv", "cscore_b", "cscore_c", "no_units", "num_bo", "mi_type",
+    "mi_pct",
+)
 ORIG_TEXTS = (
-    "orig_date first_pay channel high_balance_loan_indicator first_flag seller servicer state prop "
-    "occ_stat purpose property_inspection_waiver_indicator ppmt_flg io"
-).split()
+    "orig_date", "first_pay", "channel", "high_balance_loan_indicator", "first_flag", "seller",
+    "servicer", "state", "prop", "occ_stat", "purpose", "property_inspection_waiver_indicator",
+    "ppmt_flg", "io",
+)
 
 S["scan_orig"] = statement(
     "SELECT loan_id, "
@@ -119,8 +123,11 @@ NAMED_POSITION = (
     "CAST(coalesce(list_position(['VLOW', 'LOW', 'MED', 'HIGH', 'SUPER'], bal_seg) - 1, 5) "
     "AS BIGINT)"
 )
-STEP_NAMES = "085K 110K 125K 150K 175K 200K 225K 250K 275K 500K CONF SUPER".split()
-STEP_POSITION = f"CAST(coalesce(list_position({STEP_NAMES}, bal_seg) - 1, 12) AS BIGINT)"
+STEP_NAMES = (
+    "085K", "110K", "125K", "150K", "175K", "200K", "225K", "250K", "275K", "500K", "CONF",
+    "SUPER",
+)
+STEP_POSITION = f"CAST(coalesce(list_position({list(STEP_NAMES)}, bal_seg) - 1, 12) AS BIGINT)"
 
 S["bal_fixed"] = statement(
     f"""SELECT {TERM_BIGINT}, bal_seg, {NAMED_POSITION} AS seg_order,
@@ -197,8 +204,8 @@ def _filter(*extra: str, source: str = "u", **variants: str) -> str:
     return statement("\nUNION ALL ".join(parts), *extra)
 
 
-def _listed(states: str) -> str:
-    return "state IN (" + ", ".join(f"'{s}'" for s in states.split()) + ")"
+def _listed(states: tuple[str, ...]) -> str:
+    return "state IN (" + ", ".join(f"'{s}'" for s in states) + ")"
 
 
 S["filter_vintage"] = _filter(
@@ -218,15 +225,20 @@ S["filter_balance"] = _filter(
     below="orig_upb <= 250000",
 )
 S["filter_state"] = _filter(
-    only="state = 'NY'", without="state <> 'NY'", listed=_listed("CA UT PR")
+    only="state = 'NY'", without="state <> 'NY'", listed=_listed(("CA", "UT", "PR"))
 )
 S["filter_rate"] = _filter(rate="orig_rate = 4.125")
 S["filter_channel"] = _filter(R="channel = 'R'", B="channel = 'B'", C="channel = 'C'")
-TOP_12 = "CA TX FL AZ CO WA GA NC VA NY UT NJ"
+# States by loan volume.
+TOP_12 = ("CA", "TX", "FL", "AZ", "CO", "WA", "GA", "NC", "VA", "NY", "UT", "NJ")
 S["filter_topstates"] = _filter(
     top12=_listed(TOP_12),
-    top17=_listed("CA TX FL MI WA CO AZ NY VA NJ IL NC MA GA PA MD UT"),
-    top25=_listed(f"{TOP_12} PA IL TN OR MD MI OH MN NV SC MA IN MO"),
+    top17=_listed(
+        ("CA", "TX", "FL", "MI", "WA", "CO", "AZ", "NY", "VA", "NJ", "IL", "NC", "MA", "GA", "PA", "MD", "UT")
+    ),
+    top25=_listed(
+        (*TOP_12, "PA", "IL", "TN", "OR", "MD", "MI", "OH", "MN", "NV", "SC", "MA", "IN", "MO")
+    ),
 )
 S["filter_seller"] = _filter(prefix="seller LIKE 'BUILD%'")
 S["filter_purpose"] = _filter(purchase="purpose = 'P'", cashout="purpose = 'C'")
@@ -427,18 +439,22 @@ def _measured(*names: str) -> str:
 
 
 CHARACTERISTICS = (
-    "hbal_pct second_home_pct insured_pct cashout_pct first_buyer_pct condo_pct multi_unit_pct "
-    "multi_borrower_pct"
-).split()
-CREDIT = "wa_oltv wa_ocltv wa_cscore_b wa_cscore_c wa_qfico wa_dti".split()
+    "hbal_pct", "second_home_pct", "insured_pct", "cashout_pct", "first_buyer_pct", "condo_pct",
+    "multi_unit_pct", "multi_borrower_pct",
+)
+CREDIT = ("wa_oltv", "wa_ocltv", "wa_cscore_b", "wa_cscore_c", "wa_qfico", "wa_dti")
 BREAKDOWN = (
-    "investor_pct score_lt_640_pct ltv_gt_95_pct dti_gt_45_pct mh_pct pr_vi_pct appr_not_full_pct "
-    "appr_waiver_pct inel_b3_pct inel_b5_pct inel_b6_pct"
-).split()
-STATES_10 = [f"state_{s}_pct" for s in "ca az ut co nv id fl wy tx mi".split()]
+    "investor_pct", "score_lt_640_pct", "ltv_gt_95_pct", "dti_gt_45_pct", "mh_pct", "pr_vi_pct",
+    "appr_not_full_pct", "appr_waiver_pct", "inel_b3_pct", "inel_b5_pct", "inel_b6_pct",
+)
+STATES_10 = [f"state_{s}_pct" for s in (
+    "ca", "az", "ut", "co", "nv", "id", "fl", "wy", "tx", "mi",
+)]
 SUBLIMITS = ["sublimit_a_pct", "sublimit_b_pct"]
 CHANNELS = ["broker_pct", "correspondent_pct", "retail_pct"]
-TO_DATE = "default_upb default_cnt default_pct net_loss loss_cnt loss_pct severity".split()
+TO_DATE = (
+    "default_upb", "default_cnt", "default_pct", "net_loss", "loss_cnt", "loss_pct", "severity",
+)
 
 S["share_channel"] = _measured(*CHANNELS)
 S["share_balance"] = _rolled(
@@ -463,7 +479,7 @@ S["share_elig_legacy"] = _rolled(
     ["vintage"], chosen("inel_pct", "io_pct"), OLDER, source="older"
 )
 S["strats"] = _measured(
-    *"loans orig_upb als size_range wa_rate wa_rate_8ths rate_range wa_pi".split(),
+    *("loans", "orig_upb", "als", "size_range", "wa_rate", "wa_rate_8ths", "rate_range", "wa_pi"),
     "eligible",
     "vintages",
     *CHARACTERISTICS,
@@ -501,9 +517,10 @@ def _curve_cte(dimensions: list[str], source: str, name: str, having: str = "")
 
 
 PLAIN_CURVE = (
-    "loans orig_upb current_bal sched_bal unsched_prin unsched_cnt mo_default_upb mo_default_cnt "
-    "mo_net_loss mo_loss_cnt wa_rate_8ths rate_range wa_pi eligible"
-).split()
+    "loans", "orig_upb", "current_bal", "sched_bal", "unsched_prin", "unsched_cnt",
+    "mo_default_upb", "mo_default_cnt", "mo_net_loss", "mo_loss_cnt", "wa_rate_8ths", "rate_range",
+    "wa_pi", "eligible",
+)
 
 CURVE = {
     **{name: name for name in PLAIN_CURVE},
@@ -544,10 +561,19 @@ def _curve(dimensions: list[str], columns: list[str], *extra: str, **cohort: str
 
 
 CURVE_COLUMNS = [
-    *"cohort_loans cohort_upb cohort_als cpr smm dlq_30_pct dlq_60_pct dlq_90_pct fc_pct".split(),
-    *"cum_default_pct cum_loss_pct cum_lgd loans orig_upb current_bal sched_bal".split(),
-    *"unsched_prin unsched_cnt mo_default_upb mo_default_cnt mo_net_loss mo_loss_cnt".split(),
-    *"cum_default_upb cum_net_loss wa_rate wa_rate_8ths rate_range wa_pi".split(),
+    *(
+        "cohort_loans", "cohort_upb", "cohort_als", "cpr", "smm", "dlq_30_pct", "dlq_60_pct",
+        "dlq_90_pct", "fc_pct",
+    ),
+    *(
+        "cum_default_pct", "cum_loss_pct", "cum_lgd", "loans", "orig_upb", "current_bal",
+        "sched_bal",
+    ),
+    *(
+        "unsched_prin", "unsched_cnt", "mo_default_upb", "mo_default_cnt", "mo_net_loss",
+        "mo_loss_cnt",
+    ),
+    *("cum_default_upb", "cum_net_loss", "wa_rate", "wa_rate_8ths", "rate_range", "wa_pi"),
 ]
 
 S["age_curve"] = _curve([], CURVE_COLUMNS)

@@ -10,12 +10,15 @@ probabilities (a temperature).
 Two thresholds are calibrated on licences that the model has not seen: families are left out of
 training in turns, and their notices are scored beside lines of the corpus and notices of the other
 families that were left out too. `doubt` is the probability of no licence below which a paragraph is
-reported: it weighs missed notices of unseen families against lines taken for one. `sure` is the
+reported: it weighs missed notices of unseen families against lines taken for one, and is one half at
+least. `sure` is the
 probability of the best family below which a paragraph is of the unknown family: it weighs unseen
 families that are given a name against known ones that are not. A paragraph that holds too little of
 every notice of its best family is unknown too. All paragraphs of all texts are scored, and every one
 below `doubt` is reported.
 
+A paragraph without any word that a training notice has is no licence.
+
 Cases: null and empty texts have no paragraph with words and no finding; lines without words are
 counted as paragraphs and never found. Rows with equal or null ids stay rows of their own. On an
 empty corpus the class of no licence has no examples but the notices' surroundings; nothing is
@@ -142,6 +145,7 @@ NOTICES = {
 NONE = "none"
 UNKNOWN = "unknown"
 CLASSES = (NONE, *NOTICES)
+NOTHING = np.eye(len(CLASSES))[0]
 
 SAMPLE = 4000
 EXCERPT = 2000
@@ -213,7 +217,7 @@ def _slots(texts: list[str]) -> list[np.ndarray]:
 class Classifier:
     """Weights [slot, class], offsets, temperature and thresholds (`calibrated` sets these)."""
 
-    doubt = 0.5
+    doubt = 0.2
     sure = 0.5
 
     def __init__(self, texts: list[str], classes: np.ndarray, seed: int = 7) -> None:
@@ -224,6 +228,11 @@ class Classifier:
         self.weights = np.zeros((SLOTS + 1, len(CLASSES)), dtype=np.float32)
         self.offset = np.zeros(len(CLASSES), dtype=np.float32)
         self.temperature = 1.0
+        # Words and pairs that some licence has; a line without any is none, whatever the offsets.
+        self.seen = np.zeros(SLOTS + 1, dtype=bool)
+        for k in np.flatnonzero(~held & (classes > 0)):
+            self.seen[lines[k]] = True
+        self.seen[SLOTS] = False
         share = np.bincount(classes[~held], minlength=len(CLASSES))
         weight = 1 / np.maximum(share, 1) * share.max()
         squares = np.full_like(self.weights, 1e-2)
@@ -250,7 +259,10 @@ class Classifier:
 
     def of_lines(self, texts: list[str]) -> np.ndarray:
         """[text, class] of texts without line ends."""
-        return _softmax(np.array([self._logits_of(x) for x in _slots(texts)]) / self.temperature)
+        slots = _slots(texts)
+        p = _softmax(np.array([self._logits_of(x) for x in slots]) / self.temperature)
+        p[[not self.seen[x].any() for x in slots]] = NOTHING
+        return p
 
     def _logits_of(self, slots: np.ndarray) -> np.ndarray:
         return self.weights[slots].sum(axis=0) / _length(len(slots)) + self.offset
@@ -263,7 +275,9 @@ class Classifier:
         total = np.add.reduceat(each, lines.starts, axis=0)
         count = 2 * (lines.ends - lines.starts)
         logits = total / _length(count)[:, None] + self.offset
-        return _softmax(logits / self.temperature)
+        p = _softmax(logits / self.temperature)
+        p[~np.logical_or.reduceat(self.seen[lines.slots].any(axis=1), lines.starts)] = NOTHING
+        return p
 
 
 def _length(count: np.ndarray | int) -> np.ndarray:
@@ -359,7 +373,8 @@ def calibrated(others: list[str]) -> Classifier:
     final = Classifier(*_examples(lines))
     unseen, best = np.concatenate(unseen), np.concatenate(unseen_best)
     plain = np.concatenate(plain) if plain else np.ones(1)
-    final.doubt = _threshold(unseen, plain, FALSE_WEIGHT)
+    # What the classifier itself holds for a licence is reported, however few lines there are.
+    final.doubt = max(0.5, _threshold(unseen, plain, FALSE_WEIGHT))
     final.sure = _threshold(best, np.concatenate(known_best), 1.0)
     final.unseen_recall = float((unseen < final.doubt).mean())
     final.unseen_unnamed = float((best < final.sure).mean())

@@ -33,3 +33,10 @@ def kept(frame: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder in the shared one that nothing uses yet."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `new_folder` named, once nothing reads it any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)

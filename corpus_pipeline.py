@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loanlens.llm import bpe, contamination, quality, secrets, similarity
 from loanlens.llm.catalog import TOKENIZER, table, tokenizer_path
 from loanlens.llm.rows import own_name
-from loanlens.llm.storage import new_path
+from loanlens.llm.storage import new_path, remove_folder
 
 c = F.col
 
@@ -80,11 +80,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's table goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    folder = new_path(spark, "pipeline")
+    folder, before = new_path(spark, "pipeline"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        before = path
     return docs

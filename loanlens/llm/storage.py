@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from loanlens.sources.shared import kept as cut
 from loanlens.sources.shared import new_folder as new_path
-from loanlens.sources.shared import shared_folder
+from loanlens.sources.shared import remove_folder, shared_folder
 
-__all__ = ["cut", "new_path", "once_each", "shared_folder"]
+__all__ = ["cut", "new_path", "once_each", "remove_folder", "shared_folder"]
 
 
 def once_each(stored: DataFrame, key: str) -> DataFrame:

@@ -86,6 +86,16 @@ def test_pipeline(spark, documents):
     assert all(r.n_tokens == len(r.ids) for r in last)
 
 
+def test_pipeline_leaves_its_last_table_alone(spark):
+    from pathlib import Path
+
+    last = corpus_pipeline.run(spark, SMALL)
+    [path] = {x.removeprefix("file:").rsplit("/", 2)[0] for x in last.inputFiles()}
+    path = "/" + path.lstrip("/")
+    assert [x.name for x in Path(path).iterdir()] == ["4-bpe_encode_decode"]
+    assert last.count() > 0
+
+
 def test_pipeline_keeps_good_documents(spark):
     from pyspark.sql import functions as F
 

@@ -11,7 +11,7 @@ from loanlens.operators.universe import build_universe
 from loanlens.plans import shapes
 from loanlens.plans.cohort import age_curve
 from loanlens.sources import sinks
-from loanlens.sources.tables import LoanTables
+from loanlens.sources.tables import LoanTables, _periods
 from loanlens.spec import CohortSpec
 
 SPEC = CohortSpec.vintage(1996, term=360)
@@ -95,3 +95,16 @@ def test_last_period_is_known_without_a_scan(spark, stored, tmp_path):
         assert LoanTables.from_catalog(spark, "kept.").latest_period().first()[0] == "203001"
     finally:
         spark.sql("DROP DATABASE kept CASCADE")
+
+
+def test_paths_are_cut_once_a_file(spark, stored):
+    """Months are grouped by their whole path before the shuffle; only the groups' paths are cut."""
+    periods = _periods(stored.month)
+    plan = periods._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" in plan
+    assert "regexp_extract" not in plan.rpartition("Exchange hashpartitioning")[2]
+    months = {"/".join(r["path"].split("/")[-2:]): r["last"] for r in (
+        stored.month.groupBy(F.input_file_name().alias("path"))
+        .agg(F.max("act_period").alias("last")).collect()
+    )}
+    assert dict(periods.select("file", "max_period").collect()) == months

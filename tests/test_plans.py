@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,6 +20,7 @@ from loanlens.plans.cohort import age_curve, cohort_report, horizon_report
 from loanlens.plans.legacy import combined_report
 from loanlens.plans.shapes import numbered
 from loanlens.plans.sweep import spec_sweep
+from loanlens.session import tune
 from loanlens.sources.tables import LoanTables
 from loanlens.spec import BalanceSegments, CohortSpec
 from tests.conftest import SMALL
@@ -226,3 +228,62 @@ def test_limit_on_spread_ids(spark, ids):
         found = sorted(r["loan_id"] for r in first_loans(loans, n).collect())
         assert found == sorted(ids)[:n]
     assert first_loans(loans.where("false"), 3).count() == 0
+
+
+def test_terminal_records_join_one_line_an_order(spark, large):
+    """Lines are aggregated before their shuffle, and one sort serves equal orders and the next join."""
+    plan = plan_of(LoanTables.from_star(spark, SMALL).term)
+    joined, _, below = plan.partition("SortMergeJoin")
+    assert "Aggregate" not in joined
+    lines = below[: below.index("lineitem.parquet")]
+    assert len(re.findall(r"HashAggregate\(keys=\[l_orderkey", lines)) == 2
+    assert lines.index("Exchange") < lines.rindex("HashAggregate")
+    assert len(re.findall(r"Sort \[(?:loan_id|l_orderkey)#", plan)) == 3
+
+
+def test_merged_partitions_stay_small(spark):
+    """A task of a derived history sorts several tables: it gets 16 MB of exchanged rows, not 64."""
+    tables = LoanTables.from_star(tune(spark), SMALL)
+    tables.orig.limit(1).count()
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("16m", "16777216b")
+
+
+def test_repeated_orders_and_lines_of_a_derived_history(spark, tmp_path):
+    """Equal orders are one loan, orders of one key that differ are loans of their own; a loan's last
+    month is that of all its rows."""
+    day = datetime.datetime
+    orders = [
+        (9, 1, "O", 1000.0, day(1996, 1, 10), "1-URGENT"),
+        (9, 1, "O", 1000.0, day(1996, 1, 20), "1-URGENT"),
+        (9, 1, "O", 2000.0, day(1996, 3, 1), "1-URGENT"),
+        (13, 1, "O", 3000.0, day(1996, 1, 10), "1-URGENT"),
+        (None, 1, "O", 4000.0, day(1996, 1, 10), "1-URGENT"),
+    ]
+    names = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
+    names += ", o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(orders, names).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [
+        (9, 1, 10.0, day(1996, 1, 5)),
+        (9, 5, 10.0, day(1996, 1, 15)),
+        (9, 6, 10.0, day(1996, 1, 25)),
+        (9, 1, 50.0, day(1996, 4, 2)),
+        (9, 1, 50.0, day(1996, 4, 2)),
+        (13, 7, 10.0, day(1996, 2, 2)),
+        (13, 1, 10.0, None),
+        (None, 1, 10.0, day(1996, 2, 2)),
+    ]
+    names = "l_orderkey long, l_linenumber int, l_quantity double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    tables = LoanTables.from_star(spark, str(tmp_path))
+    months = tables.month.select("loan_id", "act_period", "loan_age", "dlq_status").collect()
+    assert sorted(map(tuple, months), key=str) == sorted(
+        [
+            (9, "199601", -1, "02"),
+            (9, "199604", None, "XX"),
+            (9, "199604", None, "XX"),
+            (13, "199602", 0, "03"),
+        ],
+        key=str,
+    )
+    term = tables.term.select("loan_id", "act_period", "zero_bal_code", "last_upb").collect()
+    assert sorted((r[0], r[1], r[2]) for r in term) == [(9, "199604", "03"), (9, "199604", "03")]

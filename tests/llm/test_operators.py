@@ -454,6 +454,43 @@ def test_bpe_on_random_text():
     assert decoded == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_bpe_ranks_a_pair_again_only_beside_a_merge(monkeypatch):
+    """Merge rounds look up each pair once, and two pairs for each merge, not all pairs each time."""
+    vocabulary, looked_up = bpe.Vocabulary(catalog.tokenizer_path()), []
+    rank = bpe.Vocabulary.rank
+
+    def counted(self, left, right):
+        looked_up.append(len(left))
+        return rank(self, left, right)
+
+    monkeypatch.setattr(bpe.Vocabulary, "rank", counted)
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(draw.choices(letters, k=draw.randrange(1, 30))) for _ in range(2000)]
+    ids, _ = vocabulary.merge([x.encode() for x in words])
+    n_bytes = sum(map(len, words))
+    assert sum(looked_up) <= n_bytes + 2 * (n_bytes - len(ids))
+
+
+@pytest.mark.parametrize("limit", [0, 100, 1 << 18])
+def test_bpe_of_short_forms_and_repeated_words(limit):
+    """Apostrophes, white space and repeated words at each place, with a cache that is emptied."""
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    draw = random.Random(6)
+    parts = [*"strevlmd'''aZ1.", " ", " ", "  ", "\n", "\u3000", "é", "日本", "😀", "x" * 40, "<|endoftext|>"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(60))) for _ in range(1500)]
+    texts += [("long" * 20 + "\n") * 30, ("y" * 1500 + ".") * 3, ("y" * 1500 + " ") * 3, "", "'"]
+    encoder = bpe.Encoder(bpe.Vocabulary(path), limit=limit)
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        for text, own in zip(part, encoder.encode(part), strict=True):
+            assert own.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    assert encoder.encode([]) == []
+
+
 def test_url_rules(spark):
     addresses = [
         None,
